@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import drop_saved, map_batches, saved, texts_of
-from .linkage import BROADCAST_IDS, linked_components, posting_lists
+from .linkage import BROADCAST_IDS, linked_components, parity_bits, posting_lists
 
 #: Characters of a shingle; the bound in hundredths; words that a line needs to be removed.
 CHARS, BOUND, MIN_WORDS = 5, 80, 4
@@ -109,8 +109,13 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def code_set(text: str) -> np.ndarray:
+    codes = np.sort(shingle_codes(text))
+    return codes[np.r_[True, codes[1:] != codes[:-1]]]
+
+
 def jaccard_reaches(a: str, b: str) -> bool:
-    x, y = np.unique(shingle_codes(a)), np.unique(shingle_codes(b))
+    x, y = code_set(a), code_set(b)
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * shared >= BOUND * (len(x) + len(y) - shared)
 
@@ -159,7 +164,7 @@ def _banded(docs: DataFrame) -> DataFrame:
 
 
 def _line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, line) of the lines that are in any list; saved."""
+    """(node, text, n, bits) of the lines that are in any list: size and parity bits of their shingles; saved."""
     few = nodes.count() <= BROADCAST_IDS
     wanted = docs.sparkSession.sparkContext.broadcast(
         np.sort(nodes.toPandas()["node"].to_numpy(np.int64)).tobytes() if few else None
@@ -174,19 +179,20 @@ def _line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             if few:
                 at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
                 keys = keys[known[at] == keys] if len(known) else keys[:0]
-            return {"node": keys, "text": [lines[k] for k in keys.tolist()]}
+            wanted_lines = [lines[k] for k in keys.tolist()]
+            sets = list(map(code_set, wanted_lines))
+            return {"node": keys, "text": wanted_lines, "n": list(map(len, sets)), "bits": list(map(parity_bits, sets))}
 
         return work
 
-    found = map_batches(docs.where("doc_id is not null").select("doc_id", "text"), make, "node long, text string")
+    found = map_batches(docs.where("doc_id is not null").select("doc_id", "text"), make, "node long, text string, n int, bits array<long>")
     if not few:
         found = found.join(nodes, "node", "left_semi")
-    return saved(found.groupBy("node").agg(F.min("text").alias("text")))
+    first = F.min(F.struct("text", "n", "bits")).alias("f")
+    return saved(found.groupBy("node").agg(first).select("node", "f.*"))
 
 
-def _verifier(docs: DataFrame, lists: DataFrame):
-    texts = _line_texts(docs, lists.select("node").distinct())
-
+def _verifier(texts: DataFrame):
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, list]:
             pairs = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
@@ -198,7 +204,6 @@ def _verifier(docs: DataFrame, lists: DataFrame):
     def verify(pairs: DataFrame) -> DataFrame:
         text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         both = pairs.join(text("b"), "b").join(text("a"), "a")
-        # Sets whose sizes differ too much can't be similar; lengths bound sizes only from above, so lengths don't prune.
         return saved(map_batches(both, make, "a long, b long"))
 
     return verify
@@ -211,7 +216,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "line"))
     firsts = saved(occurrences.groupBy("key").agg(first.alias("first"), F.count("*").alias("n")))
     lists = posting_lists(_banded(docs))
-    found = linked_components(lists, _verifier(docs, lists)).withColumnRenamed("node", "key")
+    texts = _line_texts(docs, lists.select("node").distinct())
+    traits = texts.select("node", "n", "bits")
+    found = linked_components(lists, traits, BOUND, _verifier(texts)).withColumnRenamed("node", "key")
     owned = firsts.join(found, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     stays = owned.join(found.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("first").alias("stays"))
     # Only lines that occur twice or have a link can go.

@@ -1,12 +1,12 @@
 """Posting lists, links and components: what the two near-duplicate operators share.
 
 Candidates come as rows (key, node): nodes that share a key may be linked. Lists are
-formed by one shuffle on the key. Links are then found in rounds: a list's first node
-is compared with the others, the graph of the links found is reduced to components,
-and only nodes of a list that still lie in different components are compared further,
-by so many of its nodes at a time. A list whose nodes are all connected is done, so a
-group of thousands of near copies costs about one comparison for each copy, and yet
-no two nodes of one list are left neither compared nor connected.
+formed by one shuffle on the key. Links are then found in rounds: first each node is
+compared with one other of its lists, and the graph of the links found is reduced to
+components; then only nodes of a list that still lie in different components are
+compared, by so many of its nodes at a time. A list whose nodes are all connected is
+done, so a group of thousands of near copies costs a few comparisons for each copy,
+and yet no two nodes of one list are left neither compared nor connected.
 """
 
 from __future__ import annotations
@@ -16,14 +16,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .frames import bounded_batches, drop_saved, reach_workers, saved
 
-#: Nodes of a list packed in one row; nodes of a list compared with the rest in one
-#: round; names of lists that a task remembers; ids that may be broadcast.
-PACK, PIVOTS, REMEMBERED, BROADCAST_IDS = 512, 64, 500_000, 1_000_000
+#: Nodes of a list packed in one row; rounds with one pair for each node; nodes of a
+#: list compared with the rest in each later round; names of lists that a task
+#: remembers; ids that may be broadcast.
+PACK, QUICK_ROUNDS, PIVOTS, REMEMBERED, BROADCAST_IDS = 512, 2, 256, 500_000, 1_000_000
+#: Parity bits of a set.
+BITS = 1024
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -87,7 +91,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def posting_lists(rows: DataFrame) -> DataFrame:
-    """(list_id, node, rank) of all lists of two nodes or more, from rows (key, node); saved.
+    """(list_id, node) of all lists of two nodes or more, from rows (key, node); saved.
 
     Of lists with the same nodes one is kept. Two different lists share a name with odds of 2^-64.
     """
@@ -97,11 +101,7 @@ def posting_lists(rows: DataFrame) -> DataFrame:
     dealt = rows.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
     packed = dealt.mapInArrow(_packed, "list_id long, first_rank long, nodes array<long>")
     once = packed.dropDuplicates(["list_id", "first_rank"])
-    return saved(
-        once.select("list_id", "first_rank", F.posexplode("nodes").alias("at", "node")).select(
-            "list_id", "node", (F.col("first_rank") + F.col("at")).alias("rank")
-        )
-    )
+    return saved(once.select("list_id", F.explode("nodes").alias("node")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -131,34 +131,99 @@ def components(edges: DataFrame) -> DataFrame:
     return saved(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots))
 
 
-def linked_components(lists: DataFrame, verify: Verify) -> DataFrame:
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """BITS bits as 64-bit numbers: bit i is set where an odd number of the tokens have i in their low bits.
+
+    Sets whose bits differ in d places differ by d tokens or more.
+    """
+    counts = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
+    return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
+
+
+def _admits(bound: int, n: str, bits: str, other_n: str, other_bits: str) -> Column:
+    """True unless sizes or parity bits prove that two sets' similarity is below ``bound`` hundredths."""
+    differ = sum((F.bit_count(F.get(bits, i).bitwiseXOR(F.get(other_bits, i))) for i in range(BITS // 64)), F.lit(0))
+    total = F.col(n) + F.col(other_n)
+    sizes = 100 * F.least(n, other_n) >= bound * F.greatest(n, other_n)
+    return sizes & (differ * (100 + bound) <= total * (100 - bound))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _one_for_each(left: DataFrame, turn: int, bound: int) -> DataFrame:
+    """One pair for each node: itself and the head of one of its lists.
+
+    In the first turn a list's head is its node that is in most lists: an original has
+    fewer tokens of its own than its altered copies have, and so more in common with
+    them. Later it is the node with the least hash of the turn. Lists with many nodes
+    in common have few heads between them.
+    """
+    hashed = left.withColumn("h", -F.col("degree") if turn == 0 else F.xxhash64("node", F.lit(turn)))
+    heads = hashed.groupBy("list_id").agg(F.min(F.struct("h", "node", "comp", "n", "bits")).alias("head"))
+    heads = heads.select("list_id", *[F.col(f"head.{c}").alias(f"head_{c}") for c in ("h", "node", "comp", "n", "bits")])
+    on = (hashed["list_id"] == heads["list_id"]) & (F.col("comp") != F.col("head_comp"))
+    met = hashed.join(heads, on & _admits(bound, "n", "bits", "head_n", "head_bits"))
+    best = met.groupBy("node").agg(F.min(F.struct("head_h", "head_node")).alias("head"))
+    return _pairs(best.select("node", F.col("head.head_node").alias("other")))
+
+
+def _all_of_some(left: DataFrame, done: DataFrame | None, bound: int) -> tuple[DataFrame, DataFrame]:
+    """All open pairs of up to PIVOTS nodes of each list, and these nodes as (list_id, node); saved.
+
+    Nodes of the component with most nodes in a list needn't be compared from their
+    side: the others meet them all.
+    """
+    sizes = left.groupBy("list_id", "comp").agg(F.count("*").alias("m"))
+    major = sizes.groupBy("list_id").agg(F.max(F.struct("m", "comp")).alias("m")).select("list_id", F.col("m.comp").alias("major"))
+    minor = left.join(major, "list_id").where("comp <> major")
+    if done is not None:
+        minor = minor.join(done, ["list_id", "node"], "left_anti")
+    turn = F.row_number().over(W.partitionBy("list_id").orderBy("node"))
+    some = minor.withColumn("turn", turn).where(F.col("turn") <= PIVOTS)
+    some = saved(some.select("list_id", *[F.col(c).alias(f"other_{c}") for c in ("node", "comp", "n", "bits")]))
+    on = (left["list_id"] == some["list_id"]) & (F.col("comp") != F.col("other_comp"))
+    met = left.join(some, on & _admits(bound, "n", "bits", "other_n", "other_bits"))
+    return _pairs(met.withColumnRenamed("other_node", "other")), some.select("list_id", F.col("other_node").alias("node"))
+
+
+def linked_components(lists: DataFrame, traits: DataFrame, bound: int, verify: Verify) -> DataFrame:
     """(node, comp) of all nodes with a link, from posting lists and a check of pairs; saved.
 
+    ``traits``: node, n, bits: the size and the parity bits of each node's set.
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are linked.
+    The first rounds compare each node with one other; what they leave unconnected is
+    compared in full.
     """
-    pairs = lists.where("rank = 0").select("list_id", F.col("node").alias("a")).join(lists.where("rank > 0"), "list_id")
-    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    tried = saved(pairs)
-    links = verify(tried)
-    comps, start = components(links), 1
+    spark = lists.sparkSession
+    comps = spark.createDataFrame([], "node long, comp long")
+    tried, done, turn = None, None, 0
+    traits = traits.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    degrees = lists.groupBy("node").agg(F.count("*").alias("degree"))
+    lists = saved(lists.join(degrees.join(traits, "node"), "node"))
     while True:
         state = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # A list with one component, or without two nodes from rank ``start`` on, is done.
-        split = state.groupBy("list_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rank").alias("top"))
-        split = split.where((F.col("lo") != F.col("hi")) & (F.col("top") > start)).select("list_id")
-        left = saved(state.join(split, "list_id").select("list_id", "node", "rank", "comp"))
+        split = state.groupBy("list_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list_id")
+        left = saved(state.join(split, "list_id"))
         if left.isEmpty():
             return comps
-        pivots = left.where((F.col("rank") >= start) & (F.col("rank") < start + PIVOTS))
-        pivots = pivots.select("list_id", F.col("node").alias("a"), F.col("rank").alias("a_rank"), F.col("comp").alias("a_comp"))
-        met = left.join(pivots, "list_id").where("rank > a_rank and comp <> a_comp")
-        pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        new = saved(pairs.join(tried, ["a", "b"], "left_anti"))
+        if turn < QUICK_ROUNDS:
+            pairs = _one_for_each(left, turn, bound)
+        else:
+            pairs, some = _all_of_some(left, done, bound)
+            if some.isEmpty():
+                return comps
+            done = some if done is None else done.unionByName(some)
+        new = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         drop_saved(left)
+        tried, turn = new if tried is None else tried.unionByName(new), turn + 1
+        if new.isEmpty():
+            continue
         found = verify(new)
-        stars = comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
-        comps = components(stars.unionByName(found))
-        tried, start = tried.unionByName(new), start + PIVOTS
+        if not found.isEmpty():
+            stars = comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
+            comps = components(stars.unionByName(found))
 
 
 def only_ids(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:

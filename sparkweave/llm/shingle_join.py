@@ -22,7 +22,6 @@ linked; an empty table gives an empty table; other columns are ignored or carrie
 from __future__ import annotations
 
 import hashlib
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import drop_saved, map_batches, saved, texts_of
-from .linkage import linked_components, only_ids, posting_lists
+from .linkage import linked_components, only_ids, parity_bits, posting_lists
 
 #: Words of a shingle; the bound in hundredths.
 WORDS, BOUND = 5, 80
@@ -43,10 +42,6 @@ FREQUENT, FREQUENT_KNOWN, SPARE = 32, 1 << 20, 15
 SINGLE, PER_CLASS = 16, 16
 MEMO_WORDS = 300_000
 
-SPLIT = re.compile(r"[^\x20\x09-\x0D]+").findall
-#: Upper case A-Z to lower, nothing else.
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
@@ -60,13 +55,9 @@ class Shingler:
     """The distinct shingle hashes of a text, sorted."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
-
-    def words(self, text: str) -> list[str]:
-        # str.lower would also change letters beyond ASCII.
-        return SPLIT(text.translate(LOWER) if not text.isascii() else text.lower())
+        self.memo: dict[bytes, int] = {}
 
-    def hashes(self, words: list[str]) -> np.ndarray:
+    def hashes(self, words: list[bytes]) -> np.ndarray:
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
@@ -83,16 +74,19 @@ class Shingler:
         return np.array(found, np.uint64)
 
     def __call__(self, text: str) -> np.ndarray:
-        words = self.words(text)
+        # Bytes know just the letters A-Z and the white space that the words are made by.
+        words = text.encode().lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        h = self.hashes(words)
-        n = max(1, len(h) - WORDS + 1)
+        h, size = self.hashes(words), min(len(words), WORDS)
+        n = len(h) - size + 1
+        total = np.full(n, np.uint64(size))
         with np.errstate(over="ignore"):
-            total = np.full(n, np.uint64(min(len(h), WORDS)))
-            for k in range(min(len(h), WORDS)):
-                total = _mix(total * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-        return np.unique(total)
+            for k in range(size):
+                total *= np.uint64(0x9E3779B97F4A7C15)
+                total += h[k : k + n]
+        total = np.sort(_mix(total))
+        return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 def least_shared(n: int) -> int:
@@ -114,6 +108,21 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return shared > 0 and 100 * shared >= BOUND * (len(a) + len(b) - shared)
 
 
+def may_be_similar(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
+    """False where two sets, of each of which the smallest tokens are given, can't be similar.
+
+    Up to the smaller of their last tokens both are known in full; if they already
+    differ there by more tokens than similar sets may differ by, they aren't similar.
+    """
+    ends = [x[-1] for x, n in ((a, n_a), (b, n_b)) if len(x) < n]
+    if ends:
+        a, b = a[: np.searchsorted(a, min(ends), "right")], b[: np.searchsorted(b, min(ends), "right")]
+    at = np.searchsorted(a, b)
+    inside = at < len(a)
+    shared = int(np.count_nonzero(a[at[inside]] == b[inside]))
+    return (len(a) + len(b) - 2 * shared) * (100 + BOUND) <= (n_a + n_b) * (100 - BOUND)
+
+
 def index_keys(tokens: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray | None:
     """Keys under which a set of n tokens is indexed; None if more of its tokens are needed.
 
@@ -144,7 +153,7 @@ def index_keys(tokens: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray |
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets, null if empty), tokens: the smallest ones as bytes."""
+    """doc_id, n_shingles, set_key (equal for equal sets, null if empty), tokens: the smallest ones as bytes, bits."""
 
     def make():
         shingler = Shingler()
@@ -157,15 +166,24 @@ def token_sets(docs: DataFrame) -> DataFrame:
                 "n_shingles": [len(s) for s in sets],
                 "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "tokens": [s[:k].tobytes() for s, k in zip(sets, take)],
+                "bits": list(map(parity_bits, sets)),
             }
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles int, set_key binary, tokens binary")
+    kinds = "doc_id long, n_shingles int, set_key binary, tokens binary, bits array<long>"
+    return map_batches(docs.select("doc_id", "text"), make, kinds)
 
 
-def frequent_tokens(classes: DataFrame) -> np.ndarray:
-    """The most frequent of the tokens that more than FREQUENT classes hold, sorted; at most FREQUENT_KNOWN."""
+def _frequent(tokens: DataFrame) -> np.ndarray:
+    """The most frequent of the tokens that more than FREQUENT sets hold, sorted; at most FREQUENT_KNOWN."""
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    top = counts.where(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_KNOWN).select("token")
+    return np.sort(top.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+
+
+def frequent_kept(classes: DataFrame) -> np.ndarray:
+    """Frequent ones of the tokens that are kept with the sets."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, list]:
@@ -173,9 +191,21 @@ def frequent_tokens(classes: DataFrame) -> np.ndarray:
 
         return work
 
-    counts = map_batches(classes.select("tokens"), make, "token long").groupBy("token").agg(F.count("*").alias("n"))
-    top = counts.where(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_KNOWN).select("token")
-    return np.sort(top.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    return _frequent(map_batches(classes.select("tokens"), make, "token long"))
+
+
+def frequent_whole(texts: DataFrame) -> np.ndarray:
+    """Frequent ones of all tokens of these documents."""
+
+    def make():
+        shingler = Shingler()
+
+        def work(batch: pa.RecordBatch) -> dict[str, list]:
+            return {"token": np.concatenate([shingler(t) for t in texts_of(batch)]).view(np.int64)}
+
+        return work
+
+    return _frequent(map_batches(texts.select("text"), make, "token long"))
 
 
 def _index(sets: DataFrame, frequent, whole: bool) -> DataFrame:
@@ -220,30 +250,44 @@ def _wanting(classes: DataFrame, frequent) -> DataFrame:
     return map_batches(classes.select("node", "n_shingles", "tokens"), make, "node long")
 
 
-def _verifier(docs: DataFrame, lists: DataFrame, sizes: DataFrame):
-    """A check of pairs on the whole texts of the documents that are in any list."""
-    nodes = lists.select(F.col("node").alias("doc_id")).distinct()
-    texts = saved(only_ids(docs.select("doc_id", "text"), nodes, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+def _verifier(docs: DataFrame, classes: DataFrame):
+    """A check of pairs: by the tokens kept with the sets, then on the whole texts."""
 
-    def make():
+    def can():
+        def work(batch: pa.RecordBatch) -> dict[str, list]:
+            columns = (batch.column(c).to_pylist() for c in ("tokens_a", "n_a", "tokens_b", "n_b"))
+            tokens = lambda t: np.frombuffer(t, np.uint64)
+            keep = pa.array([may_be_similar(tokens(x), m, tokens(y), n) for x, m, y, n in zip(*columns)], pa.bool_())
+            return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
+
+        return work
+
+    def do():
         shingler = Shingler()
-        tokens = lru_cache(256)(shingler)
+        sets = lru_cache(64)(shingler)
 
         def work(batch: pa.RecordBatch) -> dict[str, list]:
-            one, two = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            same = [similar(tokens(x or ""), shingler(y or "")) for x, y in zip(one, two)]
-            keep = pa.array(same, pa.bool_())
+            pairs = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
+            keep = pa.array([similar(sets(x or ""), shingler(y or "")) for x, y in pairs], pa.bool_())
             return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
 
         return work
 
+    def ids(pairs: DataFrame, name: str) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias(name)).distinct()
+
     def verify(pairs: DataFrame) -> DataFrame:
-        n = lambda c: sizes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"))
+        held = only_ids(classes, saved(ids(pairs, "node")), "node")
+        side = lambda c: held.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}"))
+        likely = saved(map_batches(pairs.join(side("b"), "b").join(side("a"), "a"), can, "a long, b long"))
+        if likely.isEmpty():
+            return likely
+        texts = only_ids(docs.select("doc_id", "text"), saved(ids(likely, "doc_id")), "doc_id")
+        texts = saved(texts.groupBy("doc_id").agg(F.min("text").alias("text")))
         text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-        near = pairs.join(n("a"), "a").join(n("b"), "b")
-        near = near.where(f"100 * least(n_a, n_b) >= {BOUND} * greatest(n_a, n_b)").select("a", "b")
-        both = near.join(text("b"), "b").join(text("a"), "a")
-        return saved(map_batches(both, make, "a long, b long"))
+        found = saved(map_batches(likely.join(text("b"), "b").join(text("a"), "a"), do, "a long, b long"))
+        drop_saved(texts)
+        return found
 
     return verify
 
@@ -255,16 +299,21 @@ def join_components(docs: DataFrame) -> DataFrame:
     sets = saved(token_sets(docs))
     # Equal sets are one class; its node is its smallest doc_id.
     classes = sets.where("set_key is not null and doc_id is not null").groupBy("set_key")
-    classes = saved(classes.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.min("tokens").alias("tokens")))
+    classes = saved(classes.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.min("tokens").alias("tokens"), F.first("bits").alias("bits")))
     members = saved(sets.select("doc_id", "n_shingles", "set_key"))
     drop_saved(sets)
-    frequent = spark.sparkContext.broadcast(frequent_tokens(classes).tobytes())
+    # Sets that need more tokens than are kept with them are read whole; so are the
+    # frequent ones of their tokens then known.
+    known = frequent_kept(classes)
+    share = lambda tokens: spark.sparkContext.broadcast(tokens.tobytes())
+    whole = lambda nodes: only_ids(docs.withColumnRenamed("doc_id", "node"), nodes, "node")
+    wanting = saved(_wanting(classes, share(known)).distinct())
+    frequent = share(np.union1d(known, frequent_whole(whole(wanting))))
     wanting = saved(_wanting(classes, frequent).distinct())
-    more = only_ids(docs.withColumnRenamed("doc_id", "node"), wanting, "node")
-    lists = posting_lists(_index(classes, frequent, whole=False).unionByName(_index(more, frequent, whole=True)))
-    owner = saved(classes.select("set_key", "node", "n_shingles"))
-    drop_saved(classes)
-    found = linked_components(lists, _verifier(docs, lists, owner))
+    lists = posting_lists(_index(classes, frequent, whole=False).unionByName(_index(whole(wanting), frequent, whole=True)))
+    traits = classes.select("node", F.col("n_shingles").alias("n"), "bits")
+    found = linked_components(lists, traits, BOUND, _verifier(docs, classes))
+    owner = classes.select("set_key", "node")
     owner = owner.join(found, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
     return members.join(owner, "set_key", "left").select(
         "doc_id",
