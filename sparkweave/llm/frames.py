@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..workers import reach_workers
+
 #: Rows and bytes of an Arrow batch between the JVM and a Python worker. Texts can
 #: be long, so the library's default of 10,000 rows would not bound memory.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
@@ -21,18 +22,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def reach_workers(spark: SparkSession) -> None:
-    """Let Python workers that share this file system import this package from where it lies.
-
-    A cluster that doesn't share it gets the package with ``--py-files`` as usual.
-    """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    environment = spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in known:
-        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch size to what long texts allow."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
