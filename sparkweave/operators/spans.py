@@ -33,23 +33,19 @@ def best_span(tokens: DataFrame, group: list[str], bound: int | None = None, add
 def disjoint_spans(spans: DataFrame, group: str, bound: int, n: int) -> DataFrame:
     """The n best spans of each group that don't overlap, chosen greedily; ``spans``: group, s, e, score.
 
-    The choice depends on all earlier ones, so each group, a text's spans, is walked in Python.
+    A group is one text's spans: they are sorted and walked within the row, each kept
+    where it meets none of those kept before it.
     """
+    kind = "array<struct<loss:double,s:int,e:int>>"
+    short = spans.where((F.col("e") >= F.col("s")) & (F.col("e") - F.col("s") < bound))
+    listed = short.groupBy(group).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("loss"), "s", "e"))).alias("all"))
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, int, float]] = []
-        for s, e, score in rows.sort_values(["score", "s", "e"], ascending=[False, True, True])[["s", "e", "score"]].itertuples(index=False):
-            if all(a > e or b < s for a, b, _ in kept):
-                kept.append((s, e, score))
-                if len(kept) == n:
-                    break
-        out = pd.DataFrame(kept, columns=["s", "e", "score"])
-        out.insert(0, group, rows[group].iloc[0])
-        out["rank"] = range(1, len(out) + 1)
-        return out
-
-    short = spans.where((F.col("e") >= F.col("s")) & (F.col("e") - F.col("s") < bound)).select(group, "s", "e", "score")
-    return short.groupBy(group).applyInPandas(pick, f"{group} long, s int, e int, score double, rank int")
+    def step(kept, span):
+        free = F.forall(kept, lambda k: (k["s"] > span["e"]) | (k["e"] < span["s"]))
+        return F.when((F.size(kept) < n) & free, F.concat(kept, F.array(span))).otherwise(kept)
+
+    chosen = listed.select(group, F.posexplode(F.aggregate(F.col("all").cast(kind), F.array().cast(kind), step)).alias("at", "x"))
+    return chosen.select(group, "x.s", "x.e", (-F.col("x.loss")).alias("score"), (F.col("at") + 1).alias("rank"))
 
 
 def find_answers(words: list[str], answers: list[list[str]]) -> list[tuple[int, int]]:
