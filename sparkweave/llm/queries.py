@@ -80,4 +80,20 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The ledger of operator 3 in SQL; its words have no spaces, so that joined windows are equal only if their words are.
+_RULES_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS often FROM p) q, range(5) r(k) WHERE often > 1 GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls, coalesce(c.n, 0) AS n_repeat_words,
+  len(regexp_extract_all(text, '\p{Lu}')) AS n_upper, len(list_filter(list_zip(ws, ws[2:]), lambda z: z[1] = z[2])) AS n_echo_words
+  FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
+f AS (SELECT *, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM m),
+b AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+  + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT
+  + 64 * (10 * n_upper > 3 * word_chars)::BIGINT + 128 * (10 * n_echo_words > 2 * n_words)::BIGINT AS fail_bits FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 247 = 0 AS kept,
+  fail_bits, n_lines, n_upper, n_echo_words FROM b"""
+
+ORACLE_SQL = {"op3_quality_rules": _RULES_SQL}
