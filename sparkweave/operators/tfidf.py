@@ -24,8 +24,12 @@ def postings(corpus: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
-    """(term, df) of postings that hold each (document, term) once."""
-    return index.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df) of postings that hold each (document, term) once.
+
+    The count looks at tf, which is never 0: were tf not used here, the optimizer would
+    prune it, and a plan that needs the postings for weights too would make them twice.
+    """
+    return index.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
 
 
 def idf(df: Column, n: Column) -> Column:

@@ -45,13 +45,14 @@ def one_hop(questions: DataFrame, candidates: DataFrame, sentences: DataFrame, k
 
 def two_hops(
     questions: DataFrame, candidates1: DataFrame, candidates2: DataFrame, sentences: DataFrame,
-    k1: int, k2: int, spare: int = 4, alpha: float = 0.5,
+    k1: int, k2: int, spare: int = 4, alpha: float = 0.5, spare2: int | None = None,
 ) -> DataFrame:
     """(qid, p1, p2, score, rank): pairs of paragraphs found by two searches.
 
     The first search keeps k1 paragraphs; each gives a new query, the question moved
     towards the paragraph's best sentence; the second search ranks all paths of a
-    question together. A paragraph may follow itself.
+    question together. A paragraph may follow itself. ``spare2``: spare of the second
+    search, if it isn't that of the first.
     """
     hop1 = inner_products(candidates1.join(questions, "qid").join(sentences, "title"))
     cut = top_k(hop1, ["qid"], k1 * spare, ["sid"])
@@ -59,4 +60,4 @@ def two_hops(
     first = first.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy("r"))).where(F.col("n") <= k1)
     paths = first.select("qid", F.col("paragraph").alias("p1"), V.reformulate(F.col("at.q"), F.col("at.v"), alpha).alias("q"))
     hop2 = inner_products(candidates2.join(paths, "qid").join(sentences.withColumnRenamed("paragraph", "p2"), "title"))
-    return best_paragraphs(hop2, ["qid"], ["p1", "p2"], ["p1", "sid"], k2, spare).select("qid", "p1", "p2", "score", "rank")
+    return best_paragraphs(hop2, ["qid"], ["p1", "p2"], ["p1", "sid"], k2, spare2 or spare).select("qid", "p1", "p2", "score", "rank")

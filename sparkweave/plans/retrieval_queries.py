@@ -346,3 +346,26 @@ def A15_coverage_at_k(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("n_questions"), F.round(F.sum("hit") / F.sum("n"), 6).alias("hits"),
         mean(F.col("hit") == F.col("n")).alias("perfect"), mean(F.col("hit") > 0).alias("at_least_one"),
     )
+
+
+_MODIFIED = f"""{sql.SCORES}, {_GOLD}, gs AS (SELECT gold.qid, gold.doc_id, coalesce(score, 0) AS score FROM gold LEFT JOIN scores USING (qid, doc_id)),
+best AS (SELECT qid, arg_max(doc_id, (score, -doc_id)) AS best FROM gs GROUP BY qid),
+others AS (SELECT gold.qid, gold.doc_id FROM gold JOIN best USING (qid) WHERE gold.doc_id <> best),
+mq AS (SELECT best.qid, b.text || ' ' || d.text AS text FROM best JOIN benchmark b ON b.item_id = best.qid JOIN documents d ON d.doc_id = best),
+mp AS ({sql.postings("mq", "qid")}),
+ms AS (SELECT qid, doc_id, round(sum(ln(1 + mp.tf) * idf * ln(1 + dp.tf) * idf), 6) AS score FROM mp JOIN idf USING (term) JOIN dp USING (term) WHERE idf > 0 GROUP BY ALL),
+mr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM ms)"""
+
+
+@query(f"""WITH {_MODIFIED} SELECT o.qid, o.doc_id, coalesce(a.rank <= {K}, false) AS plain_hit, coalesce(b.rank <= {K}, false) AS modified_hit
+FROM others o LEFT JOIN ranked a ON a.qid = o.qid AND a.doc_id = o.doc_id LEFT JOIN mr b ON b.qid = o.qid AND b.doc_id = o.doc_id""")
+def A16_second_gold_hit(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the other gold documents are found by the question alone, and by it with the best gold's text."""
+    gold, best = _gold(spark, d), J34_best_gold(spark, d).select("qid", "best")
+    others = gold.join(best, "qid").where("doc_id <> best").select("qid", "doc_id")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("best"), F.col("text").alias("more"))
+    modified = _questions(spark, d).join(best, "qid").join(texts, "best").select("qid", F.concat_ws(" ", "text", "more").alias("text"))
+    scored = tfidf.scores(tfidf.postings(modified, "qid"), _index(spark, d), table(spark, d, "documents"))
+    hit = lambda s, name: tfidf.top_k(s, K).select("qid", "doc_id", F.lit(True).alias(name))
+    met = others.join(hit(_scores(spark, d), "plain_hit"), ["qid", "doc_id"], "left").join(hit(scored, "modified_hit"), ["qid", "doc_id"], "left")
+    return met.na.fill(False, ["plain_hit", "modified_hit"])

@@ -386,3 +386,12 @@ def P15_yes_no(spark: SparkSession, d: str) -> DataFrame:
 def P16_long_short(spark: SparkSession, d: str) -> DataFrame:
     size = F.when(F.size(T.tokens(F.col("text"))) > 900, "long").otherwise("short")
     return table(spark, d, "documents").select("doc_id", size.alias("size"))
+
+
+@query(f"""SELECT item_id, least(len(l), 20) AS n, array_to_string(list_resize(list_transform(l[1:20], lambda w: length(w)), 20, 0), ',') AS padded
+FROM (SELECT item_id, {sql.tokens('text')} AS l FROM benchmark)""")
+def T32_padded_indexes(spark: SparkSession, d: str) -> DataFrame:
+    """Token indexes (here lengths) cut and padded with 0 to 20, with the true length."""
+    rows = table(spark, d, "benchmark").select("item_id", F.slice(T.tokens(F.col("text")), 1, 20).alias("t"))
+    padded = F.concat(F.transform("t", F.length), F.array_repeat(F.lit(0), 20 - F.size("t")))
+    return rows.select("item_id", F.size("t").cast("long").alias("n"), F.array_join(F.transform(padded, lambda n: n.cast("string")), ",").alias("padded"))

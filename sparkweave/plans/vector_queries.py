@@ -44,15 +44,24 @@ q AS (SELECT sid AS qid, v AS q, title AS own FROM s WHERE sid % 20 = 0),
 c AS (SELECT qid, q, s.* FROM q JOIN s ON s.title = own OR s.title = (own + 1) % 10),
 scored AS (SELECT qid, q, sid, paragraph, title, v, round(list_dot_product(q, v), 6) AS score FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sid) AS rank FROM scored)"""
-_HOP1 = f"""{_BASE},
-h AS (SELECT qid, paragraph, min(rank) AS fr, max(score) AS score, arg_min(q, rank) AS q, arg_min(v, rank) AS v FROM r WHERE rank <= {K1 * SPARE} GROUP BY ALL),
-hop1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fr) AS rank FROM h) WHERE rank <= {K1})"""
-_HOP2 = f"""{_HOP1},
+
+
+def _hop1(k1: int, spare: int) -> str:
+    return f"""{_BASE},
+h AS (SELECT qid, paragraph, min(rank) AS fr, max(score) AS score, arg_min(q, rank) AS q, arg_min(v, rank) AS v FROM r WHERE rank <= {k1 * spare} GROUP BY ALL),
+hop1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fr) AS rank FROM h) WHERE rank <= {k1})"""
+
+
+def _hop2(k1: int, k2: int, spare: int, spare2: int) -> str:
+    return f"""{_hop1(k1, spare)},
 paths AS (SELECT hop1.qid, paragraph AS p1, own, list_transform(list_zip(hop1.q, v), lambda z: z[1] + 0.5 * z[2]) AS q2 FROM hop1 JOIN q ON q.qid = hop1.qid),
 m AS (SELECT qid, p1, paragraph AS p2, sid, round(list_dot_product(q2, v), 6) AS score FROM paths JOIN s ON s.title = own OR s.title = (own + 1) % 10),
 m2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, p1, sid) AS rank FROM m),
-g AS (SELECT qid, p1, p2, min(rank) AS fr, max(score) AS score FROM m2 WHERE rank <= {K2 * SPARE} GROUP BY ALL),
-hop2 AS (SELECT * FROM (SELECT qid, p1, p2, score, row_number() OVER (PARTITION BY qid ORDER BY fr) AS rank FROM g) WHERE rank <= {K2})"""
+g AS (SELECT qid, p1, p2, min(rank) AS fr, max(score) AS score FROM m2 WHERE rank <= {k2 * spare2} GROUP BY ALL),
+hop2 AS (SELECT * FROM (SELECT qid, p1, p2, score, row_number() OVER (PARTITION BY qid ORDER BY fr) AS rank FROM g) WHERE rank <= {k2})"""
+
+
+_HOP1, _HOP2 = _hop1(K1, SPARE), _hop2(K1, K2, SPARE, SPARE)
 
 
 @query(f"WITH {_BASE} SELECT qid, sid, score, rank FROM r WHERE rank <= 10")
@@ -176,6 +185,20 @@ def J21_two_hop_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return _two_hops(spark, d)
 
 
+@query(f"WITH {_hop2(8, 45, 4, 4)} SELECT qid, p1, p2, score, rank FROM hop2")
+def J22_two_hop_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The per-question form with stored vectors, at its wide settings."""
+    c = _candidates(spark, d)
+    return O.two_hops(_questions(spark, d).drop("own"), c, c, _sentences(spark, d), 8, 45, 4)
+
+
+@query(f"WITH {_hop2(5, 20, 2, 5)} SELECT qid, p1, p2, score, rank FROM hop2")
+def J23_two_hop_older(spark: SparkSession, d: str) -> DataFrame:
+    """The older form: twice k1 sentences in the first search, k1 times k2 in the second."""
+    c = _candidates(spark, d)
+    return O.two_hops(_questions(spark, d).drop("own"), c, c, _sentences(spark, d), 5, 20, 2, spare2=5)
+
+
 @query(f"WITH {_HOP2} SELECT qid, count(*) AS n_paths, count(DISTINCT p2) AS n_second, max(score) AS best FROM hop2 GROUP BY qid")
 def J20_hop2_paths(spark: SparkSession, d: str) -> DataFrame:
     return _two_hops(spark, d).groupBy("qid").agg(F.count("*").alias("n_paths"), F.countDistinct("p2").alias("n_second"), F.max("score").alias("best"))
