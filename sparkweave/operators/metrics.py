@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -70,9 +71,10 @@ def running(table: DataFrame, score: str, columns: list[str], buckets: int = 64)
     """``up_<column>``: sums over rows of greater score, this one's left out, and the totals ``all_<column>``.
 
     Sums run within ranges of the score; the ranges' own sums, one row each, are added
-    to them, so that no task holds all scores.
+    to them, so that no task holds all scores. The ranges come from a sample and so are
+    kept on disk: both uses must see the same ones.
     """
-    ranged = table.repartitionByRange(buckets, F.desc(score)).withColumn("part", F.spark_partition_id())
+    ranged = table.repartitionByRange(buckets, F.desc(score)).withColumn("part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     totals = ranged.groupBy("part").agg(*[F.sum(c).alias(f"part_{c}") for c in columns])
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     every = W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)

@@ -6,6 +6,7 @@ on the order in which rows arrive.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -20,9 +21,10 @@ def numbered(df: DataFrame, order: list[Column], buckets: int = 200) -> DataFram
     """``n`` from 0 along the order, without one task that holds all rows.
 
     Rows are dealt into ranges of the order; each range is numbered on its own and
-    moved up by the sizes of the ranges before it, which are one row each.
+    moved up by the sizes of the ranges before it, which are one row each. The ranges
+    come from a sample and so are kept on disk: both uses must see the same ones.
     """
-    ranged = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
+    ranged = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shift = sizes.select("_part", before.alias("_before"))

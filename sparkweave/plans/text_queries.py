@@ -333,17 +333,23 @@ def P07_has_ngram(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def P08_answer_in_text(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold an item's text. A shared word run of the item is the join key, so that
-    not every pair of texts is compared."""
-    items = table(spark, d, "benchmark").withColumnRenamed("text", "answer")
+    """Documents that hold an item's text.
+
+    Four words from inside the item are the join key, so that not every pair of texts is
+    compared. The few items that are too short for that, a given query set, are looked
+    for in every text.
+    """
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    inner = T.let(words(F.col("answer")), lambda w: F.slice(w, 3, 4))  # whole words, since they aren't at the ends
-    keyed = items.withColumn("key", F.array_join(inner, " "))
-    runs = T.let(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.array_distinct(F.transform(
+    items = table(spark, d, "benchmark").withColumnRenamed("text", "answer").withColumn("w", words(F.col("answer")))
+    # Whole words, since they aren't at the ends, where a text's word may go on.
+    keyed = items.where("size(w) >= 6").withColumn("key", F.array_join(F.slice("w", 2, 4), " ")).drop("w")
+    runs = T.let(words(F.coalesce("text", F.lit(""))), lambda w: F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 3)), lambda i: F.array_join(F.slice(w, i, 4), " "))))
     docs = table(spark, d, "documents").select("doc_id", "text")
     met = docs.select("doc_id", "text", F.explode(runs).alias("key")).join(keyed, "key")
-    return met.where(F.contains("text", "answer")).select("item_id", "doc_id").distinct()
+    long = met.where(F.contains("text", "answer")).select("item_id", "doc_id").distinct()
+    short = items.where("size(w) < 6").select("item_id", "answer")
+    return long.union(docs.join(short, F.contains("text", "answer")).select("item_id", "doc_id"))
 
 
 @query(f"""
