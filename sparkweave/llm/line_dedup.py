@@ -18,7 +18,6 @@ an empty table gives an empty table; other columns are carried along.
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import drop_saved, map_batches, saved, texts_of
+from .frames import map_batches, saved, texts_of
 from .linkage import BROADCAST_IDS, linked_components, parity_bits, posting_lists
 
 #: Characters of a shingle; the bound in hundredths; words that a line needs to be removed.
@@ -34,14 +33,12 @@ CHARS, BOUND, MIN_WORDS = 5, 80, 4
 #: Bins of a signature; bands and rows of each; bins between the rows of a band, so that
 #: bins which a short line leaves empty aren't filled from one neighbour.
 BINS, BANDS, ROWS, STRIDE = 128, 18, 6, 21
-#: Characters that are hashed at a time.
-CHUNK = 1 << 18
-
-SPACES = re.compile(r"[\x20\x09-\x0D]+")
+#: Characters and lines that are hashed at a time: a line, however short, takes BINS numbers.
+CHUNK, CHUNK_LINES = 1 << 18, 2048
 
 
 def normal(line: str) -> str:
-    return SPACES.sub(" ", line).strip(" ").lower()
+    return " ".join(line.lower().split())
 
 
 def key_of(line: str) -> int:
@@ -62,8 +59,11 @@ def shingle_codes(text: str) -> np.ndarray:
     code = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(min(CHARS, len(points))):
-            code = (code ^ points[k : k + n]) * np.uint64(0xD6E8FEB86659FD93)
-            code ^= code >> np.uint64(32)
+            code += points[k : k + n]
+            code *= np.uint64(0xD6E8FEB86659FD93)
+        code ^= code >> np.uint64(32)
+        code *= np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
     return code
 
 
@@ -97,13 +97,13 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) keys: equal where all rows of a band are."""
-    table = signatures(lines).astype(np.uint64)
+    table = np.ascontiguousarray(signatures(lines).view(np.uint64).T)
     out = np.empty((len(lines), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for b in range(BANDS):
             key = np.full(len(lines), np.uint64(b + 1))
             for r in range(ROWS):
-                key = (key ^ table[:, b + STRIDE * r]) * np.uint64(0x9E3779B97F4A7C15)
+                key = (key ^ table[b + STRIDE * r]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
             out[:, b] = key
     return out.view(np.int64)
@@ -146,7 +146,7 @@ def _banded(docs: DataFrame) -> DataFrame:
             lines = {line: None for text in texts_of(batch) for _, line in long_lines(text)}
             keys, nodes, part, size = [], [], [], 0
             for line in [*lines, None]:
-                if part and (line is None or size > CHUNK):
+                if part and (line is None or size > CHUNK or len(part) >= CHUNK_LINES):
                     found = band_keys(part)
                     keys.append(found.ravel())
                     nodes.append(np.repeat(np.fromiter(map(key_of, part), np.int64, len(part)), BANDS))
@@ -216,7 +216,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "line"))
     firsts = saved(occurrences.groupBy("key").agg(first.alias("first"), F.count("*").alias("n")))
     lists = posting_lists(_banded(docs))
-    texts = _line_texts(docs, lists.select("node").distinct())
+    texts = _line_texts(docs, lists.select(F.explode("nodes").alias("node")).distinct())
     traits = texts.select("node", "n", "bits")
     found = linked_components(lists, traits, BOUND, _verifier(texts)).withColumnRenamed("node", "key")
     owned = firsts.join(found, "key", "left").withColumn("comp", F.coalesce("comp", "key"))

@@ -22,10 +22,11 @@ from pyspark.sql.window import Window as W
 
 from .frames import bounded_batches, drop_saved, reach_workers, saved
 
-#: Nodes of a list packed in one row; rounds with one pair for each node; nodes of a
-#: list compared with the rest in each later round; names of lists that a task
-#: remembers; ids that may be broadcast.
-PACK, QUICK_ROUNDS, PIVOTS, REMEMBERED, BROADCAST_IDS = 512, 2, 256, 500_000, 1_000_000
+#: Nodes of a list packed in one row; of a list compared in full at once; most rounds
+#: with one pair for each node, which go on while a quarter of the pairs are links;
+#: nodes of a list compared with the rest in each later round; names of lists that a
+#: task remembers; ids that may be broadcast.
+PACK, SHORT, QUICK_ROUNDS, PIVOTS, REMEMBERED, BROADCAST_IDS = 512, 4, 6, 256, 500_000, 1_000_000
 #: Parity bits of a set.
 BITS = 1024
 
@@ -91,7 +92,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def posting_lists(rows: DataFrame) -> DataFrame:
-    """(list_id, node) of all lists of two nodes or more, from rows (key, node); saved.
+    """(list_id, first_rank, nodes) of all lists of two nodes or more, packed, from rows (key, node); saved.
 
     Of lists with the same nodes one is kept. Two different lists share a name with odds of 2^-64.
     """
@@ -100,8 +101,7 @@ def posting_lists(rows: DataFrame) -> DataFrame:
     bounded_batches(spark)
     dealt = rows.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
     packed = dealt.mapInArrow(_packed, "list_id long, first_rank long, nodes array<long>")
-    once = packed.dropDuplicates(["list_id", "first_rank"])
-    return saved(once.select("list_id", F.explode("nodes").alias("node")))
+    return saved(packed.dropDuplicates(["list_id", "first_rank"]))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,18 +188,32 @@ def _all_of_some(left: DataFrame, done: DataFrame | None, bound: int) -> tuple[D
     return _pairs(met.withColumnRenamed("other_node", "other")), some.select("list_id", F.col("other_node").alias("node"))
 
 
-def linked_components(lists: DataFrame, traits: DataFrame, bound: int, verify: Verify) -> DataFrame:
+def _pairs_of_short(packed: DataFrame, traits: DataFrame, bound: int) -> DataFrame:
+    """All pairs of the lists of at most SHORT nodes: linear in the number of lists."""
+    each = F.flatten(
+        F.transform("nodes", lambda a, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    )
+    pairs = packed.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct()
+    of = lambda c: traits.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    first, second = pairs.join(of("a"), "a"), of("b").withColumnRenamed("b", "node_b")
+    on = (F.col("b") == F.col("node_b")) & _admits(bound, "n_a", "bits_a", "n_b", "bits_b")
+    return first.join(second, on).select("a", "b")
+
+
+def linked_components(packed: DataFrame, traits: DataFrame, bound: int, verify: Verify) -> DataFrame:
     """(node, comp) of all nodes with a link, from posting lists and a check of pairs; saved.
 
     ``traits``: node, n, bits: the size and the parity bits of each node's set.
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are linked.
-    The first rounds compare each node with one other; what they leave unconnected is
-    compared in full.
+    Short lists are compared in full at once. Of the others, the first rounds compare
+    each node with one other; what they leave unconnected is compared in full.
     """
-    spark = lists.sparkSession
-    comps = spark.createDataFrame([], "node long, comp long")
-    tried, done, turn = None, None, 0
-    traits = traits.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    traits = saved(traits.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
+    short = (F.col("first_rank") == 0) & (F.size("nodes") <= SHORT)
+    tried = saved(_pairs_of_short(packed.where(short), traits, bound))
+    comps = components(verify(tried))
+    done, turn, quick = None, 0, True
+    lists = packed.where(~short).select("list_id", F.explode("nodes").alias("node"))
     degrees = lists.groupBy("node").agg(F.count("*").alias("degree"))
     lists = saved(lists.join(degrees.join(traits, "node"), "node"))
     while True:
@@ -208,20 +222,22 @@ def linked_components(lists: DataFrame, traits: DataFrame, bound: int, verify: V
         left = saved(state.join(split, "list_id"))
         if left.isEmpty():
             return comps
-        if turn < QUICK_ROUNDS:
+        quick = quick and turn < QUICK_ROUNDS
+        if quick:
             pairs = _one_for_each(left, turn, bound)
         else:
             pairs, some = _all_of_some(left, done, bound)
             if some.isEmpty():
                 return comps
             done = some if done is None else done.unionByName(some)
-        new = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        new = saved(pairs.join(tried, ["a", "b"], "left_anti"))
         drop_saved(left)
-        tried, turn = new if tried is None else tried.unionByName(new), turn + 1
-        if new.isEmpty():
-            continue
-        found = verify(new)
-        if not found.isEmpty():
+        tried, turn = tried.unionByName(new), turn + 1
+        n_new = new.count()
+        found = verify(new) if n_new else new
+        n_found = found.count()
+        quick = quick and 4 * n_found > n_new
+        if n_found:
             stars = comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
             comps = components(stars.unionByName(found))
 
