@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from ..workers import reach_workers
 
 #: Rows and bytes of an Arrow batch between the JVM and a Python worker. Texts can
 #: be long, so the library's default of 10,000 rows would not bound memory.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +81,46 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+class Scratch:
+    """What is saved within it is deleted when it ends, but for what is kept.
+
+    A frame that leaves it must itself be kept: a plan that still reads another frame
+    saved within would find no files.
+    """
+
+    open: ClassVar[list[Scratch]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` saved so that it outlasts this scratch."""
+        out = saved(df)
+        self.paths.pop()
+        return out
+
+    def __exit__(self, *error: object) -> None:
+        Scratch.open.remove(self)
+        for path in self.paths:
+            _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sparkweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if Scratch.open:
+        Scratch.open[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -94,5 +130,4 @@ def drop_saved(df: DataFrame) -> None:
     for root in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/sparkweave-" not in root:
             raise ValueError(f"not a saved frame: {root}")
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, root)

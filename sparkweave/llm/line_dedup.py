@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_batches, saved, texts_of
-from .linkage import BROADCAST_IDS, linked_components, parity_bits, posting_lists
+from .frames import Scratch, map_batches, saved, texts_of
+from .linkage import BROADCAST_IDS, linked_components, only_ids, parity_bits, posting_lists
 
 #: Characters of a shingle; the bound in hundredths; words that a line needs to be removed.
 CHARS, BOUND, MIN_WORDS = 5, 80, 4
@@ -202,7 +202,9 @@ def _verifier(texts: DataFrame):
         return work
 
     def verify(pairs: DataFrame) -> DataFrame:
-        text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+        ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        held = only_ids(texts.select("node", "text"), ids, "node")
+        text = lambda c: held.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         both = pairs.join(text("b"), "b").join(text("a"), "a")
         return saved(map_batches(both, make, "a long, b long"))
 
@@ -212,27 +214,28 @@ def _verifier(texts: DataFrame):
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, exact, fuzzy: the numbers of its lines to remove, equal to an earlier line or similar to one; saved."""
     docs = docs.select("doc_id", "text")
-    occurrences = saved(_occurrences(docs))
-    first = F.min(F.struct("doc_id", "line"))
-    firsts = saved(occurrences.groupBy("key").agg(first.alias("first"), F.count("*").alias("n")))
-    lists = posting_lists(_banded(docs))
-    texts = _line_texts(docs, lists.select(F.explode("nodes").alias("node")).distinct())
-    traits = texts.select("node", "n", "bits")
-    found = linked_components(lists, traits, BOUND, _verifier(texts)).withColumnRenamed("node", "key")
-    owned = firsts.join(found, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    stays = owned.join(found.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("first").alias("stays"))
-    # Only lines that occur twice or have a link can go.
-    where = owned.where(F.col("n") > 1).unionByName(owned.where("n = 1").join(found.select("key"), "key", "left_semi"))
-    where = where.join(stays, "comp", "left").select("key", "first", F.coalesce("stays", "first").alias("stays"))
-    judged = occurrences.join(where, "key").withColumn("here", F.struct("doc_id", "line"))
-    gone = judged.where(F.col("here") != F.col("stays"))
-    exact = F.col("here") != F.col("first")
-    return saved(
-        gone.groupBy("doc_id").agg(
-            F.array_sort(F.collect_set(F.when(exact, F.col("line")))).alias("exact"),
-            F.array_sort(F.collect_set(F.when(~exact, F.col("line")))).alias("fuzzy"),
+    with Scratch(docs.sparkSession) as scratch:
+        occurrences = saved(_occurrences(docs))
+        first = F.min(F.struct("doc_id", "line"))
+        firsts = saved(occurrences.groupBy("key").agg(first.alias("first"), F.count("*").alias("n")))
+        lists = posting_lists(_banded(docs))
+        texts = _line_texts(docs, lists.select(F.explode("nodes").alias("node")).distinct())
+        traits = texts.select("node", "n", "bits")
+        found = linked_components(lists, traits, BOUND, _verifier(texts)).withColumnRenamed("node", "key")
+        owned = firsts.join(found, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        stays = owned.join(found.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("first").alias("stays"))
+        # Only lines that occur twice or have a link can go.
+        where = owned.where(F.col("n") > 1).unionByName(owned.where("n = 1").join(found.select("key"), "key", "left_semi"))
+        where = where.join(stays, "comp", "left").select("key", "first", F.coalesce("stays", "first").alias("stays"))
+        judged = occurrences.join(where, "key").withColumn("here", F.struct("doc_id", "line"))
+        gone = judged.where(F.col("here") != F.col("stays"))
+        exact = F.col("here") != F.col("first")
+        return scratch.keep(
+            gone.groupBy("doc_id").agg(
+                F.array_sort(F.collect_set(F.when(exact, F.col("line")))).alias("exact"),
+                F.array_sort(F.collect_set(F.when(~exact, F.col("line")))).alias("fuzzy"),
+            )
         )
-    )
 
 
 def line_report(docs: DataFrame) -> DataFrame:

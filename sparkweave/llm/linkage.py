@@ -23,7 +23,7 @@ from pyspark.sql.window import Window as W
 from .frames import bounded_batches, drop_saved, reach_workers, saved
 
 #: Nodes of a list packed in one row; of a list compared in full at once; most rounds
-#: with one pair for each node, which go on while a quarter of the pairs are links;
+#: with one pair for each node, which go on while half of the pairs are links;
 #: nodes of a list compared with the rest in each later round; names of lists that a
 #: task remembers; ids that may be broadcast.
 PACK, SHORT, QUICK_ROUNDS, PIVOTS, REMEMBERED, BROADCAST_IDS = 512, 4, 6, 256, 500_000, 1_000_000
@@ -206,16 +206,18 @@ def linked_components(packed: DataFrame, traits: DataFrame, bound: int, verify:
     ``traits``: node, n, bits: the size and the parity bits of each node's set.
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are linked.
     Short lists are compared in full at once. Of the others, the first rounds compare
-    each node with one other; what they leave unconnected is compared in full.
+    each node with one other; what these leave unconnected is compared in full.
     """
     traits = saved(traits.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
-    short = (F.col("first_rank") == 0) & (F.size("nodes") <= SHORT)
-    tried = saved(_pairs_of_short(packed.where(short), traits, bound))
-    comps = components(verify(tried))
-    done, turn, quick = None, 0, True
-    lists = packed.where(~short).select("list_id", F.explode("nodes").alias("node"))
+    is_short = (F.col("first_rank") == 0) & (F.size("nodes") <= SHORT)
+    lists = packed.where(~is_short).select("list_id", F.explode("nodes").alias("node"))
     degrees = lists.groupBy("node").agg(F.count("*").alias("degree"))
     lists = saved(lists.join(degrees.join(traits, "node"), "node"))
+    # Before the first links each node is its own component.
+    heads = _one_for_each(lists.withColumn("comp", F.col("node")), 0, bound)
+    tried = saved(_pairs_of_short(packed.where(is_short), traits, bound).unionByName(heads).distinct())
+    comps = components(verify(tried))
+    done, turn, quick = None, 1, True
     while True:
         state = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         split = state.groupBy("list_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list_id")
@@ -236,7 +238,7 @@ def linked_components(packed: DataFrame, traits: DataFrame, bound: int, verify:
         n_new = new.count()
         found = verify(new) if n_new else new
         n_found = found.count()
-        quick = quick and 4 * n_found > n_new
+        quick = quick and 2 * n_found > n_new
         if n_found:
             stars = comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
             comps = components(stars.unionByName(found))

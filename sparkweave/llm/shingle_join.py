@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import drop_saved, map_batches, saved, texts_of
+from .frames import Scratch, drop_saved, map_batches, saved, texts_of
 from .linkage import linked_components, only_ids, parity_bits, posting_lists
 
 #: Words of a shingle; the bound in hundredths.
@@ -296,30 +296,32 @@ def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sets = saved(token_sets(docs))
-    # Equal sets are one class; its node is its smallest doc_id.
-    classes = sets.where("set_key is not null and doc_id is not null").groupBy("set_key")
-    classes = saved(classes.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.min("tokens").alias("tokens"), F.first("bits").alias("bits")))
-    members = saved(sets.select("doc_id", "n_shingles", "set_key"))
-    drop_saved(sets)
-    # Sets that need more tokens than are kept with them are read whole; so are the
-    # frequent ones of their tokens then known.
-    known = frequent_kept(classes)
-    share = lambda tokens: spark.sparkContext.broadcast(tokens.tobytes())
-    whole = lambda nodes: only_ids(docs.withColumnRenamed("doc_id", "node"), nodes, "node")
-    wanting = saved(_wanting(classes, share(known)).distinct())
-    frequent = share(np.union1d(known, frequent_whole(whole(wanting))))
-    wanting = saved(_wanting(classes, frequent).distinct())
-    lists = posting_lists(_index(classes, frequent, whole=False).unionByName(_index(whole(wanting), frequent, whole=True)))
-    traits = classes.select("node", F.col("n_shingles").alias("n"), "bits")
-    found = linked_components(lists, traits, BOUND, _verifier(docs, classes))
-    owner = classes.select("set_key", "node")
-    owner = owner.join(found, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
-    return members.join(owner, "set_key", "left").select(
-        "doc_id",
-        F.col("n_shingles").cast("long").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"),
-    )
+    with Scratch(spark) as scratch:
+        sets = saved(token_sets(docs))
+        # Equal sets are one class; its node is its smallest doc_id.
+        classes = sets.where("set_key is not null and doc_id is not null").groupBy("set_key")
+        classes = saved(classes.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.min("tokens").alias("tokens"), F.first("bits").alias("bits")))
+        members = saved(sets.select("doc_id", "n_shingles", "set_key"))
+        drop_saved(sets)
+        # Sets that need more tokens than are kept with them are read whole; so are the
+        # frequent ones of their tokens then known.
+        known = frequent_kept(classes)
+        share = lambda tokens: spark.sparkContext.broadcast(tokens.tobytes())
+        whole = lambda nodes: only_ids(docs.withColumnRenamed("doc_id", "node"), nodes, "node")
+        wanting = saved(_wanting(classes, share(known)).distinct())
+        frequent = share(np.union1d(known, frequent_whole(whole(wanting))))
+        wanting = saved(_wanting(classes, frequent).distinct())
+        lists = posting_lists(_index(classes, frequent, whole=False).unionByName(_index(whole(wanting), frequent, whole=True)))
+        traits = classes.select("node", F.col("n_shingles").alias("n"), "bits")
+        found = linked_components(lists, traits, BOUND, _verifier(docs, classes))
+        owner = classes.select("set_key", "node")
+        owner = owner.join(found, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
+        result = members.join(owner, "set_key", "left").select(
+            "doc_id",
+            F.col("n_shingles").cast("long").alias("n_shingles"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"),
+        )
+        return scratch.keep(result)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
