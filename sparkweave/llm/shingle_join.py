@@ -160,7 +160,7 @@ def token_sets(docs: DataFrame) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> dict[str, list]:
             sets = [shingler(t) for t in texts_of(batch)]
-            take = [prefix_length(len(s)) * (100 + SPARE) // 100 + 2 for s in sets]
+            take = [n_kept(len(s)) for s in sets]
             return {
                 "doc_id": batch.column("doc_id"),
                 "n_shingles": [len(s) for s in sets],
@@ -176,8 +176,8 @@ def token_sets(docs: DataFrame) -> DataFrame:
 
 
 def _frequent(tokens: DataFrame) -> np.ndarray:
-    """The most frequent of the tokens that more than FREQUENT sets hold, sorted; at most FREQUENT_KNOWN."""
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    """The most frequent of the tokens (token, n) that more than FREQUENT sets hold, sorted; at most FREQUENT_KNOWN."""
+    counts = tokens.groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_KNOWN).select("token")
     return np.sort(top.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
@@ -187,25 +187,35 @@ def frequent_kept(classes: DataFrame) -> np.ndarray:
 
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, list]:
-            return {"token": np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.int64)}
+            return _counted([np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()])
 
         return work
 
-    return _frequent(map_batches(classes.select("tokens"), make, "token long"))
+    return _frequent(map_batches(classes.select("tokens"), make, "token long, n long"))
+
+
+def _counted(sets: list[np.ndarray]) -> dict[str, np.ndarray]:
+    tokens, n = np.unique(np.concatenate(sets), return_counts=True)
+    return {"token": tokens.view(np.int64), "n": n}
+
+
+def n_kept(n: int) -> int:
+    """Tokens that are kept with a set of n."""
+    return prefix_length(n) * (100 + SPARE) // 100 + 2
 
 
 def frequent_whole(texts: DataFrame) -> np.ndarray:
-    """Frequent ones of all tokens of these documents."""
+    """Frequent ones of the tokens of these documents that aren't kept with their sets."""
 
     def make():
         shingler = Shingler()
 
         def work(batch: pa.RecordBatch) -> dict[str, list]:
-            return {"token": np.concatenate([shingler(t) for t in texts_of(batch)]).view(np.int64)}
+            return _counted([s[n_kept(len(s)) :] for s in map(shingler, texts_of(batch))])
 
         return work
 
-    return _frequent(map_batches(texts.select("text"), make, "token long"))
+    return _frequent(map_batches(texts.select("text"), make, "token long, n long"))
 
 
 def _index(sets: DataFrame, frequent, whole: bool) -> DataFrame:
