@@ -118,5 +118,51 @@ def test_many_lists_without_broadcast(spark, monkeypatch):
     assert len(removed(D.line_report(spark.createDataFrame(rows, "doc_id long, text string"))) & {(i, 0) for i in range(20)}) == 19
 
 
+def brute_worded(rows):
+    """Lines to remove, (doc_id, number), by comparing all pairs of distinct lines that aren't blank."""
+    lines = [(d, i, normal(x)) for d, t in rows if d is not None for i, x in enumerate((t or "").split("\n")) if normal(x)]
+    distinct = sorted({x for *_, x in lines})
+    root = {x: x for x in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in distinct:
+        for b in distinct:
+            if a < b and 100 * len(grams(a) & grams(b)) >= D.BOUND * len(grams(a) | grams(b)):
+                root[find(b)] = find(a)
+    first = {}
+    for d, i, x in lines:
+        first[find(x)] = min(first.get(find(x), (d, i)), (d, i))
+    return {(d, i) for d, i, x in lines if first[find(x)] != (d, i)}
+
+
+def test_lines_of_few_words(spark):
+    chinese = "春天的风从南方吹过宽阔的河面带来了远处花园里的香气和孩子们的笑声让人想起许多年前的那个早晨"
+    rows = [
+        (1, f"All rights reserved.\nles.\n\n{chinese}\nab\n漢字"),
+        (2, f"les.\nall  rights reserved.\n\n{chinese}\nAB\n漢\n----"),
+        (3, f"{chinese}。\n漢字\n\nabc\n----\n \t"),
+    ]
+    got = removed(D.line_report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute_worded(rows) == {(2, 0), (2, 1), (2, 3), (2, 4), (3, 0), (3, 1), (3, 4)}
+
+
+def test_all_lines_against_all_pairs(spark):
+    rng = random.Random(8)
+    base = [sentence(rng, n) for n in (1, 2, 3, 20) for _ in range(10)]
+    rows = []
+    for d in range(60):
+        lines = [rng.choice(base) if rng.random() < 0.6 else sentence(rng, rng.randint(1, 20)) for _ in range(4)]
+        rows.append((d, "\n".join([*lines, "short one", "x", ""])))
+    got, want = removed(D.line_report(spark.createDataFrame(rows, "doc_id long, text string"))), brute_worded(rows)
+    assert len(want) > 200 and len(got ^ want) <= 0.01 * len(want)
+    assert not any(i == 6 for _, i in got)  # blank lines stay
+    few = [(r.doc_id, r.text) for r in awkward(spark).collect()]
+    assert removed(D.line_report(awkward(spark))) == brute_worded(few)
+
+
 def test_empty_table(spark):
     assert D.line_report(empty(spark)).count() == 0 and D.without_repeats(empty(spark)).count() == 0
