@@ -8,7 +8,10 @@ union-find, and of each the line that comes first, by doc_id and line number, st
 
 Each line with a word in it is compared, however short; lines without one, which part
 paragraphs, stay. A line too short for a shingle can only equal another one. A band equals with a chance of
-s^ROWS for lines of similarity s, so of pairs at the bound 1 in about 300 is missed.
+s^ROWS for lines of similarity s, so of pairs at the bound 1 in about 240 is missed. Bins
+that a short line leaves empty are filled independently, so this holds nearly for short
+lines too: of 1500 pairs of similarity 0.8 to 0.9 for each of 14 sizes from 5 to 200
+shingles, none to 0.6 % were missed.
 Keys are 64-bit hashes: two different lines share one with odds of 2^-64.
 
 Cases: a null or empty text has no lines to remove; a null doc_id keeps all its lines;
@@ -32,13 +35,28 @@ from .linkage import BROADCAST_IDS, linked_components, only_ids, parity_bits, po
 #: Characters of a shingle; the bound in hundredths; the former floor in words, which older tests
 #: read and nothing here uses: a line needs one word.
 CHARS, BOUND, MIN_WORDS = 5, 80, 4
-#: Bins of a signature; bands and rows of each; bins between the rows of a band, so that
-#: bins which a short line leaves empty aren't filled from one neighbour.
+#: Bins of a signature; bands and rows of each; bins between the rows of a band.
 BINS, BANDS, ROWS, STRIDE = 128, 18, 6, 21
 #: Characters and lines that are hashed at a time: a line, however short, takes BINS numbers.
 CHUNK, CHUNK_LINES = 1 << 18, 2048
 
 
+def _probes() -> np.ndarray:
+    """(BINS, BINS): each bin, then all others in an order of its own."""
+    code = np.arange(1, BINS * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        code = (code ^ (code >> np.uint64(shift))) * np.uint64(factor)
+    code = (code ^ (code >> np.uint64(31))).reshape(BINS, BINS)
+    np.fill_diagonal(code, 0)
+    return code.argsort(axis=1, kind="stable")
+
+
+#: Where an empty bin takes its value from. Were it the next bin, the bins of a short
+#: line, of which few are filled, would copy each other, and its bands would meet or
+#: fail together.
+PROBES = _probes()
+
+
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
@@ -70,7 +88,7 @@ def shingle_codes(text: str) -> np.ndarray:
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """(lines, BINS) least code of each bin, an empty bin filled from the next one that isn't."""
+    """(lines, BINS) least code of each bin, an empty bin filled from the first of its PROBES that isn't."""
     codes = shingle_codes("\n".join(lines))
     # Runs that reach into the next line are left out; a line shorter than a run has the code at its start.
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
@@ -88,13 +106,19 @@ def signatures(lines: list[str]) -> np.ndarray:
     table = np.full(len(lines) * BINS, -1, np.int64)
     table[bin_of[first].astype(np.int64)] = (ranked[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     table = table.reshape(len(lines), BINS)
-    filled = np.where(table >= 0, np.arange(BINS), 2 * BINS)
-    twice = np.concatenate([filled, np.where(table >= 0, np.arange(BINS) + BINS, 2 * BINS)], axis=1)
-    source = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-    empty = source >= 2 * BINS  # no run at all
-    distance = np.where(empty, 0, source - np.arange(BINS))
-    values = np.take_along_axis(table, np.where(empty, 0, source % BINS), axis=1)
-    return np.where(empty, -1, values + (distance << 33))
+    # Only the bins that bands read are filled; a line without a run keeps -1.
+    row, col = np.nonzero(table[:, : STRIDE * (ROWS - 1) + BANDS] < 0)
+    some = (table >= 0).any(axis=1)[row]
+    row, col = row[some], col[some]
+    out = table.copy()
+    for step in range(1, BINS):
+        if not len(row):
+            break
+        found = table[row, PROBES[col, step]]
+        hit = found >= 0
+        out[row[hit], col[hit]] = found[hit]
+        row, col = row[~hit], col[~hit]
+    return out
 
 
 def band_keys(lines: list[str]) -> np.ndarray:

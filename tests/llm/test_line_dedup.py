@@ -82,6 +82,21 @@ def test_recall_at_the_bound():
     assert (D.band_keys(a) == D.band_keys(other)).any(1).mean() <= 0.02
 
 
+@pytest.mark.parametrize("n", [5, 10, 16, 20, 25, 30, 40, 56, 80, 200])
+def test_recall_by_length(n):
+    rng = random.Random(n)
+    a, b = [], []
+    while len(a) < 600:
+        line = "".join(rng.choices("abcdefghijklmnop ", k=n + D.CHARS - 1))
+        cut = max(1, round(n * rng.choice((0.1, 0.15, 0.2))))
+        other = rng.choice((line[:-cut], line[cut:], line[:-cut] + "z" * cut, line[: n // 2] + "z" + line[n // 2 + 1 :]))
+        x, y = grams(line), grams(other)
+        if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+            a.append(line)
+            b.append(other)
+    assert (D.band_keys(a) == D.band_keys(b)).any(1).mean() >= 0.985
+
+
 def test_exact_verdict():
     assert D.jaccard_reaches("a" * 20, "a" * 25) and D.jaccard_reaches("abc", "abc") and not D.jaccard_reaches("abcdefgh", "hgfedcba")
     rng = random.Random(9)
