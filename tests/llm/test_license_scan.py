@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -60,6 +61,40 @@ def test_size_bounds_prune_nothing_that_matches(scan):
                 assert any(a < at + len(lines[i]) and at < b for a, b, *_ in found)
 
 
+@pytest.mark.parametrize(
+    "before, notice, after, name",
+    [
+        ("Copyright 2020 Jane Doe, ", "licensed under the MIT License", ".", "MIT"),
+        ("The code is ", "released under the MIT License", " and may be copied freely.", "MIT"),
+        ("Some plain words before it ", "released under the MIT License", "", "MIT"),
+        ("plain words without an end " * 50, TEMPLATES[0][1], " and on it goes" * 50, "MIT"),
+    ],
+)
+def test_notice_within_a_sentence(scan, before, notice, after, name):
+    a = len(before)
+    assert scan(before + notice + after) == [(a, a + len(notice.rstrip(".")), name, 1.0)]
+
+
+def test_each_run_of_words_is_tried():
+    """Against all runs of words, the best first, on texts of few different words."""
+    rng = random.Random(2)
+    for _ in range(60):
+        templates = [(f"t{i}", " ".join(rng.choices("abcd", k=rng.randint(3, 9)))) for i in range(3)]
+        words = rng.choices("abcdx", k=40)
+        runs = []
+        for i, (_, t) in enumerate(templates):
+            for a in range(len(words)):
+                for b in range(a + 2, len(words) + 1):
+                    d = dice(" ".join(words[a:b]), t)
+                    if d >= 0.8:
+                        runs.append((-d, -len(t), i, a, b))
+        kept = []
+        for d, _, i, a, b in sorted(runs):
+            if all(b <= x or y <= a for x, y, *_ in kept):
+                kept.append((a, b, f"t{i}", round(-d, 6)))
+        assert S.Scanner(templates)(" ".join(words)) == [(2 * a, 2 * b - 1, n, d) for a, b, n, d in sorted(kept)]
+
+
 @pytest.mark.parametrize("change", [lambda d: d, wider])
 def test_awkward_documents(spark, change):
     got = S.license_scan(change(awkward(spark))).collect()
