@@ -3,6 +3,8 @@
 Copyright lines and placeholders are left out, since they differ from work to work.
 """
 
+from .license_texts import FULL_TEXTS
+
 _BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted
 provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
 notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
@@ -16,7 +18,75 @@ SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRU
 THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
 WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
-TEMPLATES: tuple[tuple[str, str], ...] = (
+_FREE = "is free software: you can redistribute it and/or modify it under the terms of the"
+_WARRANTY = """is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the"""
+_ENDS = (
+    "If not, see https://www.gnu.org/licenses/.",
+    "If not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "If not, write to the Free Software Foundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA.",
+)
+#: SPDX identifier, name, version, and short names of the GNU licences.
+_GNU = (
+    ("GPL-1.0", "General", "1", ("GPLv1", "GPL-1.0")),
+    ("GPL-2.0", "General", "2", ("GPLv2", "GPL-2.0")),
+    ("GPL-3.0", "General", "3", ("GPLv3", "GPL-3.0")),
+    ("LGPL-2.0", "Library General", "2", ("LGPLv2", "LGPL-2.0")),
+    ("LGPL-2.1", "Lesser General", "2.1", ("LGPLv2.1", "LGPL-2.1")),
+    ("LGPL-3.0", "Lesser General", "3", ("LGPLv3", "LGPL-3.0")),
+    ("AGPL-3.0", "Affero General", "3", ("AGPLv3", "AGPL-3.0")),
+)
+
+
+def _gnu() -> list[tuple[str, str]]:
+    """Long notices, with each work they name and each end, and one-line forms."""
+    out = []
+    for spdx, name, version, short in _GNU:
+        title = f"GNU {name} Public License"
+        for work in ("program", "library") if "General" != name and "Affero" not in name else ("program",):
+            for end in _ENDS:
+                have = f"You should have received a copy of the {title} along with this {work}. {end}"
+                for terms in (
+                    f"{title} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+                    f"{title} version {version} as published by the Free Software Foundation.",
+                ):
+                    out.append((spdx, f"This {work} {_FREE} {terms} This {work} {_WARRANTY} {title} for more details. {have}"))
+        for start in ("This work is licensed", "Licensed", "Released", "This project is licensed", "This program is licensed"):
+            out += [(spdx, f"{start} under the {title}, version {version}."), (spdx, f"{start} under the {title} v{version}.")]
+            out += [(spdx, f"{start} under the {s} license.") for s in short]
+    return out
+
+
+#: SPDX part and words of the six Creative Commons licences.
+_CC = (
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+
+
+def _creative_commons() -> list[tuple[str, str]]:
+    out = []
+    for part, words in _CC:
+        long = f"This work is licensed under a Creative Commons {words} 4.0 International License."
+        url = f"http://creativecommons.org/licenses/{part.lower()}/4.0/"
+        lines = [
+            long,
+            long.replace("under a", "under the"),
+            f"{long} To view a copy of this license, visit {url}.",
+            f"""{long.replace("under a", "under the")} To view a copy of this license, visit {url} or send a letter to
+Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.""",
+            f"Licensed under CC {part} 4.0.",
+            f"This work is licensed under CC {part} 4.0.",
+        ]
+        out += [(f"CC-{part}-4.0", line) for line in lines]
+    return out
+
+
+_NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files (the "Software"), to deal in the Software without restriction, including without
 limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
@@ -59,26 +129,20 @@ Unless required by applicable law or agreed to in writing, software distributed
 specific language governing permissions and limitations under the License."""),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Released under the Apache License, Version 2.0."),
-    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
-General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
-option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
-without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
-License for more details. You should have received a copy of the GNU General Public License along with this program.
-If not, see https://www.gnu.org/licenses/."""),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of
 the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License 2.0."),
+    ("MPL-2.0", "Licensed under the MPL 2.0 license."),
+    ("MPL-2.0", "This work is licensed under the Mozilla Public License, v. 2.0."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "Licensed under the Simplified BSD License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Licensed under the New BSD License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document."),
 )
+
+TEMPLATES: tuple[tuple[str, str], ...] = (*_NOTICES, *_gnu(), *_creative_commons(), *FULL_TEXTS)

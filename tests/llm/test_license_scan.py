@@ -75,6 +75,42 @@ def test_notice_within_a_sentence(scan, before, notice, after, name):
     assert scan(before + notice + after) == [(a, a + len(notice.rstrip(".")), name, 1.0)]
 
 
+NOTICE = (
+    "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by "
+    "the Free Software Foundation{} either version {} of the License, or (at your option) any later version. This program is distributed in "
+    "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+    "PARTICULAR PURPOSE. See the GNU {} Public License for more details. You should have received a copy of the GNU {} Public License "
+    "along with this program. If not, see <http://www.gnu.org/licenses/>."
+)
+
+
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        (NOTICE.format(";", "General", ";", "2", "General", "General"), "GPL-2.0"),
+        (NOTICE.format(":", "Lesser General", ",", "2.1", "Lesser General", "Lesser General"), "LGPL-2.1"),
+        (NOTICE.format(":", "Lesser General", ",", "3", "Lesser General", "Lesser General"), "LGPL-3.0"),
+        (NOTICE.format(":", "Affero General", ",", "3", "Affero General", "Affero General"), "AGPL-3.0"),
+        (NOTICE.format(":", "General", ",", "3", "General", "General"), "GPL-3.0"),
+        ("Licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+        ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"),
+        ("Licensed under the Mozilla Public License, version 2.0.", "MPL-2.0"),
+    ],
+)
+def test_the_right_licence_is_named(scan, text, name):
+    assert {m[2] for m in scan(f"Some words before.\n{text}\nAnd after.")} == {name}
+
+
+@pytest.mark.parametrize("name, text", TEMPLATES)
+def test_each_template_names_its_licence(scan, name, text):
+    assert [m[2:] for m in scan(text)] == [(name, 1.0)]
+
+
 def test_each_run_of_words_is_tried():
     """Against all runs of words, the best first, on texts of few different words."""
     rng = random.Random(2)
