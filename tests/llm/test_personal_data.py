@@ -52,6 +52,26 @@ def test_further_kinds_and_context():
     assert P.score("email a@b.c", 6, 11, "email") > P.score("example a@b.c", 8, 13, "email")
 
 
+@pytest.mark.parametrize(
+    "text, account",
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00"),
+        ("DE89370400440532013000 EUR 500", "DE89370400440532013000"),
+        ("to GB82 WEST 1234 5698 7654 32 UK", "GB82 WEST 1234 5698 7654 32"),
+        ("UNDER NO12 OF THE LIST PAY DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00"),
+        ("NO93 8601 1117 947 BANK", "NO93 8601 1117 947"),
+    ],
+)
+def test_account_among_capitals(text, account):
+    a = text.index(account)
+    assert [s[:3] for s in P.find_spans(text) if s[2] == "iban"] == [(a, a + len(account), "iban")]
+
+
+def test_runs_that_are_no_account():
+    assert list(P.accounts("DE89 3704 0044 0532 0130 00X and DE89 3704 0044 0532 0130 01 BIC")) == []
+    P.find_spans("AB12 " * 60_000)
+
+
 def test_redact():
     assert P.redact("to bob@x.org or +1 (017) 555-7713.") == "to [email] or [phone]."
 
