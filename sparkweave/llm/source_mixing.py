@@ -6,15 +6,21 @@ period of P, block k of a source may run from slot floor(k P / w) on and must ru
 before slot ceil((k + 1) P / w); of the blocks that may run, the one with the earliest
 deadline does. As the shares of all sources fill the period, every deadline is met, so
 that a source is never a whole block ahead of its weight or behind it. The schedule
-repeats after each period: only one period is computed, whatever the size of the
-corpus, and a document finds its slot by its block's number.
+is simulated in one row, over arrays of the sources and the slots, on the weights in
+steps of 2^-36: as far as the corpus goes, rounding adds less than 0.001 of a block.
+
+It is simulated until all sources with a weight have run out, or for SPAN times the
+corpus if that comes first. What is left then, blocks of sources whose weight is tiny
+for their size, follows by a period of PERIOD slots that repeats, in which each has a
+slot at least. A source whose weight is 0 has slots only there. With a stated
+``period`` all of the schedule is that period repeated, with shares rounded to it.
 
 A source that runs out leaves its slots empty: nothing is dropped or repeated, and
 ``on_target`` marks the slots before the first source runs out, where the weights hold.
 
 Cases: a null source counts as the source named ''; a null or empty text counts as one
 unit, so every document has a place; rows that are equal get places next to each
-other; a source without a stated weight gets one slot of the period; an empty table
+other; a source without a stated weight comes last; if none has a weight, all have the same; an empty table
 gives an empty table; further columns are carried along or ignored.
 """
 
@@ -26,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .frames import saved
+from .frames import let, saved
 
 #: Units are characters. Slots of a period before rounding; the power of a source's
 #: size that is its weight where none is stated; rows of a group that is numbered in
 #: one task; rows of a schedule that may be broadcast.
 BLOCK_UNITS, PERIOD, POWER, GROUP_ROWS, BROADCAST_ROWS = 1 << 16, 1024, 0.7, 20_000, 50_000
+#: Steps of an exact weight; slots simulated, in blocks of the corpus, at most; slots of one array.
+EXACT, SPAN, PIECE = 1 << 36, 4, 1024
 
 
 def _numbered(docs: DataFrame, digits: int) -> DataFrame:
@@ -101,11 +109,105 @@ def schedule(totals: DataFrame, weights: dict[str, float] | None, block_units: i
     )
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    """a div b of whole numbers; the double quotient of an exact multiple rounds to it."""
+    return F.round((a - F.pmod(a, b)) / b).cast("long")
+
+
+def exact_schedule(totals: DataFrame, weights: dict[str, float] | None, block_units: int) -> tuple[DataFrame, DataFrame]:
+    """(source_name, block, at) of the simulated slots, and for each source: share, q (the sum of shares),
+    base (its simulated blocks), ended (slots simulated) and dry; both saved."""
+    if weights is None:
+        weight = F.pow(F.col("total").cast("double"), POWER)
+    else:
+        stated = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+        weight = F.coalesce(F.element_at(stated, F.col("source_name")).cast("double"), F.lit(0.0))
+    named = F.struct("source_name", weight.alias("weight"), F.ceil(F.col("total") / block_units).cast("long").alias("blocks"))
+    one = totals.groupBy().agg(F.sort_array(F.collect_list(named)).alias("sources"), F.sum(F.ceil(F.col("total") / block_units)).alias("all"))
+    one = saved(one.withColumn("sum", F.aggregate("sources", F.lit(0.0), lambda a, s: a + s["weight"])))
+    share = lambda s: F.when(F.col("sum") <= 0, F.lit(1)).when(
+        s["weight"] > 0, F.greatest(F.lit(1), F.round(s["weight"] / F.col("sum") * EXACT))
+    ).otherwise(F.lit(0)).cast("long")
+    one = one.withColumn("shares", F.transform("sources", share))
+    one = saved(one.withColumn("q", F.aggregate("shares", F.lit(0).cast("long"), lambda a, s: a + s)))
+    due = lambda k, w: _quotient(k * F.col("q") + w - 1, w)
+    ends = lambda more: F.transform("sources", lambda s, i: F.when(F.get("shares", i) > 0, due(s["blocks"] + more, F.get("shares", i))))
+    # The first source runs out before the first of ends(1), the last before the last of ends(0).
+    until = F.greatest(F.array_min(ends(1)), F.least(F.array_max(ends(0)), SPAN * F.col("all")))
+    one = saved(one.withColumn("until", until))
+    kind = "struct<done:array<long>,ran:array<struct<i:int,k:long>>>"
+
+    def step(state: Column, t: Column) -> Column:
+        def candidate(w: Column, i: Column) -> Column:
+            k = F.get(state["done"], i)
+            return F.when(k * F.col("q") < (t + 1) * w, F.struct(due(k + 1, w).alias("due"), i.alias("i"), k.alias("k")))
+
+        pick = F.array_min(F.filter(F.transform("shares", candidate), lambda c: c.isNotNull()))
+        run = lambda p: F.struct(
+            F.transform(state["done"], lambda n, i: n + F.when(i == p["i"], 1).otherwise(0)).alias("done"),
+            F.concat(state["ran"], F.array(F.struct(p["i"].alias("i"), p["k"].alias("k")))).alias("ran"),
+        ).cast(kind)
+        return let(pick, run)
+
+    def piece(state: Column, first: Column) -> Column:
+        last = F.least(first + PIECE, F.col("until")) - 1
+        start = F.struct(state["done"].alias("done"), F.array().cast("array<struct<i:int,k:long>>").alias("ran")).cast(kind)
+        run = F.aggregate(F.sequence(first, last), start, step)
+        add = lambda r: F.struct(r["done"].alias("done"), F.concat(state["pieces"], F.array(r["ran"])).alias("pieces")).cast(whole)
+        return let(run, add)
+
+    whole = "struct<done:array<long>,pieces:array<array<struct<i:int,k:long>>>>"
+    empty = F.expr("named_struct('done', transform(shares, x -> 0L), 'pieces', array())").cast(whole)
+    firsts = F.sequence(F.lit(0).cast("long"), F.col("until") - 1, F.lit(PIECE).cast("long"))
+    one = saved(one.withColumn("ran", F.when(F.col("until") > 0, F.aggregate(firsts, empty, piece))))
+    pieces = one.select("sources", F.posexplode("ran.pieces").alias("p", "piece"))
+    flat = pieces.select("sources", "p", F.posexplode("piece").alias("s", "r"))
+    source = F.get("sources", F.col("r.i"))
+    slots = saved(flat.select(
+        source["source_name"].alias("source_name"), F.col("r.k").alias("block"), (F.col("p").cast("long") * PIECE + F.col("s")).alias("at"),
+        (F.col("r.k") >= source["blocks"]).alias("missing"),
+    ))
+    dry = slots.where("missing").agg(F.min("at").alias("dry"))
+    each = one.select(F.posexplode("sources").alias("i", "s"), "shares", "q", "ran.done", "until")
+    per = each.select(
+        "s.source_name", F.get("shares", F.col("i")).alias("share"), "q", F.get("done", F.col("i")).alias("base"), F.col("until").alias("ended"),
+    ).crossJoin(F.broadcast(dry))
+    return slots.where("not missing").drop("missing"), saved(per)
+
+
+def _placed_exactly(rows: DataFrame, weights: dict[str, float] | None, block_units: int) -> DataFrame:
+    totals, digits = _totals(rows)
+    slots, per = exact_schedule(totals, weights, block_units)
+    tail = saved(schedule(totals, weights, block_units, PERIOD)).drop("dry")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    tail_shares = tail.where("turn = 0").select("source_name", F.col("share").cast("long").alias("tail_share"), F.col("period").cast("long").alias("tail_period"))
+    per = per.join(tail_shares, "source_name")
+    numbered = _numbered(rows, digits).withColumn("block", F.floor(F.col("start") / block_units))
+    known = numbered.join(few(per), "source_name").join(few(slots), ["source_name", "block"], "left")
+    past = F.col("block") - F.col("base")
+    known = known.withColumn("turn", F.when(past >= 0, F.pmod(past, F.col("tail_share")).cast("int")))
+    known = known.join(few(tail.select("source_name", "turn", F.col("slot").alias("tail_at"))), ["source_name", "turn"], "left")
+    cycle = F.col("ended") + _quotient(past, F.col("tail_share")) * F.col("tail_period")
+    turn, k, q, w = F.col("turn"), F.col("block"), F.col("q"), F.col("share")
+    inside = past < 0
+    done = known.select(
+        "*",
+        F.when(inside, F.col("at")).otherwise(cycle + F.col("tail_at")).alias("slot"),
+        F.when(inside, _quotient(k * q, w)).otherwise(cycle + F.floor(turn * F.col("tail_period") / F.col("tail_share"))).alias("release"),
+        F.when(inside, _quotient((k + 1) * q + w - 1, w))
+        .otherwise(cycle + F.ceil((turn + 1) * F.col("tail_period") / F.col("tail_share")))
+        .alias("deadline"),
+    ).withColumn("on_target", F.col("slot") < F.col("dry"))
+    return done.drop(
+        "order_key", "text_key", "group_key", "offset", "turn", "at", "share", "q", "base", "ended", "dry", "tail_share", "tail_period", "tail_at"
+    )
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
     block_units: int = BLOCK_UNITS,
-    period: int = PERIOD,
+    period: int | None = None,
     whole_rows: bool = True,
 ) -> DataFrame:
     """The documents' columns in ``row``, with source_name, units, start, block, slot, release, deadline, on_target.
@@ -121,13 +223,20 @@ def mix(
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order_key"),
         F.xxhash64(text).alias("text_key"),
     )
+    if period is None:
+        return _placed_exactly(rows, weights, block_units)
     return _placed(rows, weights, block_units, period)
 
 
-def _placed(rows: DataFrame, weights: dict[str, float] | None, block_units: int, period: int) -> DataFrame:
+def _totals(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Units and rows of each source; the digits by which the largest is numbered."""
     totals = saved(rows.groupBy("source_name").agg(F.sum("units").alias("total"), F.count("*").alias("n")))
     largest = totals.agg(F.max("n")).first()[0] or 1
-    digits = max(2, math.ceil(math.log(largest / GROUP_ROWS, 16)) if largest > GROUP_ROWS else 2)
+    return totals, max(2, math.ceil(math.log(largest / GROUP_ROWS, 16)) if largest > GROUP_ROWS else 2)
+
+
+def _placed(rows: DataFrame, weights: dict[str, float] | None, block_units: int, period: int) -> DataFrame:
+    totals, digits = _totals(rows)
     slots = saved(schedule(totals, weights, block_units, period))
     if slots.count() <= BROADCAST_ROWS:
         slots = F.broadcast(slots)

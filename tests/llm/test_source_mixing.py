@@ -89,3 +89,22 @@ def test_empty_table(spark):
 def test_no_python_on_the_main_path(spark):
     plan = M.in_mix_order(awkward(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("weights", [{"s0": 0.6, "s1": 0.3995, "s2": 0.0005}, {"s0": 0.9999, "s1": 0.0001}])
+def test_deviation_from_the_target_weights(spark, weights):
+    """Over far more than one period, and with a source whose weight is 0."""
+    sizes = [int(w * 9000) + 3 for w in weights.values()] + [3]
+    names = [*weights, f"s{len(weights)}"]
+    parts = [spark.range(n).selectExpr(f"id + {i}000000 as doc_id", "'xxxxxxxxxx' as text", f"'{s}' as source") for i, (s, n) in enumerate(zip(names, sizes))]
+    docs = parts[0]
+    for p in parts[1:]:
+        docs = docs.unionByName(p)
+    rows = sorted((r.slot, r.release, r.deadline, r.source_name, r.on_target) for r in M.mix(docs, weights, block_units=10).collect())
+    assert len({r[0] for r in rows}) == len(rows) == sum(sizes) and all(r[1] <= r[0] < r[2] for r in rows)
+    have, ahead = Counter(), [r for r in rows if r[4]]
+    for n, r in enumerate(ahead, 1):
+        assert r[0] == n - 1
+        have[r[3]] += 1
+        assert all(abs(have[s] - n * w) < 1.001 for s, w in weights.items())
+    assert len(ahead) > 8 * M.PERIOD and names[-1] not in have
