@@ -2,10 +2,11 @@
 
 Two zstandard dictionaries are built, from well and badly rated texts. A text that
 compresses better under the good one resembles good text: the difference of the two
-compressed sizes, divided by the size without a dictionary, is the feature. A
-logistic curve over it, fitted on other labelled texts, makes it a probability.
+compressed sizes, divided by the size without a dictionary, is the main feature. A
+logistic curve over it, the plain compression ratio, the length and their products, fitted on other labelled texts, makes it a probability.
 
 The dictionaries and the curve are fitted on a bounded sample of the labelled rows;
+a dictionary takes the middle DICTIONARY_BYTES / n bytes of each of its n texts;
 every text is scored, whole.
 
 Cases: a null or empty text has no bytes to compare and gets the fitted share of good
