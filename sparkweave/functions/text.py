@@ -75,28 +75,34 @@ def drop_ngram(gram: Column, mode: str = "any") -> Column:
 
 
 def ngrams(tokens_: Column, n: int = 1, uncased: bool = False, mode: str | None = None) -> Column:
-    """All n-grams of 1 to ``n`` tokens, by start and then length, joined by spaces."""
+    """All n-grams of 1 to ``n`` tokens, by start and then length, joined by spaces.
+
+    Words are judged once each. An n-gram is joined to a string at once: a word that is
+    missing, beyond the end or dropped, is null and makes it null, and nulls go.
+    """
+
+    def joined(t: Column, first: Column, i: Column, k: int) -> Column:
+        return F.concat(first, *[x for j in range(1, k) for x in (F.lit(" "), F.get(t, i + j))])
 
     def spans(t: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.size(t)),
-                lambda s: F.transform(
-                    F.sequence(F.lit(1), F.least(F.lit(n), F.size(t) - s + 1)), lambda k: F.slice(t, s, k)
-                ),
-            )
-        )
+        return F.flatten(F.transform(t, lambda w, i: F.array(*[joined(t, w, i, k) for k in range(1, n + 1)])))
+
+    def judged(t: Column, dropped: Column) -> Column:
+        def one(w: Column, i: Column, k: int) -> Column:
+            ends = F.get(dropped, i) | F.get(dropped, i + (k - 1))
+            flag = ends if mode == "ends" else F.forall(F.slice(dropped, i + 1, F.lit(k)), lambda x: x)
+            return F.when(~flag, joined(t, w, i, k))
 
-    def of(t: Column) -> Column:
-        if mode == "any":  # each word is judged once, not once for each n-gram that holds it
-            marked = F.transform(t, lambda w: F.when(~is_filtered_word(w), w))
-            grams = F.filter(let(marked, spans), lambda g: ~F.exists(g, lambda w: w.isNull()))
-        else:
-            grams = spans(t) if mode is None else F.filter(spans(t), lambda g: ~drop_ngram(g, mode))
-        return F.transform(grams, lambda g: F.array_join(g, " "))
+        return F.flatten(F.transform(t, lambda w, i: F.array(*[one(w, i, k) for k in range(1, n + 1)])))
 
-    empty = F.array().cast("array<string>")
-    return let(words(tokens_, uncased), lambda t: F.when(F.size(t) > 0, of(t)).otherwise(empty))
+    t = words(tokens_, uncased)
+    if mode is None:
+        return let(t, lambda t: F.array_compact(spans(t)))
+    if mode == "any":
+        return let(F.transform(t, lambda w: F.when(~is_filtered_word(w), w)), lambda t: F.array_compact(spans(t)))
+    if mode not in ("all", "ends"):
+        raise ValueError(f"Invalid mode: {mode}")
+    return let(t, lambda t: let(F.transform(t, is_filtered_word), lambda dropped: F.array_compact(judged(t, dropped))))
 
 
 def trim_all(text: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..storage import saved
 
 #: Answers that only match themselves.
 GUARDED = ("yes", "no", "noanswer")
@@ -67,14 +67,14 @@ def threshold_table(rows: DataFrame, score: str, label: Column) -> DataFrame:
     return rows.groupBy(score).agg(F.sum(label.cast("long")).alias("pos"), F.sum((~label).cast("long")).alias("neg"))
 
 
-def running(table: DataFrame, score: str, columns: list[str], buckets: int = 64) -> DataFrame:
+def running(table: DataFrame, score: str, columns: list[str]) -> DataFrame:
     """``up_<column>``: sums over rows of greater score, this one's left out, and the totals ``all_<column>``.
 
     Sums run within ranges of the score; the ranges' own sums, one row each, are added
     to them, so that no task holds all scores. The ranges come from a sample and so are
-    kept on disk: both uses must see the same ones.
+    saved: both uses must see the same ones.
     """
-    ranged = table.repartitionByRange(buckets, F.desc(score)).withColumn("part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    ranged = saved(table.repartitionByRange(F.desc(score)).withColumn("part", F.spark_partition_id()))
     totals = ranged.groupBy("part").agg(*[F.sum(c).alias(f"part_{c}") for c in columns])
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     every = W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -85,7 +85,7 @@ def running(table: DataFrame, score: str, columns: list[str], buckets: int = 64)
     )
     own = W.partitionBy("part").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, -1)
     inner = ranged.select("*", *[zero(F.sum(c).over(own)).alias(f"own_{c}") for c in columns])
-    met = inner.join(F.broadcast(shifted), "part")  # at most ``buckets`` rows
+    met = inner.join(F.broadcast(shifted), "part")  # a row for each shuffle partition
     return met.select(*table.columns, *[(F.col(f"own_{c}") + F.col(f"before_{c}")).alias(f"up_{c}") for c in columns], *[f"all_{c}" for c in columns])
 
 

@@ -16,11 +16,32 @@ from ..functions import text as T
 DIGITS = 6
 
 
-def postings(corpus: DataFrame, key: str = "doc_id", text: str = "text", n: int = 2, mode: str = "any") -> DataFrame:
-    """(key, term, tf): counts of the n-grams that the filter keeps."""
-    grams = T.ngrams(T.tokens(F.coalesce(F.col(text), F.lit(""))), n, uncased=True, mode=mode)
-    terms = corpus.select(F.col(key), F.explode(grams).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+Key = str | list[str]
+
+
+def _names(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def postings(corpus: DataFrame, key: Key = "doc_id", text: str = "text", n: int = 2, mode: str = "any") -> DataFrame:
+    """(key, term, tf): counts of the n-grams that the filter keeps.
+
+    With the filter ``any`` and n up to 2 each word is a row beside the next one, so
+    that words are judged and joined in compiled code; other n-grams are made as arrays.
+    """
+    keys = _names(key)
+    if mode != "any" or n > 2:
+        grams = T.ngrams(T.tokens(F.coalesce(F.col(text), F.lit(""))), n, uncased=True, mode=mode)
+        terms = corpus.select(*keys, F.explode(grams).alias("term"))
+        return terms.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    own = corpus.select(*keys, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
+    after = F.slice("_words", 2, F.greatest(F.lit(0), F.size("_words") - 1))
+    pairs = own.select(*keys, F.inline(F.arrays_zip(F.col("_words").alias("w"), after.alias("next"))))
+    pairs = pairs.select(*keys, F.lower("w").alias("w"), F.lower("next").alias("next")).where(~T.is_filtered_word(F.col("w")))
+    terms = pairs.select(*keys, "w", F.when(~T.is_filtered_word(F.col("next")), F.concat("w", F.lit(" "), "next")).alias("pair"))
+    # A word counts by itself and, where the next one stays too, with it.
+    both = F.array("w", "pair") if n == 2 else F.array("w")
+    return terms.select(*keys, F.explode(both).alias("term")).where("term is not null").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -68,22 +89,23 @@ def top_k(scored: DataFrame, k: int, by: str = "qid", score: str = "score", tie:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def smooth_idf(index: DataFrame, n: int | Column) -> DataFrame:
-    """(term, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return document_frequency(index).select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+def smooth_idf(index: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """(term, idf) with idf = ln((1 + n) / (1 + df)) + 1. ``n_docs``: one row, n."""
+    counted = document_frequency(index).join(F.broadcast(n_docs))  # one row is broadcast
+    return counted.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def unit_vectors(index: DataFrame, key: str, rated: DataFrame) -> DataFrame:
+def unit_vectors(index: DataFrame, key: Key, rated: DataFrame) -> DataFrame:
     """Postings with ``weight`` = tf * idf, scaled to length 1 in each ``key``."""
-    raw = index.join(rated, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    keys = _names(key)
+    raw = index.join(rated, "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    norms = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.join(norms, keys).select(*keys, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def cosine_distance(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+def cosine_distance(left: DataFrame, right: DataFrame, left_key: Key, right_key: Key) -> DataFrame:
     """1 minus the sum of products, of pairs that share a term; never -0.0."""
-    a = left.select(left_key, "term", F.col("weight").alias("lw"))
-    b = right.select(right_key, "term", F.col("weight").alias("rw"))
+    a = left.select(*_names(left_key), "term", F.col("weight").alias("lw"))
+    b = right.select(*_names(right_key), "term", F.col("weight").alias("rw"))
     product = F.sum(F.col("lw") * F.col("rw"))
-    return a.join(b, "term").groupBy(left_key, right_key).agg((F.round(1 - product, DIGITS) + 0.0).alias("distance"))
+    return a.join(b, "term").groupBy(*_names(left_key), *_names(right_key)).agg((F.round(1 - product, DIGITS) + 0.0).alias("distance"))

@@ -42,7 +42,10 @@ def T18_strip_accents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", _md5(P.strip_accents("text")).alias("plain"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT DISTINCT unnest({sql.tokens('text')}) AS word FROM benchmark),
+b AS (SELECT word, hex(encode(word)) AS h, least(octet_length(encode(word)), 48) AS n FROM w),
+c AS (SELECT word, n, list_concat([259], list_transform(range(0, n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::INT + 1), [260]) AS ids FROM b)
+SELECT word, array_to_string(list_resize(ids, 50, 261), ',') AS ids FROM c""")
 def T30_char_ids(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", F.array_join(F.transform(T.char_ids(F.col("word")), lambda c: c.cast("string")), ",").alias("ids"))

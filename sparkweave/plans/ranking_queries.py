@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..operators import sampling
 from ..registry import query, table
 from . import sql
 
@@ -138,10 +139,12 @@ def L04_list_prefix(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d).where("rank <= 4").select("user_id", "event_id")
 
 
-@query(f"SELECT w, count(*) AS n FROM ({sql.positions('documents', 'doc_id')}) GROUP BY w ORDER BY n DESC, w LIMIT 100")
+@query(f"SELECT w, uses, row_number() OVER (ORDER BY uses DESC, w) AS place FROM (SELECT w, count(*) AS uses FROM ({sql.positions('documents', 'doc_id')}) GROUP BY w)")
 def L05_most_common(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select(F.explode(F.transform(T.tokens(F.col("text")), F.lower)).alias("w"))
-    return words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(100)
+    """All words with their place in the order of their uses, the most frequent first."""
+    words = table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("t")).groupBy(F.lower("t").alias("w"))
+    placed = sampling.numbered(words.agg(F.count("*").alias("uses")), [F.desc("uses"), F.col("w")])
+    return placed.select("w", "uses", (F.col("n") + 1).cast("long").alias("place"))
 
 
 @query(f"WITH {_E} SELECT user_id, string_agg(event_id::varchar, ',' ORDER BY rank) AS ids FROM e GROUP BY user_id")

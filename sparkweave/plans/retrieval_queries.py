@@ -53,9 +53,9 @@ def J03_tfidf_top_k(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.top_k(_scores(spark, d), K).select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {sql.SCORES} SELECT qid, count(*) AS n, round(sum(score), 4) AS total FROM ranked WHERE rank <= 64 GROUP BY qid")
+@query(f"WITH {sql.SCORES} SELECT qid, doc_id, score, rank FROM ranked WHERE rank <= 64")
 def J04_batch_top_k(spark: SparkSession, d: str) -> DataFrame:
-    return tfidf.top_k(_scores(spark, d), 64).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+    return tfidf.top_k(_scores(spark, d), 64).select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {sql.SCORES}, {_GOLD}
@@ -74,15 +74,16 @@ def J07_own_paragraph_scores(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(gold, ["qid", "doc_id"], "left").withColumn("is_gold", F.coalesce("is_gold", F.lit(False)))
 
 
-_LINES = """lines AS (SELECT doc_id * 100000 + i AS pid, doc_id, i, t AS text FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)))"""
+_LINES = """lines AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS i
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"""
+#: A line is named by its document and its number in it, from 1.
+LINE = ["doc_id", "i"]
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs: the documents' lines, numbered."""
     parts = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "text"))
-    i = F.col("at").cast("long") + 1
-    return parts.select((F.col("doc_id") * 100000 + i).alias("pid"), "doc_id", i.alias("i"), "text")
+    return parts.select("doc_id", (F.col("at").cast("long") + 1).alias("i"), "text")
 
 
 def _unit(index: str, key: str, idf: str) -> str:
@@ -111,29 +112,22 @@ def J08_question_cosine_rank(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= K)
 
 
-_FIRST = "firsts AS (SELECT doc_id, pid AS gold FROM lines WHERE i = 1)"
-
-
 def _line_cosines(spark: SparkSession, d: str) -> DataFrame:
     """Distance of each line to the first line of its document; no other pairs are formed."""
     lines = _lines(spark, d)
-    index = tfidf.postings(lines, "pid")
-    rated = tfidf.smooth_idf(index, 0).select("term", "idf")
-    total = lines.agg(F.count("*").alias("n"))
-    df = tfidf.document_frequency(index).join(F.broadcast(total))
-    rated = df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    unit = tfidf.unit_vectors(index, "pid", rated).withColumn("doc_id", F.floor(F.col("pid") / 100000))
-    gold = unit.where("pid % 100000 = 1").select("doc_id", "term", F.col("weight").alias("g_weight"))
-    rest = unit.where("pid % 100000 <> 1")
+    index = tfidf.postings(lines, LINE)
+    unit = tfidf.unit_vectors(index, LINE, tfidf.smooth_idf(index, tfidf.count_documents(lines)))
+    gold = unit.where("i = 1").select("doc_id", "term", F.col("weight").alias("g_weight"))
     product = F.sum(F.col("weight") * F.col("g_weight"))
-    return rest.join(gold, ["doc_id", "term"]).groupBy("doc_id", "pid").agg((F.round(1 - product, 6) + 0.0).alias("distance"))  # -0.0 is made 0.0
+    near = unit.where("i <> 1").join(gold, ["doc_id", "term"]).groupBy(*LINE)
+    return near.agg((F.round(1 - product, 6) + 0.0).alias("distance"))  # -0.0 is made 0.0
 
 
-_LINE_COSINES = f"""{_LINES}, lp AS ({sql.postings('lines', 'pid')}),
+_LINE_COSINES = f"""{_LINES}, lp AS ({sql.postings('lines', 'doc_id, i')}),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM lines)) / (1 + count(*))) + 1 AS idf FROM lp GROUP BY term),
-unit AS {_unit('lp', 'pid', 'idf')},
-cos AS (SELECT b.pid // 100000 AS doc_id, b.pid, round(1 - sum(a.weight * b.weight), 6) + 0.0 AS distance
-  FROM unit a JOIN unit b ON a.term = b.term AND a.pid // 100000 = b.pid // 100000 AND a.pid % 100000 = 1 AND b.pid % 100000 <> 1 GROUP BY ALL)"""
+unit AS {_unit('lp', 'doc_id, i', 'idf')},
+cos AS (SELECT b.doc_id, b.i, round(1 - sum(a.weight * b.weight), 6) + 0.0 AS distance
+  FROM unit a JOIN unit b ON a.term = b.term AND a.doc_id = b.doc_id AND a.i = 1 AND b.i <> 1 GROUP BY ALL)"""
 
 
 @query(f"WITH {_LINE_COSINES} SELECT doc_id, count(*) AS n_near, min(distance) AS best FROM cos GROUP BY doc_id")
@@ -141,10 +135,10 @@ def J09_within_document_rank(spark: SparkSession, d: str) -> DataFrame:
     return _line_cosines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_near"), F.min("distance").alias("best"))
 
 
-@query(f"""WITH {_LINE_COSINES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, pid) AS rank FROM cos)
-SELECT doc_id, pid, distance, rank FROM k WHERE rank <= 3""")
+@query(f"""WITH {_LINE_COSINES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, i) AS rank FROM cos)
+SELECT doc_id, i, distance, rank FROM k WHERE rank <= 3""")
 def J10_document_distractors(spark: SparkSession, d: str) -> DataFrame:
-    order = W.partitionBy("doc_id").orderBy("distance", "pid")
+    order = W.partitionBy("doc_id").orderBy("distance", "i")
     return _line_cosines(spark, d).withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 3")
 
 
@@ -156,11 +150,11 @@ def J11_corpus_distractors(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.top_k(left, 2).select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {_LINE_COSINES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, pid) AS rank FROM cos)
-SELECT doc_id, pid AS aligned, distance FROM k WHERE rank = 1""")
+@query(f"""WITH {_LINE_COSINES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, i) AS rank FROM cos)
+SELECT doc_id, i AS aligned, distance FROM k WHERE rank = 1""")
 def J12_align_paragraph(spark: SparkSession, d: str) -> DataFrame:
-    best = _line_cosines(spark, d).groupBy("doc_id").agg(F.min(F.struct("distance", "pid")).alias("b"))
-    return best.select("doc_id", F.col("b.pid").alias("aligned"), F.col("b.distance").alias("distance"))
+    best = _line_cosines(spark, d).groupBy("doc_id").agg(F.min(F.struct("distance", "i")).alias("b"))
+    return best.select("doc_id", F.col("b.i").alias("aligned"), F.col("b.distance").alias("distance"))
 
 
 @query(f"""WITH {sql.SCORES} SELECT qid, string_agg(doc_id::varchar, ',' ORDER BY rank) AS top_titles, CAST(sum(n_chars) AS BIGINT) AS chars
@@ -181,39 +175,39 @@ _QUESTION_IDF = """qidf AS (SELECT term, ln((1 + (SELECT count(*) FROM benchmark
 
 
 @query(f"""WITH {sql.SCORES}, {_QUESTION_IDF}, {_LINES}, top AS (SELECT qid, doc_id FROM ranked WHERE rank <= 3),
-wanted AS (SELECT pid, lines.doc_id, text FROM lines WHERE doc_id IN (SELECT doc_id FROM top)),
-lp AS ({sql.postings('wanted', 'pid')}), lu AS {_unit('lp', 'pid', 'qidf')}, qu AS {_unit('qp', 'qid', 'qidf')},
-c AS (SELECT qu.qid, lu.pid, round(1 - sum(qu.weight * lu.weight), 6) + 0.0 AS distance FROM lu JOIN top ON top.doc_id = lu.pid // 100000
+wanted AS (SELECT * FROM lines WHERE doc_id IN (SELECT doc_id FROM top)),
+lp AS ({sql.postings('wanted', 'doc_id, i')}), lu AS {_unit('lp', 'doc_id, i', 'qidf')}, qu AS {_unit('qp', 'qid', 'qidf')},
+c AS (SELECT qu.qid, lu.doc_id, lu.i, round(1 - sum(qu.weight * lu.weight), 6) + 0.0 AS distance FROM lu JOIN top ON top.doc_id = lu.doc_id
   JOIN qu ON qu.qid = top.qid AND qu.term = lu.term GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, pid) AS place FROM c)
-SELECT qid, pid, distance, place FROM k WHERE place <= {K}""")
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, doc_id, i) AS place FROM c)
+SELECT qid, doc_id, i, distance, place FROM k WHERE place <= {K}""")
 def J15_paragraphs_of_top_titles(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs of the three best documents of each question, by cosine with idf of the questions."""
     asked = tfidf.postings(_questions(spark, d), "qid")
-    rated = tfidf.smooth_idf(asked, table(spark, d, "benchmark").count())
+    rated = tfidf.smooth_idf(asked, tfidf.count_documents(table(spark, d, "benchmark")))
     top = tfidf.top_k(_scores(spark, d), 3).select("qid", "doc_id")
     wanted = _lines(spark, d).join(top.select("doc_id").distinct(), "doc_id", "left_semi")
-    lines = tfidf.unit_vectors(tfidf.postings(wanted, "pid"), "pid", rated).withColumn("doc_id", F.floor(F.col("pid") / 100000))
+    lines = tfidf.unit_vectors(tfidf.postings(wanted, LINE), LINE, rated)
     own = lines.join(top, "doc_id").withColumnRenamed("weight", "lw")
     met = own.join(tfidf.unit_vectors(asked, "qid", rated), ["qid", "term"])
-    scored = met.groupBy("qid", "pid").agg((F.round(1 - F.sum(F.col("lw") * F.col("weight")), 6) + 0.0).alias("distance"))
-    order = W.partitionBy("qid").orderBy("distance", "pid")
+    scored = met.groupBy("qid", *LINE).agg((F.round(1 - F.sum(F.col("lw") * F.col("weight")), 6) + 0.0).alias("distance"))
+    order = W.partitionBy("qid").orderBy("distance", *LINE)
     return scored.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= K)
 
 
-@query(f"""WITH {_LINES}, lp AS ({sql.postings('lines', 'pid')}), qp AS ({sql.postings("(SELECT item_id AS qid, text FROM benchmark)", "qid")}),
+@query(f"""WITH {_LINES}, lp AS ({sql.postings('lines', 'doc_id, i')}), qp AS ({sql.postings("(SELECT item_id AS qid, text FROM benchmark)", "qid")}),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM lines)) / (1 + count(*))) + 1 AS idf FROM lp GROUP BY term),
-lu AS {_unit('lp', 'pid', 'idf')}, qu AS {_unit('qp', 'qid', 'idf')},
-c AS (SELECT qid, pid, round(1 - sum(qu.weight * lu.weight), 6) + 0.0 AS distance FROM qu JOIN lu USING (term) GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, pid) AS rank FROM c)
-SELECT qid, pid, distance, rank FROM k WHERE rank <= {K}""")
+lu AS {_unit('lp', 'doc_id, i', 'idf')}, qu AS {_unit('qp', 'qid', 'idf')},
+c AS (SELECT qid, doc_id, i, round(1 - sum(qu.weight * lu.weight), 6) + 0.0 AS distance FROM qu JOIN lu USING (term) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, doc_id, i) AS rank FROM c)
+SELECT qid, doc_id, i, distance, rank FROM k WHERE rank <= {K}""")
 def J16_global_paragraph_rank(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d)
-    index = tfidf.postings(lines, "pid")
-    rated = tfidf.smooth_idf(index, lines.count())
+    index = tfidf.postings(lines, LINE)
+    rated = tfidf.smooth_idf(index, tfidf.count_documents(lines))
     asked = tfidf.unit_vectors(tfidf.postings(_questions(spark, d), "qid"), "qid", rated)
-    scored = tfidf.cosine_distance(asked, tfidf.unit_vectors(index, "pid", rated), "qid", "pid")
-    order = W.partitionBy("qid").orderBy("distance", "pid")
+    scored = tfidf.cosine_distance(asked, tfidf.unit_vectors(index, LINE, rated), "qid", LINE)
+    order = W.partitionBy("qid").orderBy("distance", *LINE)
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= K)
 
 
@@ -224,12 +218,11 @@ def J17_rank_positions(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).select("qid", "doc_id", (F.row_number().over(order) - 1).cast("long").alias("position"))
 
 
-@query("SELECT count(*) AS n, CAST(sum(a.l_linenumber + b.l_linenumber) AS BIGINT) AS total FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) a "
+@query("SELECT a.l_orderkey, a.l_linenumber AS \"first\", b.l_linenumber AS \"second\" FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) a "
        "JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber")
 def J27_unordered_pairs(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    pairs = R.unordered_pairs(items, "l_orderkey", "l_linenumber")
-    return pairs.agg(F.count("*").alias("n"), F.sum(F.col("first") + F.col("second")).alias("total"))
+    return R.unordered_pairs(items, "l_orderkey", "l_linenumber")
 
 
 @query("""WITH i AS (SELECT l_orderkey, l_linenumber, bool_or(l_returnflag = 'R') AS gold FROM lineitem GROUP BY ALL)
@@ -312,7 +305,7 @@ SELECT a.qid AS left_qid, b.qid AS right_qid, round(1 - sum(a.weight * b.weight)
 def A04_smooth_cosine(spark: SparkSession, d: str) -> DataFrame:
     """Cosine distances between the questions that share a term: a small, given query set."""
     asked = tfidf.postings(_questions(spark, d), "qid")
-    unit = tfidf.unit_vectors(asked, "qid", tfidf.smooth_idf(asked, table(spark, d, "benchmark").count()))
+    unit = tfidf.unit_vectors(asked, "qid", tfidf.smooth_idf(asked, tfidf.count_documents(table(spark, d, "benchmark"))))
     left, right = unit.withColumnRenamed("qid", "left_qid"), unit.withColumnRenamed("qid", "right_qid")
     return tfidf.cosine_distance(left, right, "left_qid", "right_qid").where("left_qid < right_qid")
 

@@ -64,7 +64,14 @@ def X05_best_span_truncated(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(O.best_span(_tokens(spark, d).where("pos < 4"), ["q", "l_linenumber"]))
 
 
-@query()
+_APART = "(b.s > a{0}.e OR b.e < a{0}.s)"
+
+
+@query(f"""WITH {_TOKENS}, p AS (SELECT a.q, a.pos AS s, b.pos AS e, round(a.p_start * b.p_end, 6) AS score FROM t a JOIN t b ON a.q = b.q AND b.pos >= a.pos AND b.pos - a.pos < 3),
+a1 AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, s, e) = 1),
+a2 AS (SELECT b.* FROM p b JOIN a1 USING (q) WHERE {_APART.format(1)} QUALIFY row_number() OVER (PARTITION BY b.q ORDER BY b.score DESC, b.s, b.e) = 1),
+a3 AS (SELECT b.* FROM p b JOIN a1 USING (q) JOIN a2 USING (q) WHERE {_APART.format(1)} AND {_APART.format(2)} QUALIFY row_number() OVER (PARTITION BY b.q ORDER BY b.score DESC, b.s, b.e) = 1)
+SELECT q, s, e, score, 1 AS rank FROM a1 UNION ALL SELECT q, s, e, score, 2 AS rank FROM a2 UNION ALL SELECT q, s, e, score, 3 AS rank FROM a3""")
 def X06_disjoint_spans(spark: SparkSession, d: str) -> DataFrame:
     t = _tokens(spark, d)
     ends = t.select("q", F.col("pos").alias("e"), "p_end")

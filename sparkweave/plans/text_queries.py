@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..operators import sampling
 from ..registry import query, table
 from . import sql
 
@@ -247,7 +248,7 @@ def T29_token_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of the words with 50 uses or more; a token falls back to its lower case, then to 1."""
     words = table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("t")).groupBy(F.lower("t").alias("w"))
     vocab = words.agg(F.count("*").alias("n")).where("n >= 50")
-    ids = vocab.select("w", (F.row_number().over(W.orderBy(F.desc("n"), "w")) + 1).cast("long").alias("id"))
+    ids = sampling.numbered(vocab.withColumnRenamed("n", "uses"), [F.desc("uses"), F.col("w")]).select("w", (F.col("n") + 2).cast("long").alias("id"))
     asked = table(spark, d, "benchmark").select("item_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "t"))
     exact = ids.select(F.col("w").alias("t"), F.col("id").alias("exact"))
     lower = ids.select(F.col("w").alias("lt"), F.col("id").alias("lower"))
@@ -335,21 +336,32 @@ def P07_has_ngram(spark: SparkSession, d: str) -> DataFrame:
 def P08_answer_in_text(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold an item's text.
 
-    Four words from inside the item are the join key, so that not every pair of texts is
-    compared. The few items that are too short for that, a given query set, are looked
-    for in every text.
+    Only keys travel: each text's runs of four words, or for shorter items its single
+    words or runs of up to three characters, meet one key of each item, and texts are
+    read for the pairs that meet. An empty item is held by every text.
     """
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("answer"))
+    docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null")
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    items = table(spark, d, "benchmark").withColumnRenamed("text", "answer").withColumn("w", words(F.col("answer")))
-    # Whole words, since they aren't at the ends, where a text's word may go on.
-    keyed = items.where("size(w) >= 6").withColumn("key", F.array_join(F.slice("w", 2, 4), " ")).drop("w")
-    runs = T.let(words(F.coalesce("text", F.lit(""))), lambda w: F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 3)), lambda i: F.array_join(F.slice(w, i, 4), " "))))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    met = docs.select("doc_id", "text", F.explode(runs).alias("key")).join(keyed, "key")
-    long = met.where(F.contains("text", "answer")).select("item_id", "doc_id").distinct()
-    short = items.where("size(w) < 6").select("item_id", "answer")
-    return long.union(docs.join(short, F.contains("text", "answer")).select("item_id", "doc_id"))
+    sized = items.withColumn("w", words(F.col("answer")))
+    n = F.size("w")
+    # Words inside an item are whole in any text that holds it; at its ends a text's word may go on.
+    kind = F.when(n >= 6, "run").when(n >= 3, "word").otherwise("chars")
+    key = F.when(n >= 6, F.array_join(F.slice("w", 2, 4), " ")).when(n >= 3, F.get("w", 1)).otherwise(F.left("answer", F.lit(3)))
+    keyed = sized.select("item_id", kind.alias("kind"), key.alias("key"))
+
+    def meet(kind: str, keys: Column) -> DataFrame:
+        asked = keyed.where(F.col("kind") == kind).select("item_id", "key")
+        return docs.select("doc_id", F.explode(keys).alias("key")).join(asked, "key").select("doc_id", "item_id")
+
+    runs = T.let(words(F.col("text")), lambda w: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 3)), lambda i: F.array_join(F.slice(w, i, 4), " ")))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text")))
+    cuts = F.flatten(F.transform(places, lambda i: F.array(*[F.substring("text", i, F.lit(k)) for k in (1, 2, 3)])))
+    chars = F.concat(F.array(F.lit("")), cuts)
+    met = meet("run", F.array_distinct(runs)).union(meet("word", F.array_distinct(words(F.col("text"))))).union(meet("chars", F.array_distinct(chars)))
+    found = met.distinct().join(docs, "doc_id").join(items, "item_id").where(F.contains("text", "answer")).select("item_id", "doc_id")
+    return found
 
 
 @query(f"""

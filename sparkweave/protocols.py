@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .functions import text as T
 
@@ -35,7 +37,36 @@ class OffsetTokenizer:
         return T.by_offsets(text, self.offsets)
 
 
-TOKENIZERS = {"simple": SimpleTokenizer, "offsets": OffsetTokenizer}
+class PythonTokenizer:
+    """A tokenizer that is a Python function, as those of language toolkits are, run on Arrow batches.
+
+    ``make`` is called once in each worker, so that a model is loaded once there; what it
+    returns maps a text to its tokens. A null text has no tokens.
+    """
+
+    def __init__(self, make: Callable[[], Callable[[str], list[str]]]):
+        self.make = make
+
+    def tokens(self, text: Column) -> Column:
+        make = self.make
+
+        @F.pandas_udf(ArrayType(StringType()))
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            split = make()
+            for texts in batches:
+                yield texts.fillna("").map(lambda t: list(split(t)) if t else [])
+
+        return run(text)
+
+
+TOKENIZERS: dict[str, Callable[..., Tokenizer]] = {"simple": SimpleTokenizer, "offsets": OffsetTokenizer}
+
+
+def register_tokenizer(name: str, make: Callable[..., Tokenizer]) -> None:
+    """Let ``tokenizer(name)`` give a user's tokenizer; a name that is taken is refused."""
+    if name in TOKENIZERS:
+        raise ValueError(f"there is a tokenizer named {name}")
+    TOKENIZERS[name] = make
 
 
 def tokenizer(name: str, *args) -> Tokenizer:
@@ -58,11 +89,15 @@ class HashedEncoder:
         self.size = size
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.size))
-        for row, text in zip(out, texts):
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                row[h % self.size] += 1 if h >> 16 & 1 else -1
+        split = [t.lower().split() for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(w) for w in split])
+        # Each distinct word is hashed once.
+        code, words = pd.factorize(np.array([w for own in split for w in own], object))
+        hashes = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
+        out = np.zeros(len(texts) * self.size)
+        if len(code):
+            np.add.at(out, owner * self.size + hashes[code] % self.size, np.where(hashes[code] >> 16 & 1, 1.0, -1.0))
+        out = out.reshape(len(texts), self.size)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

@@ -58,12 +58,14 @@ def flatten_questions(nested: DataFrame) -> DataFrame:
 def line_questions(spark: SparkSession, path: str) -> DataFrame:
     """(qid, question, answer) of JSON lines; the line number, from 0, is the id.
 
-    Spark's own row ids leave gaps, so lines are numbered by their place in the file.
+    A file is read whole by one task, for a line's number is known only to who has read
+    those before it; question sets are small beside a corpus. Of several files the
+    lines are numbered within each, and ``file`` tells them apart.
     """
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    rows = spark.createDataFrame(lines, "qid long, line string")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"))
+    lines = whole.select("file", F.posexplode("l").alias("qid", "line"))
     parsed = F.from_json("line", "question string, answer string")
-    return rows.select("qid", parsed.alias("r")).select("qid", "r.question", "r.answer")
+    return lines.select(F.col("qid").cast("long").alias("qid"), parsed.alias("r"), "file").select("qid", "r.question", "r.answer", "file")
 
 
 def word_vectors(spark: SparkSession, path: str, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -103,8 +105,9 @@ def legacy_encode(column: Column) -> Column:
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, answer, sp) of a file with one object of answers and one of facts."""
-    one = whole_json(spark, path, f"answer map<string,string>, sp map<string,array<{FACT}>>")
+    """(qid, answer, sp) of a file with one object of answers and one of facts, each fact [title, sentence]."""
+    one = whole_json(spark, path, "answer map<string,string>, sp map<string,array<array<string>>>")
     answers = one.select(F.explode("answer").alias("qid", "answer"))
-    facts = one.select(F.explode("sp").alias("qid", "sp"))
+    fact = lambda f: F.struct(F.get(f, 0).alias("title"), F.get(f, 1).cast("int").alias("sent_id"))
+    facts = one.select(F.explode("sp").alias("qid", "sp")).select("qid", F.transform("sp", fact).alias("sp"))
     return answers.join(facts, "qid", "full")

@@ -49,36 +49,54 @@ class DocumentStore:
 
 
 class EncodingStore:
-    """Vectors by title and sentence; titles that are known aren't written again unless asked for."""
+    """Vectors by title and sentence; titles that are known aren't written again unless asked for.
+
+    Each write is a version of its own, in a folder by number. A version that replaces
+    the ones before it lists in its ``_base`` file that they no longer count, and is
+    read only once it is whole: a job that fails on the way leaves the store as it was.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self) -> bool:
+    def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _versions(self) -> list[int]:
+        """Whole versions from the last one that replaces others on."""
+        fs, path = self._fs()
+        if not fs.exists(path):
+            return []
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        found = sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(path) if f.getPath().getName()[1:].isdigit())
+        whole = [n for n in found if fs.exists(hadoop(f"{self.path}/v{n}/_SUCCESS"))]
+        bases = [n for n in whole if fs.exists(hadoop(f"{self.path}/base{n}"))]
+        return [n for n in whole if not bases or n >= bases[-1]]
 
     def missing(self, titles: DataFrame) -> DataFrame:
         """Titles without encodings."""
-        return titles.join(self.read().select("title").distinct(), "title", "left_anti") if self._exists() else titles
+        return titles.join(self.read().select("title").distinct(), "title", "left_anti") if self._versions() else titles
 
     def append(self, encodings: DataFrame, overwrite: bool = False) -> None:
         """``encodings``: title, par_id, sent_id, vector."""
-        if not self._exists():
-            encodings.write.parquet(self.path)
-        elif overwrite:
-            rest = self.read().join(encodings.select("title").distinct(), "title", "left_anti")
-            new = f"{self.path}-new"
-            rest.unionByName(encodings).write.mode("overwrite").parquet(new)
-            self.spark.read.parquet(new).write.mode("overwrite").parquet(self.path)
-        else:
+        versions = self._versions()
+        new = max(versions, default=0) + 1
+        replaces = False
+        if versions and overwrite:
+            encodings = self.read().join(encodings.select("title").distinct(), "title", "left_anti").unionByName(encodings)
+            replaces = True
+        elif versions:
             known = encodings.select("title").distinct().join(self.read(), "title", "left_semi").limit(1).collect()
             if known:
                 raise DuplicateKeys(f"{known[0].title} has encodings; pass overwrite to replace them")
-            encodings.write.mode("append").parquet(self.path)
+        encodings.write.mode("overwrite").parquet(f"{self.path}/v{new}")
+        if replaces:  # one small file, made at once, switches to the new version
+            fs, _ = self._fs()
+            fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/base{new}"), True).close()
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.parquet(*[f"{self.path}/v{n}" for n in self._versions()])
 
 
 def write_word_counts(counts: DataFrame, path: str) -> None:
@@ -99,8 +117,21 @@ def write_results(rows: DataFrame, path: str) -> None:
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:
-    """One JSON row for each question: qid, answer, sp."""
-    rows.select("qid", "answer", "sp").write.json(path)
+    """One object ``{"answer": {qid: answer}, "sp": {qid: [[title, sentence], ...]}}`` from rows (qid, answer, sp).
+
+    The format is one object, so one task writes it; its rows are a question set's, and
+    made to text before they meet there.
+    """
+    quoted = lambda c: F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"})
+    text = lambda c: F.regexp_extract(quoted(c), r'(?s)^\{"x":(.*)\}$', 1)
+    fact = lambda f: F.concat(F.lit("["), text(f["title"]), F.lit(", "), f["sent_id"].cast("string"), F.lit("]"))
+    name = F.concat(text(F.col("qid").cast("string")), F.lit(": "))
+    facts = F.concat(F.lit("["), F.array_join(F.transform("sp", fact), ", "), F.lit("]"))
+    one = rows.select(F.concat(name, text(F.col("answer"))).alias("answer"), F.when(F.col("sp").isNotNull(), F.concat(name, facts)).alias("sp"))
+    both = one.agg(F.array_sort(F.collect_list("answer")).alias("answer"), F.array_sort(F.collect_list("sp")).alias("sp"))
+    part = lambda c: F.concat(F.lit("{"), F.array_join(c, ", "), F.lit("}"))
+    whole = F.concat(F.lit('{"answer": '), part("answer"), F.lit(', "sp": '), part("sp"), F.lit("}"))
+    both.select(whole.alias("value")).coalesce(1).write.text(path)
 
 
 def write_grid(rows: DataFrame, path: str) -> None:

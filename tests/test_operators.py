@@ -9,7 +9,7 @@ from sparkweave import protocols
 from sparkweave.functions import spans as S
 from sparkweave.functions import vectors as V
 from sparkweave.operators import metrics as M
-from sparkweave.operators import sampling, tfidf
+from sparkweave.operators import sampling, tfidf, training
 from sparkweave.operators import spans as O
 from sparkweave.operators import vectors as OV
 
@@ -88,7 +88,7 @@ def test_batches(spark):
     assert sizes == {**{i: 10 for i in range(10)}, 10: 3}
     assert sampling.batches(df, [F.col("k")], 10, keep_remainder=False).count() == 100
     assert sampling.sample(df, 1, ["k"], 7).count() == 7
-    assert sorted(r.n for r in sampling.numbered(df, [F.desc("k")], 5).collect()) == list(range(103))
+    assert sorted(r.n for r in sampling.numbered(df, [F.desc("k")]).collect()) == list(range(103))
 
 
 def test_choose_shares(spark):
@@ -117,3 +117,54 @@ def test_encoder_is_deterministic(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "id int, t string")
     got = {r.id: r.vector for r in protocols.encode(df, protocols.HashedEncoder(8), ["id"], "t").collect()}
     assert got[1] == protocols.HashedEncoder(8).encode(["a b"])[0].tolist() and set(got[2]) == {0.0}
+
+
+def test_encoder_by_another_loop():
+    import zlib
+
+    texts, size = ["The cat the CAT sat", "", "dog", "a b c a"], 8
+    want = []
+    for t in texts:
+        v = [0.0] * size
+        for w in t.lower().split():
+            h = zlib.crc32(w.encode())
+            v[h % size] += 1 if (h >> 16) % 2 else -1
+        n = sum(x * x for x in v) ** 0.5
+        want.append([x / n if n else 0.0 for x in v])
+    got = protocols.HashedEncoder(size).encode(texts)
+    assert [pytest.approx(row) for row in want] == got.tolist()
+
+
+def test_python_tokenizer(spark):
+    if "halves" not in protocols.TOKENIZERS:
+        protocols.register_tokenizer("halves", lambda: protocols.PythonTokenizer(lambda: lambda t: [t[: len(t) // 2], t[len(t) // 2 :]]))
+    with pytest.raises(ValueError):
+        protocols.register_tokenizer("halves", protocols.SimpleTokenizer)
+    df = spark.createDataFrame([(1, "abcd"), (2, None), (3, "")], "id int, t string")
+    got = {r.id: r.x for r in df.select("id", protocols.tokenizer("halves").tokens(F.col("t")).alias("x")).collect()}
+    assert got == {1: ["ab", "cd"], 2: [], 3: []}
+
+
+def test_training_data(spark):
+    rows = spark.createDataFrame([(i, f" t{i} " if i % 4 else None) for i in range(40)], "k int, sample string")
+    data = training.TrainingData(
+        rows.where("k < 30"), rows.where("k >= 30"), ["k"], keep=lambda r: r["k"] != 5, preprocess=lambda r: F.trim(r["sample"]), sample_train=6
+    )
+    train, dev = data.get_train().collect(), data.get_dev().collect()
+    assert len(train) == 6 and {r.k for r in train} <= {i for i in range(30) if i % 4 and i != 5} and all(r.sample == f"t{r.k}" for r in train)
+    assert {r.k for r in data.get_train().collect()} == {r.k for r in train}
+    assert {r.k for r in dev} == {i for i in range(30, 40) if i % 4}
+
+
+def test_short_and_odd_answers(spark, tmp_path):
+    from sparkweave.plans.text_queries import P08_answer_in_text
+
+    items = ["a b c d e f", "on the mat", "cat", "ca", "c", "", "the  cat", "the cat sat on the mat", " sat", "zz", None, "t\ncat x y z w v"]
+    texts = ["the cat sat on the mat", "the  cat", "", "concatenate", "xa b c d e fy", None, "the cat\nsat on the mat", "that\ncat x y z w vv"]
+    (tmp_path / "t").mkdir()
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "t" / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "t" / "documents.parquet"))
+    got = {(r.item_id, r.doc_id) for r in P08_answer_in_text(spark, str(tmp_path / "t")).collect()}
+    assert got == {(i, j) for i, a in enumerate(items) for j, t in enumerate(texts) if a is not None and t is not None and a in t}
+    plan = P08_answer_in_text(spark, str(tmp_path / "t"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

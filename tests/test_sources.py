@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkweave.operators import tfidf
-from sparkweave.sources import readers, stores
+from sparkweave.sources import corpora, readers, stores
 from sparkweave.streaming.questions import answer_stream
 
 
@@ -70,13 +70,25 @@ def test_encoding_store(spark, tmp_path):
         store.append(row("A", 3.0))
     store.append(row("A", 3.0), overwrite=True)
     assert {r.title: r.vector for r in store.read().collect()} == {"A": [3.0], "B": [2.0]}
+    # A version that isn't whole is as if it weren't there.
+    (tmp_path / "enc" / "v9").mkdir()
+    store.append(row("D", 4.0))
+    assert {r.title for r in store.read().collect()} == {"A", "B", "D"}
     assert [r.title for r in store.missing(spark.createDataFrame([("A",), ("C",)], "title string")).collect()] == ["C"]
 
 
 def test_predictions_and_grid(spark, tmp_path):
-    (tmp_path / "p.json").write_text(json.dumps({"answer": {"q1": "x"}, "sp": {"q1": [{"title": "T", "sent_id": 1}]}}))
+    (tmp_path / "p.json").write_text(json.dumps({"answer": {"q1": "x"}, "sp": {"q1": [["T", 1]]}}))
     row = readers.predictions(spark, str(tmp_path / "p.json")).first()
-    assert (row.qid, row.answer, row.sp[0].title) == ("q1", "x", "T")
+    assert (row.qid, row.answer, row.sp[0].title, row.sp[0].sent_id) == ("q1", "x", "T", 1)
+    kind = "qid string, answer string, sp array<struct<title:string,sent_id:int>>"
+    rows = [("q1", 'an "odd" é answer\n', [("A \"b\"", 0), ("C", 12)]), ("q2", "yes", []), ("q 3", None, None)]
+    stores.write_predictions(spark.createDataFrame(rows, kind), str(tmp_path / "out"))
+    (file,) = (tmp_path / "out").glob("part-*")
+    whole = json.loads(file.read_text())
+    assert whole == {"answer": {q: a for q, a, _ in rows}, "sp": {q: [list(f) for f in sp] for q, _, sp in rows if sp is not None}}
+    back = {r.qid: (r.answer, r.sp and [tuple(f) for f in r.sp]) for r in readers.predictions(spark, str(tmp_path / "out")).collect()}
+    assert back == {q: (a, sp) for q, a, sp in rows}
     grid = spark.createDataFrame([("q", 1, 2)], "qid string, n1 int, n2 int")
     stores.write_grid(grid, str(tmp_path / "grid"))
     assert spark.read.json(str(tmp_path / "grid")).where("n2 = 2 and n1 = 1").count() == 1
@@ -102,3 +114,32 @@ def test_question_stream(spark, tmp_path):
     stream = spark.readStream.schema("qid long, text string").parquet(str(tmp_path / "in"))
     answer_stream(stream, tfidf.postings(corpus), corpus, 1, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {(r.qid, r.doc_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 1), (2, 4)}
+
+
+def test_split_corpus(spark, tmp_path):
+    rows = lambda *t: spark.createDataFrame([(x, x.lower()) for x in t], "title string, text string")
+    corpus = corpora.SplitCorpus(spark, str(tmp_path / "c"))
+    with pytest.raises(stores.DuplicateKeys):
+        corpus.write(train=rows("A", "B"), dev=rows("B"))
+    with pytest.raises(ValueError):
+        corpus.write(other=rows("A"))
+    corpus.write(train=rows("A", "B"), dev=rows("C"))
+    assert {r.title for r in corpus.split("train").collect()} == {"A", "B"} and corpus.split("dev").columns == ["title", "text"]
+    with pytest.raises(Exception):
+        corpus.write(train=rows("D"))
+
+
+def test_index_store(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox runs"), (2, "red wolf")], "doc_id long, text string")
+    store = corpora.IndexStore(spark, str(tmp_path / "i"))
+    store.write(tfidf.postings(docs), n=2, mode="any")
+    assert store.metadata() == {"n": 2, "mode": "any"}
+    assert sorted(store.postings().collect()) == sorted(tfidf.postings(docs).collect())
+
+
+def test_merged_evaluations(spark):
+    one = spark.createDataFrame([("em", 0.5), ("f1", 0.6)], "name string, value double")
+    both = corpora.merged(corpora.prefixed(one, "dev/"), one)
+    assert {r.name for r in both.collect()} == {"dev/em", "dev/f1", "em", "f1"}
+    with pytest.raises(stores.DuplicateKeys):
+        corpora.merged(one, one)

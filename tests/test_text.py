@@ -1,5 +1,7 @@
 """Hand-made cases of the text functions."""
 
+import hashlib
+import re
 import unicodedata
 
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.functions import pandas_text as P
 from sparkweave.functions import text as T
+from sparkweave.operators import tfidf
 
 
 def one(spark, column, **values):
@@ -88,3 +91,51 @@ def test_token_spans(spark):
 def test_nfd(spark):
     assert one(spark, P.nfd(F.col("t")), t="é") == unicodedata.normalize("NFD", "é")
     assert one(spark, P.strip_accents(F.col("t")), t="Éa") == "ea"
+
+
+def test_ngrams_by_another_loop(spark):
+    words = "the new york of and a the end . , new of york".split()
+    drop = [w in T.STOPWORDS or w in ".," for w in words]
+    rules = {None: lambda f: False, "any": any, "all": all, "ends": lambda f: f[0] or f[-1]}
+    for mode, rule in rules.items():
+        for n in (1, 2, 3):
+            spans = [(i, i + k) for i in range(len(words)) for k in range(1, n + 1) if i + k <= len(words)]
+            want = [" ".join(words[a:b]) for a, b in spans if not rule(drop[a:b])]
+            assert one(spark, T.ngrams(F.col("t"), n, mode=mode), t=words) == want
+
+
+def test_postings_by_another_loop(spark):
+    texts = {1: "The new York, new york", 2: "", 3: None, 4: "of the end", 5: "END end END end"}
+    want = {}
+    for d, t in texts.items():
+        words = [w.lower() for w in re.findall(r"\w+|[^\w\s]", t or "")]
+        for i, w in enumerate(words):
+            for gram in (words[i : i + 1], words[i : i + 2]):
+                if len(gram) == 2 or gram == [w]:
+                    if not any(x in T.STOPWORDS or x == "," for x in gram) and (len(gram) == 1 or gram != [w]):
+                        key = (d, " ".join(gram))
+                        want[key] = want.get(key, 0) + 1
+    # The last word has no pair, so its slice of two is a slice of one and isn't counted again.
+    for d, t in texts.items():
+        words = [w.lower() for w in re.findall(r"\w+|[^\w\s]", t or "")]
+        if words and words[-1] not in T.STOPWORDS:
+            want[(d, words[-1])] -= 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {(r.doc_id, r.term): r.tf for r in tfidf.postings(df).collect()} == want
+    arrays = df.select("doc_id", F.explode(T.ngrams(T.tokens(F.col("text")), 2, True, "any")).alias("term")).groupBy("doc_id", "term").count()
+    assert {(r.doc_id, r.term): r["count"] for r in arrays.collect()} == want
+
+
+def test_whole_documents_by_another_loop(spark):
+    """Decomposition, accents and buckets of every document or term, against the library's own functions."""
+    from sparkweave.plans import python_queries as Q
+
+    data = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if unicodedata.combining(c) == 0)
+    assert {r.doc_id: r.nfd for r in Q.T15_decompose(spark, data).collect()} == {d: digest(unicodedata.normalize("NFD", t)) for d, t in texts.items()}
+    assert {r.doc_id: r.plain for r in Q.T18_strip_accents(spark, data).collect()} == {d: digest(plain(t)) for d, t in texts.items()}
+    buckets = {r.term: r.bucket for r in Q.T16_hash_buckets(spark, data).collect()}
+    assert len(buckets) > 1000 and all(0 <= b < 1 << 24 for b in buckets.values())
+    assert all(buckets[t] == P.murmur3_32(t.encode()) % (1 << 24) for t in buckets)
