@@ -1,18 +1,23 @@
 """Operator 8: quality classifier by compression.
 
-Two zstandard dictionaries are built, from well and badly rated texts. A text that
-compresses better under the good one resembles good text: the difference of the two
-compressed sizes, divided by the size without a dictionary, is the main feature. A
-logistic curve over it, the plain compression ratio, the length and their products, fitted on other labelled texts, makes it a probability.
-
-The dictionaries and the curve are fitted on a bounded sample of the labelled rows;
-a dictionary takes the middle DICTIONARY_BYTES / n bytes of each of its n texts;
-every text is scored, whole.
-
-Cases: a null or empty text has no bytes to compare and gets the fitted share of good
-texts; unlabelled rows are scored like others; equal texts get equal scores; an empty
-table gives an empty table. A document labelled twice is taken with its lowest label.
-With no training rows of one label there is nothing to learn and ValueError is raised.
+Two zstandard dictionaries are built, from well and badly rated texts. A text is cut
+into windows of WINDOW bytes, which are compressed each by itself under either
+dictionary and under none, so that a text's own repetitions don't hide what it shares
+with the dictionaries. The difference of the two sizes, divided by the size without a
+dictionary, is the one feature; a logistic curve over it, fitted on other labelled
+texts and weighted to the labels' true shares, makes it a calibrated probability.
+
+Dictionaries and curve are fitted on a bounded sample of the labelled rows: at most
+SAMPLE_DOCS of each label, half for either; a dictionary takes at most TEXT_CHARS of
+the start of each text and DICTIONARY_BYTES in all. Every text is scored, whole, in
+memory that doesn't grow with it beyond the text itself.
+
+Cases: a null or empty text has no bytes to compare and gets the share of good texts;
+unlabelled rows are scored like others; equal texts get equal scores; an empty table
+gives an empty table; other columns, whatever their names, are ignored. A document
+labelled twice is taken with its lowest label, one with two texts with the lesser.
+Without training rows of both labels there is nothing to compare, and every text gets
+the share of good ones among the training rows, 0.5 if there are none.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from pyspark.sql import functions as F
 
 from .frames import map_batches, texts_of
 
-#: The bound of the sample: documents of each label, half for the dictionaries and
-#: half for the curve; bytes of each dictionary.
-SAMPLE_DOCS, DICTIONARY_BYTES = 2000, 128 << 10
-LEVEL, THRESHOLD = 3, 0.3
+#: Bounds of the sample: documents of each label, half for the dictionaries and half
+#: for the curve; characters of a text and bytes of all in a dictionary.
+SAMPLE_DOCS, TEXT_CHARS, DICTIONARY_BYTES = 2000, 2000, 1 << 20
+WINDOW, LEVEL, THRESHOLD = 128, 3, 0.3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_good long, n_bad long, n_plain long"
 
 
@@ -40,49 +45,42 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries, the curve's weights, and the share of good texts."""
+    """Two dictionaries, intercept and slope of the curve, and the share of good texts.
+
+    Without dictionaries all texts get that share.
+    """
 
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
-    centre: tuple[float, ...]
-    spread: tuple[float, ...]
+    intercept: float
+    slope: float
     prior: float
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[list[tuple[str, int]], float]:
-    """At most ``size`` labelled texts of each label, and the share of label 1 among all training rows.
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[DataFrame, float | None]:
+    """(text, label, half) of at most ``size`` labelled documents of each label, and the share of label 1 among all training rows.
 
-    Rows are picked by a hash of their id, in the labels alone, so that only the
-    picked texts are joined and sent.
+    Rows are picked by a hash of their id, in the labels alone, so that only the picked
+    texts are joined.
     """
     train = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     train = train.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     share = train.agg(F.avg("label").alias("share")).first()["share"]
     by_hash = lambda v: train.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    picked = by_hash(0).unionByName(by_hash(1))
+    picked = by_hash(0).unionByName(by_hash(1)).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # At most 2 * size ids: a bound that doesn't grow with the data.
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
-    return [(r.text, r.label) for r in sorted(rows, key=lambda r: r.doc_id)], share
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "half").agg(F.min("text").alias("text"))
+    return rows, share
 
 
-def build_dictionary(texts: list[str], size: int) -> bytes:
-    """A raw dictionary of even shares of the texts, the first ones nearest to what is compressed."""
-    share = max(64, size // max(1, len(texts)))
-    pieces, total = [], 0
-    for text in texts:
-        raw = text.encode()
-        middle = max(0, (len(raw) - share) // 2)
-        pieces.append(raw[middle : middle + share])
-        total += len(pieces[-1])
-        if total >= size:
-            break
-    return b"\n".join(reversed(pieces))[-size:]
+def build_dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
+    """A raw dictionary of the texts, the first ones nearest to what is compressed."""
+    return b"\n".join(t.encode() for t in reversed(texts))[-size:]
 
 
 class Sizes:
-    """Compressed sizes of a text under the good, the bad and no dictionary."""
+    """Compressed sizes of a text's windows under the good, the bad and no dictionary."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.good, self.bad, self.plain = (
@@ -96,73 +94,76 @@ class Sizes:
 
     def __call__(self, text: str) -> tuple[int, int, int]:
         raw = text.encode()
-        return len(self.good.compress(raw)), len(self.bad.compress(raw)), len(self.plain.compress(raw))
+        windows = [raw[i : i + WINDOW] for i in range(0, len(raw), WINDOW)]
+        good, bad, plain = (sum(len(c.compress(w)) for w in windows) for c in (self.good, self.bad, self.plain))
+        return good, bad, plain
 
 
-def features(sizes: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
-    """The normalised size difference, how far the text compresses at all, its length, and their products."""
-    good, bad, plain = sizes.T.astype(float)
-    difference = (bad - good) / plain
-    ratio = np.minimum(plain / np.maximum(n_bytes, 1), 1.5)
-    length = np.log1p(n_bytes)
-    base = [difference, ratio, length]
-    return np.stack([*base, *(a * b for i, a in enumerate(base) for b in base[i:])], axis=1)
+def difference(good: np.ndarray, bad: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """The normalised size difference: above 0 for a text that is more like good ones; 0 for an empty text."""
+    return (bad - good) / np.maximum(plain, 1)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, prior: float, steps: int = 60) -> np.ndarray:
-    """Logistic regression by Newton steps, rows weighted so that the labels have their true shares."""
-    x = np.hstack([np.ones((len(x), 1)), x])
+def fit_curve(x: np.ndarray, y: np.ndarray, prior: float, steps: int = 60) -> tuple[float, float]:
+    """Intercept and slope of a logistic curve by Newton steps, rows weighted so that the labels have their true shares."""
+    centre, spread = x.mean(), x.std() + 1e-9
+    design = np.stack([np.ones(len(x)), (x - centre) / spread], axis=1)
     weight = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
-    w = np.zeros(x.shape[1])
+    w = np.zeros(2)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (p - y)) + 1e-2 * w
-        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        slope = design.T @ (weight * (p - y)) + 1e-2 * w
+        bend = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
         step = np.linalg.solve(bend, slope)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    return w
+    return float(w[0] - w[1] * centre / spread), float(w[1] / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> Model:
-    rows, prior = sample(docs, labels, size)
-    if len({label for _, label in rows}) < 2:
-        raise ValueError("training rows of both labels are needed")
-    dictionary, curve = rows[::2], rows[1::2] or rows
-    if len({label for _, label in dictionary}) < 2 or len({label for _, label in curve}) < 2:
-        dictionary = curve = rows
-    of = lambda v: build_dictionary([t for t, label in dictionary if label == v], DICTIONARY_BYTES)
-    good, bad = of(1), of(0)
-    measure = Sizes(good, bad)
-    sizes = np.array([measure(t) for t, _ in curve])
-    x = features(sizes, np.array([len(t.encode()) for t, _ in curve]))
-    centre, spread = x.mean(0), x.std(0) + 1e-9
-    w = fit_curve((x - centre) / spread, np.array([label for _, label in curve]), prior)
-    return Model(good, bad, tuple(w.tolist()), tuple(centre.tolist()), tuple(spread.tolist()), float(prior))
-
-
-def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """A score for each document and what it predicts, with the sizes that it comes from."""
+def _sizes(rows: DataFrame, good: bytes, bad: bytes, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows with n_bytes, n_good, n_bad and n_plain of their texts."""
+    both = rows.sparkSession.sparkContext.broadcast((good, bad))  # bounded by DICTIONARY_BYTES each
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
 
     def make():
-        measure = Sizes(model.good, model.bad)
-        w = np.array(model.weights)
+        measure = Sizes(*both.value)
 
         def work(batch: pa.RecordBatch) -> dict[str, list]:
             texts = texts_of(batch)
-            sizes = np.array([measure(t) for t in texts])
-            n_bytes = np.array([len(t.encode()) for t in texts])
-            z = (features(sizes, n_bytes) - model.centre) / model.spread @ w[1:] + w[0]
-            scores = np.where(n_bytes > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), model.prior).round(6)
-            return {
-                "doc_id": batch.column("doc_id"),
-                "held_out": batch.column("held_out"),
-                "score": scores,
-                "predicted": (scores >= threshold).astype("int32"),
-                **{n: sizes[:, i] for i, n in enumerate(("n_good", "n_bad", "n_plain"))},
-            }
+            sizes = [measure(t) for t in texts]
+            own = {c: batch.column(c) for c in columns}
+            return own | {"n_bytes": [len(t.encode()) for t in texts]} | {n: [s[i] for s in sizes] for i, n in enumerate(("n_good", "n_bad", "n_plain"))}
 
         return work
 
-    return map_batches(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), make, SCHEMA)
+    return map_batches(rows.select(*columns, "text"), make, f"{kinds}, n_bytes long, n_good long, n_bad long, n_plain long")
+
+
+def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> Model:
+    rows, share = sample(docs, labels, size)
+    # At most 2 * size texts of at most TEXT_CHARS characters come to the driver.
+    cut = rows.select("doc_id", "label", "half", F.substring("text", 1, TEXT_CHARS).alias("text")).collect()
+    halves = [{r.label for r in cut if r.half == h} for h in (0, 1)]
+    if len(halves[0] | halves[1]) < 2:
+        return Model(b"", b"", 0.0, 0.0, 0.5 if share is None else float(share))
+    apart = all(len(h) == 2 for h in halves)  # few rows: both are fitted on all
+    chosen = sorted((r for r in cut if not apart or r.half == 0), key=lambda r: r.doc_id)
+    good, bad = (build_dictionary([r.text for r in chosen if r.label == v]) for v in (1, 0))
+    curve = _sizes(rows.where("half = 1") if apart else rows, good, bad, ["doc_id", "label"]).where("n_bytes > 0").orderBy("doc_id").toPandas()
+    if curve["label"].nunique() < 2:
+        return Model(b"", b"", 0.0, 0.0, float(share))
+    x = difference(*(curve[n].to_numpy(float) for n in ("n_good", "n_bad", "n_plain")))
+    return Model(good, bad, *fit_curve(x, curve["label"].to_numpy(float), share), float(share))
+
+
+def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """A score for each document and what it predicts, with the sizes that it comes from."""
+    named = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    sized = _sizes(named, model.good, model.bad, ["doc_id", "held_out"])
+    difference = (F.col("n_bad") - F.col("n_good")) / F.greatest(F.col("n_plain"), F.lit(1))
+    curve = 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * difference)))
+    told = bool(model.good and model.bad)
+    score = F.round(F.when((F.col("n_bytes") > 0) & F.lit(told), curve).otherwise(F.lit(model.prior)), 6)
+    scored = sized.withColumn("score", score)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_good", "n_bad", "n_plain")

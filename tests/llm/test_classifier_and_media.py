@@ -1,8 +1,10 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -34,16 +36,56 @@ def test_held_out_accuracy(spark, model):
 def test_training_rows_are_not_held_out(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
-    texts, share = C.sample(docs, labels, 1000)
+    rows, share = C.sample(docs, labels, 1000)
+    texts = [r.text for r in rows.collect()]
     assert len(texts) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200)) and 0.3 < share < 0.7
-    assert all(zlib.crc32(t.split()[1].encode()) % 5 for t, _ in texts)
-    assert len(C.sample(docs, labels, 10)[0]) == 20
-
-
-def test_one_label_is_refused(spark):
-    docs = spark.createDataFrame([(i, "x") for i in range(20)], "doc_id long, text string")
-    with pytest.raises(ValueError):
-        C.fit(docs, spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int"))
+    assert all(zlib.crc32(t.split()[1].encode()) % 5 for t in texts)
+    assert C.sample(docs, labels, 10)[0].count() == 20
+
+
+def test_without_both_labels_all_get_the_share(spark):
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(20)], "doc_id long, text string")
+    of = lambda label: {r.score for r in C.classify(docs, C.fit(docs, spark.createDataFrame([(i, label) for i in range(20)], "doc_id long, quality int"))).collect()}
+    assert of(1) == {1.0} and of(0) == {0.0} and of(None) == {0.5}
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in C.classify(docs, C.fit(docs, none)).collect()} == {0.5}
+
+
+def test_query_on_empty_tables(spark, tmp_path):
+    from sparkweave.llm import queries
+
+    empty(spark).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "a" / "labels.parquet"))
+    assert queries.op8_compression_classifier(spark, str(tmp_path / "a")).count() == 0
+    awkward(spark).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "b" / "labels.parquet"))
+    assert {r.score for r in queries.op8_compression_classifier(spark, str(tmp_path / "b")).collect()} == {0.5}
+
+
+def test_scores_by_another_loop(spark, model):
+    """Sizes by streaming each window through a compressor of its own, and the curve by math."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in C.classify(docs, model).collect():
+        raw, sizes = texts[r.doc_id].encode(), []
+        for d in (model.good, model.bad, None):
+            kind = d and zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c, at, size = zstandard.ZstdCompressor(level=C.LEVEL, dict_data=kind, write_content_size=False, write_dict_id=False), 0, 0
+            while at < len(raw):
+                size += len(c.compress(raw[at : at + C.WINDOW]))
+                at += C.WINDOW
+            sizes.append(size)
+        assert [r.n_good, r.n_bad, r.n_plain] == sizes
+        z = model.intercept + model.slope * (sizes[1] - sizes[0]) / sizes[2] if raw else 0
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)) if raw else model.prior, abs=1e-6)
+
+
+def test_curve_is_calibrated():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0.1, 0.05, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(-4 + 60 * x)))).astype(float)
+    a, b = C.fit_curve(x, y, float(y.mean()))
+    assert a == pytest.approx(-4, abs=0.5) and b == pytest.approx(60, abs=6)
 
 
 @pytest.mark.parametrize("change", [lambda d: d, wider])
@@ -76,7 +118,9 @@ def test_media_rows(spark):
 
 def slow_fingerprint(samples):
     """The same by plain loops over frames and bands."""
-    signal = list(samples) + [128] * max(0, M.FRAME - len(samples))
+    signal = [128] * M.HOP + list(samples) + [128] * M.HOP
+    while (len(signal) - M.FRAME) % M.HOP:
+        signal.append(128)
     window = np.hanning(M.FRAME).astype(np.float32)
     frames = [signal[a : a + M.FRAME] for a in range(0, len(signal) - M.FRAME + 1, M.HOP)]
     height, line = [], []
@@ -97,7 +141,7 @@ def slow_fingerprint(samples):
 
 def test_fingerprint_against_loops():
     rng = np.random.default_rng(3)
-    for n in (192, 384, 5000):
+    for n in (192, 384, 576, 960, 5000):
         samples = bytes(rng.integers(32, 123, n, dtype=np.uint8))
         frames, at, codes = M.fingerprint(samples)
         assert (frames, list(zip(at.tolist(), codes.tolist()))) == slow_fingerprint(samples)
@@ -110,3 +154,16 @@ def test_equal_stretches_share_codes():
     a, b = set(M.fingerprint(shared + other)[2].tolist()), set(M.fingerprint(other[: M.HOP * 20] + shared)[2].tolist())
     c = set(M.fingerprint(bytes(rng.integers(32, 123, M.HOP * 120, dtype=np.uint8)))[2].tolist())
     assert len(a & b) > 5 * max(1, len(a & c))
+
+
+def test_every_byte_is_in_a_frame():
+    for n in (192, 384, 576, 960, 1344):
+        before = M.band_peaks(rng_bytes(n))
+        for at in (0, n // 2, n - 1):
+            samples = bytearray(rng_bytes(n))
+            samples[at] ^= 0x1F
+            assert (M.band_peaks(bytes(samples)) != before).any()
+
+
+def rng_bytes(n):
+    return bytes(np.random.default_rng(n).integers(32, 123, n, dtype=np.uint8))
