@@ -6,8 +6,8 @@ paired with the peaks that follow; each pair's two bins and time gap make one co
 kept with its frame in time order.
 
 Cases: a null text is an empty payload, padded to one block of spaces; equal texts
-give equal values; a payload shorter than a frame is padded with silence for the
-transform alone; an empty table gives an empty table; other columns are ignored.
+give equal values; for the transform alone a payload stands in silence, up to a whole
+number of frames, so that each byte counts; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,8 +57,9 @@ def read_back(media: bytes) -> bytes:
 def band_peaks(samples: bytes) -> np.ndarray:
     """Magnitude and bin of the strongest line of each band in each frame: (frames, bands, 2)."""
     signal = np.frombuffer(samples, np.uint8)
-    if len(signal) < FRAME:
-        signal = np.concatenate([signal, np.full(FRAME - len(signal), 128, np.uint8)])
+    silence = lambda n: np.full(n, 128, np.uint8)
+    # The window is 0 at a frame's ends, so half a frame of silence stands before and after.
+    signal = np.concatenate([silence(HOP), signal, silence(HOP + -len(signal) % HOP)])
     frames = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP]
     window, out = np.hanning(FRAME).astype(np.float32), []
     for at in range(0, len(frames), CHUNK):
