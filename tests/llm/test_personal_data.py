@@ -89,3 +89,34 @@ def test_rows(spark):
 
     assert row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest()
     assert P.personal_data(empty(spark)).count() == 0
+
+
+def test_time_in_proportion_to_the_text():
+    import time
+
+    def took(n):
+        text = " ".join(f"call 020 555 {i % 9000 + 1000} or write a{i}@b.example" for i in range(n))
+        began = time.process_time()
+        spans = P.find_spans(text)
+        assert sum(s[2] == "email" for s in spans) == n and sum(s[2] == "local_phone" for s in spans) == 0
+        return time.process_time() - began
+
+    took(100)
+    assert took(16000) < 20 * took(2000)
+
+
+def test_added_spans_never_overlap_base_ones():
+    rng = __import__("random").Random(4)
+    pieces = ["a@b.example", "call 212 555 0187", "212-555-0187@x.example", "phone (212) 555-0187", "social 123-45-6789", "+1 212 555 0187", "1.2.3.4", "bank DE89370400440532013000", " ", "x"]
+    for _ in range(300):
+        text = " ".join(rng.choices(pieces, k=12))
+        spans = P.find_spans(text)
+        own = [s for s in spans if s[2] in P.BASE]
+        assert [s[:3] for s in own] == P.base_spans(text) or sorted(s[:3] for s in own) == sorted(P.base_spans(text))
+        more = [s for s in spans if s[2] not in P.BASE]
+        assert not any(a < y and x < b for a, b, *_ in more for x, y, *_ in own)
+        # Each span that was proposed and doesn't overlap stays if its words speak for it.
+        for kind, pattern in (("ssn", P.SSN), ("local_phone", P.LOCAL_PHONE)):
+            for m in pattern.finditer(text):
+                free = not any(x < m.end() and m.start() < y for x, y, *_ in own)
+                assert ((m.start(), m.end(), kind) in [s[:3] for s in more]) == (free and P.score(text, *m.span(), kind) >= P.ACCEPT)
