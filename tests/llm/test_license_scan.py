@@ -141,3 +141,18 @@ def test_rows(spark):
     row = S.license_scan(spark.createDataFrame([(1, "Hi.\nReleased under the MIT License.\nBye.")], "doc_id long, text string")).first()
     assert (row.license, row.dice, row.n_matches, row.starts, row.ends) == ("MIT", 1.0, 1, [4], [34])
     assert S.license_scan(empty(spark)).count() == 0
+
+
+def test_time_in_proportion_to_the_text():
+    import time
+
+    scan = S.Scanner()
+
+    def took(n):
+        text = " ".join(f"Part {i} of it is licensed under the MIT License." for i in range(n))
+        began = time.process_time()
+        assert len(scan(text)) == n
+        return time.process_time() - began
+
+    took(50)
+    assert took(4000) < 20 * took(500)
