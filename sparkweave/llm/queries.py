@@ -96,23 +96,23 @@ b AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_word
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 247 = 0 AS kept,
   fail_bits, n_lines, n_upper, n_echo_words FROM b"""
 
-#: The schedule of operator 4: earliest deadline first over one period, by recursion.
+#: The schedule of operator 4: earliest deadline first on the weights in steps of 2^-36, by recursion, as far as it is
+#: simulated. Blocks beyond that, of sources that are far larger than their weight, are none in these tables.
 _MIX_SQL = """
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source_name, greatest(1, length(coalesce(text, '')))::BIGINT AS units, md5(coalesce(doc_id::varchar, '')) AS k FROM documents),
 n AS (SELECT doc_id, source_name, units, coalesce(sum(units) OVER (PARTITION BY source_name ORDER BY k, units ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
-t AS (SELECT source_name, sum(units)::BIGINT AS total FROM d GROUP BY source_name),
-w AS (SELECT source_name, greatest(1, round(pow(total, 0.7) / (SELECT sum(pow(total, 0.7)) FROM t) * 1024)::INT) AS share, ceil(total / 65536)::BIGINT AS blocks FROM t),
-p AS (SELECT list(source_name ORDER BY source_name) AS names, list(share::BIGINT ORDER BY source_name) AS shares, sum(share)::BIGINT AS period FROM w),
-sim AS (SELECT 0::BIGINT AS tick, list_transform(shares, lambda s: 0::BIGINT) AS done, NULL::BIGINT AS pick, NULL::BIGINT AS turn FROM p
+t AS (SELECT source_name, sum(units)::BIGINT AS total, ceil(sum(units) / 65536)::BIGINT AS blocks FROM d GROUP BY source_name),
+w AS (SELECT source_name, blocks, greatest(1, round(pow(total, 0.7) / (SELECT sum(pow(total, 0.7)) FROM t) * 68719476736))::BIGINT AS share FROM t),
+p AS (SELECT list(source_name ORDER BY source_name) AS names, list(share ORDER BY source_name) AS shares, list(blocks ORDER BY source_name) AS blocks, sum(share)::BIGINT AS q FROM w),
+u AS (SELECT greatest(min(((blocks + 1) * q + share - 1) // share), least(max((blocks * q + share - 1) // share), 4 * sum(blocks)))::BIGINT AS until FROM w, (SELECT q FROM p)),
+sim AS (SELECT 0::BIGINT AS tick, list_transform(shares, lambda s: 0::BIGINT) AS done, NULL::BIGINT AS pick, NULL::BIGINT AS block FROM p
   UNION ALL
-  SELECT tick + 1, list_transform(list_zip(done, range(1, len(done) + 1)), lambda z: z[1] + (z[2] = pick)::BIGINT), pick, done[pick] FROM (
-    SELECT tick, done, list_sort(list_filter(list_transform(range(1, len(shares) + 1), lambda j: CASE WHEN done[j] < shares[j] AND done[j] * period < (tick + 1) * shares[j]
-      THEN {'due': ((done[j] + 1) * period + shares[j] - 1) // shares[j], 'j': j} END), lambda c: c IS NOT NULL))[1].j AS pick FROM sim, p WHERE tick < period)),
-s AS (SELECT names[pick] AS source_name, turn, tick - 1 AS tick FROM sim, p WHERE pick IS NOT NULL),
-dry AS (SELECT min(blocks // share * period + tick) AS dry FROM w JOIN s ON s.source_name = w.source_name AND s.turn = blocks % share, p),
-m AS (SELECT n.*, share, period, start // 65536 AS block, start // 65536 % share AS turn, start // 65536 // share * period AS cycle FROM n JOIN w USING (source_name), p)
-SELECT doc_id, m.source_name, units, start, block, cycle + tick AS slot, cycle + m.turn * period // share AS release,
-  cycle + ((m.turn + 1) * period + share - 1) // share AS deadline, cycle + tick < dry AS on_target
-FROM m JOIN s ON s.source_name = m.source_name AND s.turn = m.turn, dry"""
+  SELECT tick + 1, list_transform(list_zip(done, range(1, len(done) + 1)), lambda z: z[1] + (z[2] = coalesce(pick, 0))::BIGINT), pick, done[pick] FROM (
+    SELECT tick, done, list_sort(list_filter(list_transform(range(1, len(shares) + 1), lambda j: CASE WHEN done[j] * q < (tick + 1) * shares[j]
+      THEN {'due': ((done[j] + 1) * q + shares[j] - 1) // shares[j], 'j': j} END), lambda c: c IS NOT NULL))[1].j AS pick FROM sim, p, u WHERE tick < until)),
+s AS (SELECT names[pick] AS source_name, block, tick - 1 AS slot, block >= blocks[pick] AS missing FROM sim, p WHERE pick IS NOT NULL),
+dry AS (SELECT min(slot) AS dry FROM s WHERE missing)
+SELECT doc_id, n.source_name, units, start, start // 65536 AS block, slot, block * q // share AS release, ((block + 1) * q + share - 1) // share AS deadline, slot < dry AS on_target
+FROM n JOIN w USING (source_name) JOIN s ON s.source_name = n.source_name AND s.block = start // 65536, (SELECT q FROM p), dry"""
 
 ORACLE_SQL = {"op3_quality_rules": _RULES_SQL, "op4_source_mixing": _MIX_SQL}
