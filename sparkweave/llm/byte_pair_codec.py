@@ -17,6 +17,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +131,12 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(2)
+def codec_at(rank_path: str, pattern: str) -> Codec:
+    """A worker's codec; its tables are made once, for all of its tasks."""
+    return Codec(read_ranks(rank_path), pattern)
+
+
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids themselves.
 
@@ -137,7 +144,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, with_ids: bo
     """
 
     def make():
-        codec = Codec(read_ranks(rank_path), pattern)
+        codec = codec_at(rank_path, pattern)
 
         def work(batch: pa.RecordBatch) -> dict[str, list]:
             ids = [codec.encode(t) for t in texts_of(batch)]
