@@ -1,17 +1,20 @@
 """Operator 2: token counts by the whole-token shortcut.
 
-Each string of the vocabulary is merged alone once. Those that come out as the one
-token they are, are proven: a pre-token equal to one counts 1 without merging. Only
-the other pre-tokens are merged, each distinct one once in a task.
+Each string of the vocabulary is merged alone once, on the driver, before any text is
+read. Those that come out as the one token they are, are proven: a pre-token equal to
+one counts 1 without merging. Only the other pre-tokens are merged, each distinct one
+about once in a worker. The proven strings, at most the vocabulary, go to the workers.
 
 Cases: a null text counts as empty, 0 bytes and 0 tokens; an empty table gives an
 empty table; the tokenizer's added strings inside a text count as one token each, as
-the library does by default; other columns are ignored.
+the library does by default; a very long text is counted whole, in memory that is a few
+times its size; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -47,14 +50,28 @@ def prove_whole(merger: Tokenizer) -> set[str]:
     return proven
 
 
+def read_spec(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+@lru_cache(4)
+def proven_at(path: str) -> frozenset[str]:
+    """The proven strings of the tokenizer file at ``path``."""
+    return frozenset(prove_whole(merge_only(read_spec(path))))
+
+
+#: A worker's counters, for all of its tasks.
+COUNTERS: dict[tuple[str, str], Counter] = {}
+
+
 class Counter:
-    """Token counts of texts."""
+    """Token counts of texts. ``whole``: the proven strings."""
 
-    def __init__(self, path: str, pattern: str):
-        with open(path, encoding="utf-8") as f:
-            spec = f.read()
+    def __init__(self, path: str, pattern: str, whole: frozenset[str] | None = None):
+        spec = read_spec(path)
         self.merger = merge_only(spec)
-        self.whole = dict.fromkeys(prove_whole(self.merger), 1)
+        self.whole = dict.fromkeys(proven_at(path) if whole is None else whole, 1)
         self.split = regex.compile(pattern).findall
         added = [t for t in json.loads(spec)["added_tokens"]]
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
@@ -85,11 +102,19 @@ class Counter:
         return len(found) + sum(map(self._plain, self.added.split(text)))
 
 
+def counter_at(path: str, pattern: str, whole: frozenset[str]) -> Counter:
+    if (path, pattern) not in COUNTERS:
+        COUNTERS[path, pattern] = Counter(path, pattern, whole)
+    return COUNTERS[path, pattern]
+
+
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether these pass ``limit``."""
 
+    whole = docs.sparkSession.sparkContext.broadcast(proven_at(path))
+
     def make():
-        counter = Counter(path, pattern)
+        counter = counter_at(path, pattern, whole.value)
 
         def work(batch: pa.RecordBatch) -> dict[str, list]:
             texts = texts_of(batch)
