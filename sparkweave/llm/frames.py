@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..storage import delete, own_folder
 from ..workers import reach_workers
 
 #: Rows and bytes of an Arrow batch between the JVM and a Python worker. Texts can
@@ -55,6 +56,21 @@ def map_batches(
     return df.mapInArrow(run, kind)
 
 
+def map_stream(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
+    """``work`` runs once in each task, over all of its batches that have rows, and yields columns."""
+    bounded_batches(df.sparkSession)
+    reach_workers(df.sparkSession)
+    kind = _parse_datatype_string(schema)
+    assert isinstance(kind, StructType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(kind)
+        for columns in work(b for b in batches if b.num_rows):
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, kind)
+
+
 def texts_of(batch: pa.RecordBatch) -> list[str]:
     """The batch's texts, null as empty."""
     return [t or "" for t in batch.column("text").to_pylist()]
@@ -69,18 +85,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set where the session has none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = found.get() if found.isDefined() else None
-    if folder is None:
-        # The warehouse is the one other place that a cluster shares by contract.
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return folder
-
-
 class Scratch:
     """What is saved within it is deleted when it ends, but for what is kept.
 
@@ -106,19 +110,17 @@ class Scratch:
     def __exit__(self, *error: object) -> None:
         Scratch.open.remove(self)
         for path in self.paths:
-            _delete(self.spark, path)
-
+            delete(self.spark, path)
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
+def saved(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage, outlives executors.
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, outlives executors."""
+    What no scratch deletes stays until ``storage.clean``.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sparkweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
     if Scratch.open:
         Scratch.open[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -130,4 +132,4 @@ def drop_saved(df: DataFrame) -> None:
     for root in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/sparkweave-" not in root:
             raise ValueError(f"not a saved frame: {root}")
-        _delete(spark, root)
+        delete(spark, root)

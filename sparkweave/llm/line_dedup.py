@@ -4,41 +4,57 @@ Lines are compared lower-cased and with white space collapsed. Equal lines are f
 by their key. Of the others, one-permutation MinHash signatures of their character
 shingles are banded; lines that meet in a band are verified by the exact Jaccard
 similarity of their shingles; components of the links are reduced by a distributed
-union-find, and of each the line that comes first, by doc_id and line number, stays.
+union-find, and of each the line that comes first, by doc_id, text and line number, stays.
 
 Each line with a word in it is compared, however short; lines without one, which part
 paragraphs, stay. A line too short for a shingle can only equal another one. A band equals with a chance of
-s^ROWS for lines of similarity s, so of pairs at the bound 1 in about 240 is missed. Bins
+s^ROWS for lines of similarity s, so of pairs at the bound 1 in about 260 is missed. Bins
 that a short line leaves empty are filled independently, so this holds nearly for short
-lines too: of 1500 pairs of similarity 0.8 to 0.9 for each of 14 sizes from 5 to 200
-shingles, none to 0.6 % were missed.
+lines too: of 1500 pairs of similarity 0.8 to 0.86 for each of 12 sizes from 5 to 400
+shingles, 0.1 to 0.7 % were missed.
 Keys are 64-bit hashes: two different lines share one with odds of 2^-64.
 
+All texts are read and normalised once, and of equal lines in a batch one is written
+and signed. The keys of its bands are dealt out in blocks, many to a row, and lists of the lines that share one
+are formed from the blocks, in pieces of at most PACK lines. Pieces are verified within
+one task each; only what the pieces of a list leave unconnected is compared in rounds.
+
 Cases: a null or empty text has no lines to remove; a null doc_id keeps all its lines;
-rows that share a doc_id count as one document and are changed alike; a document that
+rows that share a doc_id but not the text are documents of their own; rows equal in
+both count as one document and are changed alike; a document that
 loses all its lines keeps an empty text here and is dropped by the pipeline's stage;
-an empty table gives an empty table; other columns are carried along.
+an empty table gives an empty table; other columns are carried along. A long line is
+read whole; lists with one of over LONG characters are compared pair by pair in the end.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import Scratch, map_batches, saved, texts_of
-from .linkage import BROADCAST_IDS, linked_components, only_ids, parity_bits, posting_lists
+from .frames import Scratch, map_batches, map_stream, saved
+from .linkage import BLOCKS, block_lists, components, connect_lists, dealt, n_parts, only_ids, parity_bits
 
-#: Characters of a shingle; the bound in hundredths; the former floor in words, which older tests
-#: read and nothing here uses: a line needs one word.
-CHARS, BOUND, MIN_WORDS = 5, 80, 4
+#: Characters of a shingle; the bound in hundredths.
+CHARS, BOUND = 5, 80
 #: Bins of a signature; bands and rows of each; bins between the rows of a band.
-BINS, BANDS, ROWS, STRIDE = 128, 18, 6, 21
+BINS, BANDS, ROWS, STRIDE = 128, 14, 5, 25
 #: Characters and lines that are hashed at a time: a line, however short, takes BINS numbers.
-CHUNK, CHUNK_LINES = 1 << 18, 2048
+CHUNK, CHUNK_LINES = 1 << 17, 512
+#: Lines whose bands are dealt into blocks at a time; characters of a line that lists are held in memory with.
+DEALT_LINES, LONG = 1 << 14, 1 << 12
+#: Lines of a piece of a list.
+PACK = 512
+#: White space other than a space or the end of a line.
+ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
+#: Above any value of a bin.
+NONE = 1 << 40
 
 
 def _probes() -> np.ndarray:
@@ -61,17 +77,19 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normal_lines(text: str) -> list[str]:
+    """The normal form of each line."""
+    lines = text.lower().split("\n")
+    if ODD_SPACE.search(text):
+        return [" ".join(line.split()) for line in lines]
+    return [" ".join(x.split()) if "  " in x or x[:1] == " " or x[-1:] == " " else x for x in lines]
+
+
 def key_of(line: str) -> int:
     n = xxhash.xxh3_64_intdigest(line)
     return n - (1 << 64) if n >> 63 else n
 
 
-def worded_lines(text: str) -> list[tuple[int, str]]:
-    """Number and normal form of each line that isn't blank."""
-    found = ((i, normal(line)) for i, line in enumerate(text.split("\n")))
-    return [(i, line) for i, line in found if line]
-
-
 def shingle_codes(text: str) -> np.ndarray:
     """A 64-bit code of each run of CHARS code points; equal codes, equal runs but for odds of 2^-64."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -90,21 +108,17 @@ def shingle_codes(text: str) -> np.ndarray:
 def signatures(lines: list[str]) -> np.ndarray:
     """(lines, BINS) least code of each bin, an empty bin filled from the first of its PROBES that isn't."""
     codes = shingle_codes("\n".join(lines))
-    # Runs that reach into the next line are left out; a line shorter than a run has the code at its start.
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    count = np.maximum(sizes - CHARS + 1, 0)
-    at = np.repeat(starts - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), count)
-    own = codes[at]
-    shift = np.uint64(64 - 7)
-    # One sort brings each bin's least code to its front: line, bin, then the code's middle bits.
-    ranked = (owner << np.uint64(39)) | ((own >> shift) << np.uint64(32)) | ((own >> np.uint64(20)) & np.uint64(0xFFFFFFFF))
-    ranked.sort()
-    bin_of = ranked >> np.uint64(32)
-    first = np.r_[True, bin_of[1:] != bin_of[:-1]] if len(ranked) else np.empty(0, bool)
-    table = np.full(len(lines) * BINS, -1, np.int64)
-    table[bin_of[first].astype(np.int64)] = (ranked[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    ends = np.cumsum(sizes + 1)
+    owner = np.repeat(np.arange(0, len(lines) * BINS, BINS), sizes + 1)[: len(codes)]
+    value = ((codes >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # Runs that reach over a line's end don't count.
+    for k in range(1, CHARS + 1):
+        over = ends - k
+        value[over[(over < len(value)) & (over >= 0)]] = NONE
+    table = np.full(len(lines) * BINS, NONE, np.int64)
+    np.minimum.at(table, owner + (codes >> np.uint64(64 - 7)).astype(np.int64), value)
+    table[table == NONE] = -1
     table = table.reshape(len(lines), BINS)
     # Only the bins that bands read are filled; a line without a run keeps -1.
     row, col = np.nonzero(table[:, : STRIDE * (ROWS - 1) + BANDS] < 0)
@@ -140,82 +154,156 @@ def code_set(text: str) -> np.ndarray:
     return codes[np.r_[True, codes[1:] != codes[:-1]]]
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of codes, each sorted, reach the bound."""
+    if 100 * min(len(x), len(y)) < BOUND * max(len(x), len(y)):
+        return False
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= BOUND * (len(both) - shared)
+
+
 def jaccard_reaches(a: str, b: str) -> bool:
-    x, y = code_set(a), code_set(b)
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * shared >= BOUND * (len(x) + len(y) - shared)
+    return similar(code_set(a), code_set(b))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, line and key of each line with a word."""
+    """doc_id, row, line and key of each line with a word; the first of equal ones in a batch has their number and text."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, list]:
-            ids, numbers, keys = [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                for i, line in worded_lines(text):
-                    ids.append(doc_id)
+            ids, rows = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
+            order, text_of = np.lexsort((rows, ids)), batch.column("text").to_pylist()
+            sizes, numbers, keys, texts, n = [], [], [], [], []
+            seen: dict[int, int] = {}
+            for r in order.tolist():
+                before = len(keys)
+                for i, line in enumerate(normal_lines(text_of[r])):
+                    if not line:
+                        continue
+                    key = key_of(line)
+                    first = seen.setdefault(key, len(keys))
+                    if first < len(keys):
+                        n[first] += 1
+                    fresh = first == len(keys)
                     numbers.append(i)
-                    keys.append(key_of(line))
-            return {"doc_id": ids, "line": numbers, "key": keys}
+                    keys.append(key)
+                    texts.append(line if fresh else None)
+                    n.append(int(fresh))
+                sizes.append(len(keys) - before)
+            return {"doc_id": np.repeat(ids[order], sizes), "row": np.repeat(rows[order], sizes), "line": numbers, "key": keys, "n": n, "text": texts}
 
         return work
 
-    return map_batches(docs.where("doc_id is not null").select("doc_id", "text"), make, "doc_id long, line int, key long")
+    whole = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
+    return map_batches(whole, make, "doc_id long, row long, line int, key long, n int, text string")
 
 
-def _banded(docs: DataFrame) -> DataFrame:
-    """(key, node) for each band of each line with a shingle; of equal lines in one batch one is taken."""
+def _banded(lines: DataFrame) -> DataFrame:
+    """The band keys of each line with a shingle, in blocks."""
+    parts = n_parts(lines.sparkSession)
 
-    def make():
-        def work(batch: pa.RecordBatch) -> dict[str, list]:
-            lines = {line: None for text in texts_of(batch) for _, line in worded_lines(text) if len(line) >= CHARS}
-            keys, nodes, part, size = [], [], [], 0
-            for line in [*lines, None]:
-                if part and (line is None or size > CHUNK or len(part) >= CHUNK_LINES):
-                    found = band_keys(part)
-                    keys.append(found.ravel())
-                    nodes.append(np.repeat(np.fromiter(map(key_of, part), np.int64, len(part)), BANDS))
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        keys, nodes, held = [], [], 0
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            long_enough = [i for i, t in enumerate(texts) if len(t) >= CHARS]
+            part, size = [], 0
+            for i in [*long_enough, None]:
+                if part and (i is None or size > CHUNK or len(part) >= CHUNK_LINES):
+                    keys.append(band_keys(part).ravel())
                     part, size = [], 0
-                if line is not None:
-                    part.append(line)
-                    size += len(line)
-            if not keys:
-                return {"key": [], "node": []}
-            return {"key": np.concatenate(keys), "node": np.concatenate(nodes)}
+                if i is not None:
+                    part.append(texts[i])
+                    size += len(texts[i])
+            nodes.append(np.repeat(batch.column("key").to_numpy()[long_enough], BANDS))
+            held += len(long_enough)
+            if held >= DEALT_LINES:
+                yield dealt(np.concatenate(keys), np.concatenate(nodes), parts)
+                keys, nodes, held = [], [], 0
+        if held:
+            yield dealt(np.concatenate(keys), np.concatenate(nodes), parts)
+
+    return map_stream(lines.select("key", "text"), make, BLOCKS)
+
+
+def groups_of(sets: list[np.ndarray]) -> list[list[int]]:
+    """The components of the sets by links between similar ones; of two sets apart each pair was compared."""
+    groups: list[list[int]] = []
+    for i, x in enumerate(sets):
+        own, others = [i], []
+        for group in groups:
+            if any(similar(sets[j], x) for j in group):
+                own = group + own
+            else:
+                others.append(group)
+        groups = [*others, own]
+    return groups
+
+
+def code_sets(texts: list[str]) -> list[np.ndarray]:
+    """The sets of lines that each have a shingle."""
+    out, at = [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
+            size += len(texts[end])
+            end += 1
+        codes, start = shingle_codes("\n".join(texts[at:end])), 0
+        for text in texts[at:end]:
+            own = np.sort(codes[start : start + len(text) - CHARS + 1])
+            out.append(own[np.r_[True, own[1:] != own[:-1]]])
+            start += len(text) + 1
+        at = end
+    return out
 
-        return work
 
-    return map_batches(docs.where("doc_id is not null").select("doc_id", "text"), make, "key long, node long")
+def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): components among the nodes of each head (head, node), as stars; (a, null) for each line over LONG
+    characters, which isn't compared."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        head, nodes, sets = None, [], []
 
-def _line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text, n, bits) of the lines that are in any list: size and parity bits of their shingles; saved."""
-    few = nodes.count() <= BROADCAST_IDS
-    wanted = docs.sparkSession.sparkContext.broadcast(
-        np.sort(nodes.toPandas()["node"].to_numpy(np.int64)).tobytes() if few else None
-    )
+        def links() -> list[tuple[int, int]]:
+            groups = [[nodes[i] for i in group] for group in groups_of(sets)]
+            return [(least, node) for group in groups for least in [min(group)] for node in group if node != least]
 
-    def make():
-        known = np.frombuffer(wanted.value, np.int64) if few else None
+        for batch in batches:
+            heads, own = batch.column("head").to_numpy(), batch.column("node").to_numpy()
+            lines = batch.column("text").to_pylist()
+            found = [(node, None) for node, t in zip(own.tolist(), lines) if len(t) > LONG]
+            short = np.fromiter((len(t) <= LONG for t in lines), bool, len(lines))
+            heads, own, lines = heads[short], own[short], [t for t in lines if len(t) <= LONG]
+            held = code_sets(lines)
+            starts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]]).tolist() if len(heads) else []
+            for a, b in zip(starts, [*starts[1:], len(heads)]):
+                if heads[a] != head:
+                    found += links()
+                    head, nodes, sets = heads[a], [], []
+                nodes += own[a:b].tolist()
+                sets += held[a:b]
+            yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
+        found = links()
+        yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
+
+    met = members.join(texts, "node").select("head", "node", "text")
+    met = met.repartition("head").sortWithinPartitions("head", "node")
+    return map_stream(met, make, "a long, b long")
+
+
+def _traits(texts: DataFrame) -> DataFrame:
+    """node, n, bits: size and parity bits of the shingles of these lines."""
 
+    def make():
         def work(batch: pa.RecordBatch) -> dict[str, list]:
-            lines = {key_of(line): line for text in texts_of(batch) for _, line in worded_lines(text)}
-            keys = np.fromiter(lines, np.int64, len(lines))
-            if few:
-                at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-                keys = keys[known[at] == keys] if len(known) else keys[:0]
-            wanted_lines = [lines[k] for k in keys.tolist()]
-            sets = list(map(code_set, wanted_lines))
-            return {"node": keys, "text": wanted_lines, "n": list(map(len, sets)), "bits": list(map(parity_bits, sets))}
+            sets = list(map(code_set, batch.column("text").to_pylist()))
+            return {"node": batch.column("node"), "n": list(map(len, sets)), "bits": list(map(parity_bits, sets))}
 
         return work
 
-    found = map_batches(docs.where("doc_id is not null").select("doc_id", "text"), make, "node long, text string, n int, bits array<long>")
-    if not few:
-        found = found.join(nodes, "node", "left_semi")
-    first = F.min(F.struct("text", "n", "bits")).alias("f")
-    return saved(found.groupBy("node").agg(first).select("node", "f.*"))
+    return map_batches(texts, make, "node long, n int, bits array<long>")
 
 
 def _verifier(texts: DataFrame):
@@ -237,27 +325,93 @@ def _verifier(texts: DataFrame):
     return verify
 
 
+def _headed(packed: DataFrame) -> DataFrame:
+    """(list_id, first_rank, nodes, anchor, head) of the pieces; saved.
+
+    ``anchor``: the first node of a list, in its later pieces, which all have it beside
+    their own nodes. ``head``: of the piece's own nodes the one in most pieces, as its
+    rank, less for more, and its id. An original is in more lists than its altered
+    copies, which have fewer neighbours each, so most lists of a group have one head.
+    """
+    later = F.col("first_rank") > 0
+    nodes = F.when(later, F.slice("nodes", 2, F.greatest(F.lit(0), F.size("nodes") - 1))).otherwise(F.col("nodes"))
+    members = packed.select("list_id", "first_rank", F.when(later, F.get("nodes", 0)).alias("anchor"), F.explode(nodes).alias("node"))
+    ranks = members.groupBy("node").agg((-F.count("*")).alias("rank"))
+    ranked = F.collect_list(F.struct("rank", "node")).alias("ranked")
+    pieces = members.join(ranks, "node").groupBy("list_id", "first_rank").agg(ranked, F.max("anchor").alias("anchor"))
+    return saved(pieces.select("list_id", "first_rank", "anchor", F.array_min("ranked").alias("head"), F.transform("ranked", lambda r: r["node"]).alias("nodes")))
+
+
+def _all_nodes() -> Column:
+    return F.concat("nodes", F.array_compact(F.array("anchor")))
+
+
+def _unfinished(pieces: DataFrame, own: DataFrame, comps: DataFrame) -> DataFrame:
+    """(list_id, first_rank) of the pieces with nodes that are neither connected nor were all compared under their head."""
+    at = own.join(comps, "node", "left").select("node", F.col("head").alias("own"), F.coalesce("comp", "node").alias("comp"))
+    members = pieces.select("list_id", "first_rank", "anchor", F.col("head.node").alias("head"), F.explode(_all_nodes()).alias("node")).join(at, "node")
+    met = (F.col("own") == F.col("head")) | (F.col("node") == F.col("head")) | F.col("node").eqNullSafe(F.col("anchor"))
+    held = members.groupBy("list_id", "first_rank").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max((~met).cast("int")).alias("apart"))
+    return held.where("lo <> hi and apart = 1").select("list_id", "first_rank")
+
+
+def linked_lines(lines: DataFrame) -> DataFrame:
+    """(node, comp) of the lines (key, text) with a similar one, equal ones in any number; saved.
+
+    First each node is compared under the first of its pieces' heads, with all nodes
+    that have the same one: a group of near copies has nearly all of its lists in common
+    with one head, and so each text travels about once. Then the pieces that this leaves
+    unconnected are compared, under each head. A head has at most BANDS times PACK nodes,
+    and an anchor for each PACK of them, for a line is in one list of each band.
+    """
+    packed = block_lists(_banded(lines), PACK)
+    pieces = _headed(packed)
+    named = lines.select(F.col("key").alias("node"), "text")
+    text_of = lambda nodes: only_ids(named, nodes, "node").groupBy("node").agg(F.min("text").alias("text"))
+    own = pieces.select("head", F.explode("nodes").alias("node")).groupBy("node").agg(F.min("head")["node"].alias("head"))
+    own = saved(own.select("head", "node"))
+    heads = own.select("head", F.col("head").alias("node"))
+    anchors = pieces.where("anchor is not null").select(F.col("head.node").alias("head"), F.col("anchor").alias("node"))
+    links = saved(_links(own.unionByName(heads).unionByName(anchors).distinct(), text_of(own.select("node"))))
+    comps = components(links.where("b is not null"))
+    rest = saved(pieces.join(_unfinished(pieces, own, comps), ["list_id", "first_rank"], "left_semi"))
+    if not rest.isEmpty():
+        members = saved(rest.select(F.col("head.node").alias("head"), F.explode(_all_nodes()).alias("node")).distinct())
+        more = saved(_links(members, text_of(members.select("node").distinct())))
+        stars = comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
+        comps = components(stars.unionByName(more.where("b is not null")))
+    # Lists in several pieces, or with very long lines, may have more links.
+    long_lines = saved(links.where("b is null").select(F.col("a").alias("node")).distinct())
+    members = packed.select("list_id", F.explode("nodes").alias("node"))
+    more = packed.where("first_rank > 0").select("list_id").unionByName(members.join(long_lines, "node", "left_semi").select("list_id"))
+    more = saved(more.distinct())
+    if more.isEmpty():
+        return comps
+    left = saved(members.join(more, "list_id", "left_semi").distinct())
+    texts = saved(text_of(saved(left.select("node").distinct())))
+    return connect_lists(saved(left.join(_traits(texts), "node")), comps, BOUND, _verifier(texts))
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, exact, fuzzy: the numbers of its lines to remove, equal to an earlier line or similar to one; saved."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, row, exact, fuzzy: the numbers of its lines to remove, equal to an earlier line or similar to one; saved.
+
+    ``row`` is a hash of the text: rows that share a doc_id are told apart by it.
+    """
     with Scratch(docs.sparkSession) as scratch:
-        occurrences = saved(_occurrences(docs))
-        first = F.min(F.struct("doc_id", "line"))
-        firsts = saved(occurrences.groupBy("key").agg(first.alias("first"), F.count("*").alias("n")))
-        lists = posting_lists(_banded(docs))
-        texts = _line_texts(docs, lists.select(F.explode("nodes").alias("node")).distinct())
-        traits = texts.select("node", "n", "bits")
-        found = linked_components(lists, traits, BOUND, _verifier(texts)).withColumnRenamed("node", "key")
+        occurrences = saved(_occurrences(docs.select("doc_id", "text")), codec="zstd")
+        first = F.min(F.struct("doc_id", "row", "line")).alias("first")
+        firsts = saved(occurrences.where("n > 0").groupBy("key").agg(first, F.sum("n").alias("n")))
+        found = linked_lines(occurrences.where("n > 0").select("key", "text")).withColumnRenamed("node", "key")
         owned = firsts.join(found, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         stays = owned.join(found.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("first").alias("stays"))
         # Only lines that occur twice or have a link can go.
         where = owned.where(F.col("n") > 1).unionByName(owned.where("n = 1").join(found.select("key"), "key", "left_semi"))
         where = where.join(stays, "comp", "left").select("key", "first", F.coalesce("stays", "first").alias("stays"))
-        judged = occurrences.join(where, "key").withColumn("here", F.struct("doc_id", "line"))
+        judged = occurrences.select("doc_id", "row", "line", "key").join(where, "key").withColumn("here", F.struct("doc_id", "row", "line"))
         gone = judged.where(F.col("here") != F.col("stays"))
         exact = F.col("here") != F.col("first")
         return scratch.keep(
-            gone.groupBy("doc_id").agg(
+            gone.groupBy("doc_id", "row").agg(
                 F.array_sort(F.collect_set(F.when(exact, F.col("line")))).alias("exact"),
                 F.array_sort(F.collect_set(F.when(~exact, F.col("line")))).alias("fuzzy"),
             )
@@ -268,8 +422,9 @@ def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_exact, n_fuzzy and removed, the numbers of the removed lines, of each document."""
     gone = removed_lines(docs)
     none = F.array().cast("array<int>")
-    counted = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    both = counted.join(gone, "doc_id", "left")
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    counted = docs.select("doc_id", F.xxhash64("text").alias("row"), n_lines.alias("n_lines"))
+    both = counted.join(gone, ["doc_id", "row"], "left")
     exact, fuzzy = F.coalesce("exact", none), F.coalesce("fuzzy", none)
     return both.select(
         "doc_id", "n_lines", F.size(exact).cast("long").alias("n_exact"), F.size(fuzzy).cast("long").alias("n_fuzzy"),
@@ -280,14 +435,15 @@ def line_report(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, drop_empty: bool = True) -> DataFrame:
     """The documents without the removed lines, with all their columns; a document left without words goes."""
     names = docs.columns
-    gone = removed_lines(docs).select(F.col("doc_id").alias("gone_id"), F.concat("exact", "fuzzy").alias("gone_lines"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id")).join(gone, F.col("id") == F.col("gone_id"), "left")
-    lines = F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains("gone_lines", i))
-    text = F.when(F.col("gone_lines").isNull(), F.col("row.text")).otherwise(F.array_join(lines, "\n"))
+    gone = removed_lines(docs).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), F.concat("exact", "fuzzy").alias("gone_lines"))
+    rows = docs.select(F.struct("*").alias("all"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("row"))
+    rows = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left")
+    lines = F.filter(F.split("all.text", "\n"), lambda _, i: ~F.array_contains("gone_lines", i))
+    text = F.when(F.col("gone_lines").isNull(), F.col("all.text")).otherwise(F.array_join(lines, "\n"))
     out = rows.withColumn("new_text", text)
     if drop_empty:
         out = out.where(F.col("gone_lines").isNull() | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("new_text").alias("text") if n == "text" else F.col("row")[n].alias(n) for n in names])
+    return out.select(*[F.col("new_text").alias("text") if n == "text" else F.col("all")[n].alias(n) for n in names])
 
 
 def with_new_length(docs: DataFrame) -> DataFrame:

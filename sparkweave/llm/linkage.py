@@ -16,12 +16,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .frames import bounded_batches, drop_saved, reach_workers, saved
+from .frames import drop_saved, map_stream, saved
 
+#: Parts of the keys' range for each shuffle partition; rows of a part that are held before full pieces are sent on.
+PARTS, HELD = 16, 1 << 21
 #: Nodes of a list packed in one row; of a list compared in full at once; most rounds
 #: with one pair for each node, which go on while half of the pairs are links;
 #: nodes of a list compared with the rest in each later round; names of lists that a
@@ -37,96 +39,159 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of two nodes or more, packed, from rows sorted by key and node.
+#: Columns of a block: the part of the keys' range that it is of, and as many keys as nodes.
+BLOCKS = "part int, keys binary, nodes binary"
 
-    A list of at most PACK nodes is named by a hash of them, so that equal lists meet
-    and one of them stays; a longer one is named by its key and comes in pieces.
+
+def n_parts(spark: SparkSession) -> int:
+    """Parts that keys are dealt into: so many for each shuffle partition that partitions come out even."""
+    return PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(keys: np.ndarray, nodes: np.ndarray, parts: int) -> dict[str, list]:
+    """Blocks of the rows (key, node), one for each part that has any.
+
+    Of a key 32 bits travel beside its part. Keys that come to be equal by that only
+    make a list longer; its nodes are compared like all others.
     """
-    schema = pa.schema([("list_id", pa.int64()), ("first_rank", pa.int64()), ("nodes", pa.list_(pa.int64()))])
-    seen: set[int] = set()
-    rows: list[tuple[int, int, np.ndarray]] = []
-    key, held, sent = None, np.empty(0, np.int64), 0
-
-    def close() -> None:
-        if sent:
-            if len(held):
-                rows.append((key, sent, held))
-        elif len(held) > 1:
-            name = _signed(xxhash.xxh3_64_intdigest(held.tobytes()))
-            if name not in seen:
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                seen.add(name)
-                rows.append((name, 0, held))
-
-    def out() -> pa.RecordBatch:
-        ids, ranks, nodes = zip(*rows)
-        rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ranks, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], schema=schema)
-
-    for batch in batches:
-        keys, nodes = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
-        ends = np.r_[starts[1:], len(keys)] if len(keys) else []
-        long_enough = (ends - starts > 1) if len(keys) else []
-        for i, (a, b) in enumerate(zip(starts, ends)):
-            # Lists of one node are skipped unless they may go on in the next or from the last batch.
-            if not long_enough[i] and 0 < i < len(starts) - 1:
-                continue
-            part = nodes[a:b]
-            if key is not None and keys[a] == key:
-                held = np.concatenate([held, part])
-            else:
-                close()
-                key, held, sent = int(keys[a]), part, 0
-            held = held[np.r_[True, held[1:] != held[:-1]]] if len(held) > 1 else held  # a row may come twice
-            while len(held) > PACK:  # the last node waits for its copies
-                rows.append((key, sent, held[:PACK]))
-                sent, held = sent + PACK, held[PACK:]
-        if rows:
-            yield out()
-    close()
-    if rows:
-        yield out()
-
-
-def posting_lists(rows: DataFrame) -> DataFrame:
-    """(list_id, first_rank, nodes) of all lists of two nodes or more, packed, from rows (key, node); saved.
+    with np.errstate(over="ignore"):
+        keys = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    with np.errstate(over="ignore"):
+        short = ((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    part, short, nodes = part[order], short[order].tobytes(), nodes[order].tobytes()
+    cuts = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(part)] if len(part) else []
+    sides = list(zip(cuts, cuts[1:]))
+    return {"part": part[cuts[:-1]].astype(np.int32), "keys": [short[4 * a : 4 * b] for a, b in sides], "nodes": [nodes[8 * a : 8 * b] for a, b in sides]}
+
+
+class _Lists:
+    """Lists of two nodes or more from the rows of one part after the other.
+
+    A list of at most ``pack`` nodes is named by a hash of them, so that equal lists meet
+    and one of them stays; a longer one is named by its key and comes in pieces, which
+    are sent on as soon as they are full, so that a key with very many nodes takes no
+    more memory than others. The first node of a list is in all of its pieces, so that
+    those that are similar to it are connected from the start.
+    """
+
+    def __init__(self, pack: int, least: int) -> None:
+        self.pack, self.least = pack, least
+        self.rows: list[tuple[int, int, np.ndarray]] = []
+        self.seen: set[int] = set()
+        self.part = 0
+        self.start()
+
+    def start(self) -> None:
+        self.keys, self.nodes, self.held, self.most = [], [], 0, self.least
+        self.sent: dict[int, tuple[int, int]] = {}
+
+    def add(self, keys: bytes, nodes: bytes) -> None:
+        self.keys.append(np.frombuffer(keys, np.uint32))
+        self.nodes.append(np.frombuffer(nodes, np.int64))
+        self.held += len(self.keys[-1])
+        if self.held > self.most:
+            keys, nodes, cuts = self.sorted()
+            keep = np.ones(len(keys), bool)
+            for a, b in zip(cuts, cuts[1:]):
+                size = self.pack - 1  # room for the first node
+                for at in range(a, b - size, size):
+                    self.piece(int(keys[a]), nodes[at : at + size])
+                    keep[at : at + size] = False
+            self.keys, self.nodes, self.held = [keys[keep]], [nodes[keep]], int(keep.sum())
+            self.most = max(self.least, 2 * self.held)
+
+    def sorted(self) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        keys, nodes = np.concatenate(self.keys), np.concatenate(self.nodes)
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])]
+        keys, nodes = keys[new], nodes[new]
+        return keys, nodes, [*np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist(), len(keys)]
+
+    def piece(self, key: int, nodes: np.ndarray) -> None:
+        before, anchor = self.sent.get(key, (0, nodes[0]))
+        self.rows.append((_signed((self.part << 32) + key), before, np.r_[anchor, nodes[nodes != anchor]] if before else nodes))
+        self.sent[key] = before + len(nodes), anchor
+
+    def close(self) -> None:
+        """Ends a part."""
+        if self.held:
+            keys, nodes, cuts = self.sorted()
+            sizes = np.diff(cuts)
+            for i in np.flatnonzero((sizes > 1) | (np.isin(keys[cuts[:-1]], list(self.sent)) if self.sent else False)).tolist():
+                a, b = cuts[i], cuts[i + 1]
+                key = int(keys[a])
+                if key in self.sent or b - a > self.pack:
+                    for at in range(a, b, self.pack - 1):
+                        self.piece(key, nodes[at : min(b, at + self.pack - 1)])
+                    continue
+                name = _signed(xxhash.xxh3_64_intdigest(nodes[a:b].tobytes()))
+                if name not in self.seen:
+                    if len(self.seen) > REMEMBERED:
+                        self.seen.clear()
+                    self.seen.add(name)
+                    self.rows.append((name, 0, nodes[a:b]))
+        self.start()
+
+    def out(self) -> dict[str, list]:
+        ids, ranks, nodes = zip(*self.rows)
+        self.rows.clear()
+        return {"list_id": ids, "first_rank": ranks, "nodes": nodes}
+
+
+def block_lists(blocks: DataFrame, pack: int | None = None) -> DataFrame:
+    """(list_id, first_rank, nodes) of all lists of two nodes or more, packed, from blocks of rows (key, node); saved.
 
     Of lists with the same nodes one is kept. Two different lists share a name with odds of 2^-64.
     """
-    spark = rows.sparkSession
-    reach_workers(spark)
-    bounded_batches(spark)
-    dealt = rows.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
-    packed = dealt.mapInArrow(_packed, "list_id long, first_rank long, nodes array<long>")
+    pack, least = pack or PACK, HELD
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        lists, part = _Lists(pack, least), None
+        for batch in batches:
+            for now, keys, nodes in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "nodes"))):
+                if now != part:
+                    lists.close()
+                    part = lists.part = now
+                lists.add(keys, nodes)
+            if len(lists.rows) > 4096:
+                yield lists.out()
+        lists.close()
+        if lists.rows:
+            yield lists.out()
+
+    dealt_out = blocks.repartition("part").sortWithinPartitions("part")
+    packed = map_stream(dealt_out, work, "list_id long, first_rank long, nodes array<long>")
     return saved(packed.dropDuplicates(["list_id", "first_rank"]))
 
 
+def _is_flat(edges: DataFrame) -> bool:
+    """Whether each node of the edges (u, v), u > v, has one smaller neighbour or is a root."""
+    sides = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    held = edges.select(F.inline(sides)).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return held.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable from each node of the edges (a, b); saved.
 
-    Alternates two star steps until nothing changes: each node hands its larger
+    Alternates two star steps until all trees are flat: each node hands its larger
     neighbours to its smallest, then its smaller ones. The number of steps grows with
     the logarithm of the longest chain, not with the size of a component.
     """
     edges = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
+    while not _is_flat(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = saved(moved.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct())
         drop_saved(edges)
         edges = after
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     return saved(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots))
 
@@ -209,14 +274,22 @@ def linked_components(packed: DataFrame, traits: DataFrame, bound: int, verify:
     each node with one other; what these leave unconnected is compared in full.
     """
     traits = saved(traits.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
-    is_short = (F.col("first_rank") == 0) & (F.size("nodes") <= SHORT)
+    is_short = (F.col("first_rank") == 0) & (F.size("nodes") <= min(SHORT, PACK - 2))
     lists = packed.where(~is_short).select("list_id", F.explode("nodes").alias("node"))
     degrees = lists.groupBy("node").agg(F.count("*").alias("degree"))
     lists = saved(lists.join(degrees.join(traits, "node"), "node"))
     # Before the first links each node is its own component.
     heads = _one_for_each(lists.withColumn("comp", F.col("node")), 0, bound)
     tried = saved(_pairs_of_short(packed.where(is_short), traits, bound).unionByName(heads).distinct())
-    comps = components(verify(tried))
+    return connect_lists(lists, components(verify(tried)), bound, verify, tried)
+
+
+def connect_lists(lists: DataFrame, comps: DataFrame, bound: int, verify: Verify, tried: DataFrame | None = None) -> DataFrame:
+    """``comps`` with all links within the lists (list_id, node, n, bits) that don't lie within one of them; saved.
+
+    ``tried``: pairs (a, b) that were compared. Rounds go on until no two nodes of a
+    list are left neither compared nor connected.
+    """
     done, turn, quick = None, 1, True
     while True:
         state = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -224,6 +297,7 @@ def linked_components(packed: DataFrame, traits: DataFrame, bound: int, verify:
         left = saved(state.join(split, "list_id"))
         if left.isEmpty():
             return comps
+        lists = left.drop("comp")  # a list that is connected stays so
         quick = quick and turn < QUICK_ROUNDS
         if quick:
             pairs = _one_for_each(left, turn, bound)
@@ -232,9 +306,8 @@ def linked_components(packed: DataFrame, traits: DataFrame, bound: int, verify:
             if some.isEmpty():
                 return comps
             done = some if done is None else done.unionByName(some)
-        new = saved(pairs.join(tried, ["a", "b"], "left_anti"))
-        drop_saved(left)
-        tried, turn = tried.unionByName(new), turn + 1
+        new = saved(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
+        tried, turn = new if tried is None else tried.unionByName(new), turn + 1
         n_new = new.count()
         found = verify(new) if n_new else new
         n_found = found.count()

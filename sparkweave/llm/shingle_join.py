@@ -15,8 +15,11 @@ of 2^-64, which bears on the verdict of a pair only if both are in it.
 
 Cases: a null or empty text, or one without words, has no shingles and is a component
 of its own; a text of fewer than five words has one shingle, the whole sequence; a
-null doc_id has a null component and links nothing; rows that share a doc_id count as
-linked; an empty table gives an empty table; other columns are ignored or carried.
+null doc_id has a null component and links nothing; rows that share a doc_id have the
+same component, and the links of all of them count for it, while ``one_of_each`` takes
+such rows for documents of their own, so that no text goes without one like it that
+stays; of rows equal in doc_id and text it keeps one; an empty table gives an empty
+table; other columns are ignored or carried.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
+from pyspark.sql.window import Window as W
 
 from .frames import Scratch, drop_saved, map_batches, saved, texts_of
-from .linkage import linked_components, only_ids, parity_bits, posting_lists
+from .linkage import BLOCKS, BROADCAST_IDS, block_lists, components, dealt, linked_components, n_parts, only_ids, parity_bits
 
 #: Words of a shingle; the bound in hundredths.
 WORDS, BOUND = 5, 80
@@ -153,7 +158,7 @@ def index_keys(tokens: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray |
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets, null if empty), tokens: the smallest ones as bytes, bits."""
+    """doc_id, row, n_shingles, set_key (equal for equal sets, null if empty), tokens: the smallest ones as bytes, bits."""
 
     def make():
         shingler = Shingler()
@@ -163,6 +168,7 @@ def token_sets(docs: DataFrame) -> DataFrame:
             take = [n_kept(len(s)) for s in sets]
             return {
                 "doc_id": batch.column("doc_id"),
+                "row": batch.column("row"),
                 "n_shingles": [len(s) for s in sets],
                 "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "tokens": [s[:k].tobytes() for s, k in zip(sets, take)],
@@ -171,8 +177,8 @@ def token_sets(docs: DataFrame) -> DataFrame:
 
         return work
 
-    kinds = "doc_id long, n_shingles int, set_key binary, tokens binary, bits array<long>"
-    return map_batches(docs.select("doc_id", "text"), make, kinds)
+    kinds = "doc_id long, row long, n_shingles int, set_key binary, tokens binary, bits array<long>"
+    return map_batches(docs.select("doc_id", "row", "text"), make, kinds)
 
 
 def _frequent(tokens: DataFrame) -> np.ndarray:
@@ -219,7 +225,8 @@ def frequent_whole(texts: DataFrame) -> np.ndarray:
 
 
 def _index(sets: DataFrame, frequent, whole: bool) -> DataFrame:
-    """(key, node) of the sets, from their texts if ``whole``, else from the tokens kept with them."""
+    """Blocks of (key, node) of the sets, from their texts if ``whole``, else from the tokens kept with them."""
+    parts = n_parts(sets.sparkSession)
 
     def make():
         known = np.frombuffer(frequent.value, np.uint64)
@@ -234,15 +241,13 @@ def _index(sets: DataFrame, frequent, whole: bool) -> DataFrame:
                 sizes = batch.column("n_shingles").to_pylist()
             keys = [index_keys(tokens, n, known) for tokens, n in zip(sets, sizes)]
             keys = [np.empty(0, np.uint64) if k is None else k for k in keys]
-            return {
-                "key": np.concatenate(keys).view(np.int64),
-                "node": np.repeat(batch.column("node").to_numpy(), list(map(len, keys))),
-            }
+            nodes = np.repeat(batch.column("node").to_numpy(), list(map(len, keys)))
+            return dealt(np.concatenate(keys).view(np.int64), nodes, parts)
 
         return work
 
     columns = ("node", "text") if whole else ("node", "n_shingles", "tokens")
-    return map_batches(sets.select(*columns), make, "key long, node long")
+    return map_batches(sets.select(*columns), make, BLOCKS)
 
 
 def _wanting(classes: DataFrame, frequent) -> DataFrame:
@@ -260,6 +265,13 @@ def _wanting(classes: DataFrame, frequent) -> DataFrame:
     return map_batches(classes.select("node", "n_shingles", "tokens"), make, "node long")
 
 
+def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of a document of each of the nodes' classes, more than once if its row repeats."""
+    one = saved(only_ids(classes.select("node", "doc_id", "row"), nodes, "node"))
+    few = 4 * one.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(one) if few else one, ["doc_id", "row"]).select("node", "text")
+
+
 def _verifier(docs: DataFrame, classes: DataFrame):
     """A check of pairs: by the tokens kept with the sets, then on the whole texts."""
 
@@ -292,9 +304,9 @@ def _verifier(docs: DataFrame, classes: DataFrame):
         likely = saved(map_batches(pairs.join(side("b"), "b").join(side("a"), "a"), can, "a long, b long"))
         if likely.isEmpty():
             return likely
-        texts = only_ids(docs.select("doc_id", "text"), saved(ids(likely, "doc_id")), "doc_id")
-        texts = saved(texts.groupBy("doc_id").agg(F.min("text").alias("text")))
-        text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+        texts = _texts(docs, classes, saved(ids(likely, "node")))
+        texts = saved(texts.groupBy("node").agg(F.min("text").alias("text")))
+        text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         found = saved(map_batches(likely.join(text("b"), "b").join(text("a"), "a"), do, "a long, b long"))
         drop_saved(texts)
         return found
@@ -302,40 +314,86 @@ def _verifier(docs: DataFrame, classes: DataFrame):
     return verify
 
 
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, classes of equal sets, and components of the classes with links; all saved.
+
+    Rows are (doc_id, row, n_shingles, set_key): ``row`` is a hash of the text. Classes
+    are (set_key, node, doc_id, row), the first row of each. Components are (node, comp).
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    sets = saved(token_sets(docs))
+    rows = saved(sets.select("doc_id", "row", "n_shingles", "set_key"))
+    worded = "set_key is not null and doc_id is not null"
+    classes = sets.where(worded).groupBy("set_key").agg(
+        F.min(F.struct("doc_id", "row")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.min("tokens").alias("tokens"), F.first("bits").alias("bits")
+    )
+    # A class goes by the id of its first document, or by a hash where that id has several sets.
+    several = rows.where(worded).groupBy("doc_id").agg(F.min(F.xxhash64("set_key")).alias("lo"), F.max(F.xxhash64("set_key")).alias("hi"))
+    several = saved(several.where("lo <> hi").select("doc_id", F.lit(True).alias("several")))
+    classes = classes.select("set_key", "one.doc_id", "one.row", "n_shingles", "tokens", "bits").join(several, "doc_id", "left")
+    classes = saved(classes.withColumn("node", F.when(F.col("several"), F.xxhash64("set_key")).otherwise(F.col("doc_id"))).drop("several"))
+    drop_saved(sets)
+    # Sets that need more tokens than are kept with them are read whole; so are the
+    # frequent ones of their tokens then known.
+    known = frequent_kept(classes)
+    share = lambda tokens: spark.sparkContext.broadcast(tokens.tobytes())
+    wanting = saved(_wanting(classes, share(known)).distinct())
+    frequent = share(np.union1d(known, frequent_whole(_texts(docs, classes, wanting))))
+    wanting = saved(_wanting(classes, frequent).distinct())
+    whole = _index(_texts(docs, classes, wanting), frequent, whole=True)
+    lists = block_lists(_index(classes, frequent, whole=False).unionByName(whole))
+    traits = classes.select("node", F.col("n_shingles").alias("n"), "bits")
+    found = linked_components(lists, traits, BOUND, _verifier(docs, classes))
+    return rows, classes.select("set_key", "node", "doc_id", "row"), found
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    with Scratch(spark) as scratch:
-        sets = saved(token_sets(docs))
-        # Equal sets are one class; its node is its smallest doc_id.
-        classes = sets.where("set_key is not null and doc_id is not null").groupBy("set_key")
-        classes = saved(classes.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.min("tokens").alias("tokens"), F.first("bits").alias("bits")))
-        members = saved(sets.select("doc_id", "n_shingles", "set_key"))
-        drop_saved(sets)
-        # Sets that need more tokens than are kept with them are read whole; so are the
-        # frequent ones of their tokens then known.
-        known = frequent_kept(classes)
-        share = lambda tokens: spark.sparkContext.broadcast(tokens.tobytes())
-        whole = lambda nodes: only_ids(docs.withColumnRenamed("doc_id", "node"), nodes, "node")
-        wanting = saved(_wanting(classes, share(known)).distinct())
-        frequent = share(np.union1d(known, frequent_whole(whole(wanting))))
-        wanting = saved(_wanting(classes, frequent).distinct())
-        lists = posting_lists(_index(classes, frequent, whole=False).unionByName(_index(whole(wanting), frequent, whole=True)))
-        traits = classes.select("node", F.col("n_shingles").alias("n"), "bits")
-        found = linked_components(lists, traits, BOUND, _verifier(docs, classes))
-        owner = classes.select("set_key", "node")
-        owner = owner.join(found, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
-        result = members.join(owner, "set_key", "left").select(
+    with Scratch(docs.sparkSession) as scratch:
+        rows, classes, found = _grouped(docs)
+        owner = classes.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # Components that an id with several sets has part in are one.
+        met = rows.where("doc_id is not null").join(owner.select("set_key", "comp"), "set_key").select("doc_id", "comp")
+        met = met.groupBy("doc_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("doc_id")
+        met = saved(met)
+        if not met.isEmpty():
+            nodes = rows.join(met, "doc_id", "left_semi").join(owner.select("set_key", "comp"), "set_key")
+            least = nodes.groupBy("doc_id").agg(F.min("comp").alias("a"))
+            ties = nodes.join(least, "doc_id").select("a", F.col("comp").alias("b"))
+            merged = components(ties).select(F.col("node").alias("comp"), F.col("comp").alias("merged"))
+            owner = owner.join(merged, "comp", "left").withColumn("comp", F.coalesce("merged", "comp"))
+        least = owner.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        owner = owner.join(least, "comp").select("set_key", "component_id")
+        result = rows.join(owner, "set_key", "left").select(
             "doc_id",
             F.col("n_shingles").cast("long").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         )
         return scratch.keep(result)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns."""
-    kept = join_components(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    keep = docs.alias("d").join(kept.select(F.col("doc_id").alias("kept_id")).alias("k"), F.expr("d.doc_id <=> k.kept_id"), "left_semi")
-    return keep
+    """The first document of each component, by doc_id, with all its columns."""
+    with Scratch(docs.sparkSession) as scratch:
+        rows, classes, found = _grouped(docs)
+        linked = classes.join(found, "node")
+        stays = linked.groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("one"))
+        goes = linked.join(stays, "comp").where(F.struct("doc_id", "row") != F.col("one")).select("set_key")
+        # Of a class that stays, the first row does; a row without words always does.
+        first = classes.join(goes, "set_key", "left_anti").select("doc_id", "row")
+        empty = rows.where("set_key is null and doc_id is not null").select("doc_id", "row")
+        kept = scratch.keep(first.unionByName(empty).distinct())
+        several = rows.where("doc_id is not null").groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
+        several = scratch.keep(several.select("doc_id", "row").join(kept, ["doc_id", "row"], "left_semi"))
+    whole = docs.select(F.struct("*").alias("all"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("row"))
+    on = lambda ids: (F.col("id") == ids["doc_id"]) & (whole["row"] == ids["row"])
+    stay = whole.where("id is null").unionByName(whole.join(kept, on(kept), "left_semi"))
+    if not several.isEmpty():
+        # Rows equal in id and text: the first by the rest of its columns.
+        rest = [f for f in docs.columns if not isinstance(docs.schema[f].dataType, MapType)]
+        turn = F.row_number().over(W.partitionBy("id", "row").orderBy(F.xxhash64(*[F.col("all")[f] for f in rest])))
+        again = stay.join(several, on(several), "left_semi").withColumn("turn", turn).where("turn = 1").drop("turn")
+        alone = stay.where("id is null").unionByName(stay.where("id is not null").join(several, on(several), "left_anti"))
+        stay = alone.unionByName(again)
+    return stay.select(*[F.col("all")[n].alias(n) for n in docs.columns])

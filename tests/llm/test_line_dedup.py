@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
 from sparkweave.llm import line_dedup as D
+from sparkweave.llm import linkage
 
 from .fixtures import awkward, empty, wider
 
@@ -16,10 +19,10 @@ def grams(line):
 
 
 def brute(rows):
-    """Lines to remove, (doc_id, number), by comparing all pairs of distinct long lines."""
-    lines = [(d, i, normal(x)) for d, t in rows if d is not None for i, x in enumerate((t or "").split("\n"))]
-    lines = [x for x in lines if x[2].count(" ") >= D.MIN_WORDS - 1]
-    distinct = sorted({x for *_, x in lines})
+    """Lines to remove, (doc_id, text, number), by comparing all pairs of distinct lines that aren't blank."""
+    rows = {(d, t) for d, t in rows if d is not None and t}
+    lines = [((d, t, i), normal(x)) for d, t in rows for i, x in enumerate(t.split("\n")) if normal(x)]
+    distinct = sorted({x for _, x in lines})
     root = {x: x for x in distinct}
 
     def find(x):
@@ -33,9 +36,23 @@ def brute(rows):
             if a < b and 100 * len(sets[a] & sets[b]) >= D.BOUND * len(sets[a] | sets[b]):
                 root[find(b)] = find(a)
     first = {}
-    for d, i, x in lines:
-        first[find(x)] = min(first.get(find(x), (d, i)), (d, i))
-    return {(d, i) for d, i, x in lines if first[find(x)] != (d, i)}
+    for at, x in lines:
+        first[find(x)] = min(first.get(find(x), at), at, key=place)
+    return {at for at, x in lines if first[find(x)] != at}
+
+
+def signed_hash(text):
+    n = xxhash.xxh64_intdigest(text, seed=42)  # as Spark's xxhash64
+    return n - (1 << 64) if n >> 63 else n
+
+
+def place(at):
+    """The order of lines: by doc_id, then a hash of the text, then number."""
+    return at[0], signed_hash(at[1]), at[2]
+
+
+def numbers(removed):
+    return {(d, i) for d, _, i in removed}
 
 
 def sentence(rng, n=12):
@@ -46,26 +63,6 @@ def removed(report):
     return {(r.doc_id, i) for r in report.collect() for i in r.removed}
 
 
-def test_against_all_pairs(spark):
-    rng = random.Random(1)
-    base = [sentence(rng, 20) for _ in range(40)]
-    rows = []
-    for d in range(60):
-        lines = []
-        for _ in range(rng.randint(1, 6)):
-            line = rng.choice(base) if rng.random() < 0.5 else sentence(rng)
-            if rng.random() < 0.4:
-                words = line.split()
-                words[rng.randrange(len(words))] = "zz"
-                line = "  ".join(words).upper()
-            lines.append(line)
-        rows.append((d, "\n".join([*lines, "short one", ""])))
-    got = removed(D.line_report(spark.createDataFrame(rows, "doc_id long, text string")))
-    want = brute(rows)
-    assert len(want) > 60 and got <= want | got
-    assert len(got ^ want) <= 0.01 * len(want)  # bands may miss a pair in 300 at the bound
-
-
 def test_recall_at_the_bound():
     rng = random.Random(4)
     a, b = [], []
@@ -120,7 +117,7 @@ def test_awkward_documents(spark, change):
     rows = change(awkward(spark))
     report = D.line_report(rows)
     assert report.count() == rows.count()
-    assert removed(report) == brute([(r.doc_id, r.text) for r in awkward(spark).collect()])
+    assert removed(report) == numbers(brute([(r.doc_id, r.text) for r in awkward(spark).collect()]))
     kept = D.with_new_length(D.without_repeats(rows))
     assert kept.columns == rows.columns and kept.schema["n_chars"].dataType == rows.schema["n_chars"].dataType
     texts = {r.doc_id: r.text for r in kept.collect()}
@@ -128,32 +125,11 @@ def test_awkward_documents(spark, change):
 
 
 def test_many_lists_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(linkage, "BROADCAST_IDS", -1)
     rows = [(i, "one line that is found in many texts\n" + f"and {i} lines that are not at all {i * 7919}") for i in range(20)]
     assert len(removed(D.line_report(spark.createDataFrame(rows, "doc_id long, text string"))) & {(i, 0) for i in range(20)}) == 19
 
 
-def brute_worded(rows):
-    """Lines to remove, (doc_id, number), by comparing all pairs of distinct lines that aren't blank."""
-    lines = [(d, i, normal(x)) for d, t in rows if d is not None for i, x in enumerate((t or "").split("\n")) if normal(x)]
-    distinct = sorted({x for *_, x in lines})
-    root = {x: x for x in distinct}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in distinct:
-        for b in distinct:
-            if a < b and 100 * len(grams(a) & grams(b)) >= D.BOUND * len(grams(a) | grams(b)):
-                root[find(b)] = find(a)
-    first = {}
-    for d, i, x in lines:
-        first[find(x)] = min(first.get(find(x), (d, i)), (d, i))
-    return {(d, i) for d, i, x in lines if first[find(x)] != (d, i)}
-
-
 def test_lines_of_few_words(spark):
     chinese = "春天的风从南方吹过宽阔的河面带来了远处花园里的香气和孩子们的笑声让人想起许多年前的那个早晨"
     rows = [
@@ -162,7 +138,7 @@ def test_lines_of_few_words(spark):
         (3, f"{chinese}。\n漢字\n\nabc\n----\n \t"),
     ]
     got = removed(D.line_report(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert got == brute_worded(rows) == {(2, 0), (2, 1), (2, 3), (2, 4), (3, 0), (3, 1), (3, 4)}
+    assert got == numbers(brute(rows)) == {(2, 0), (2, 1), (2, 3), (2, 4), (3, 0), (3, 1), (3, 4)}
 
 
 def test_all_lines_against_all_pairs(spark):
@@ -172,12 +148,88 @@ def test_all_lines_against_all_pairs(spark):
     for d in range(60):
         lines = [rng.choice(base) if rng.random() < 0.6 else sentence(rng, rng.randint(1, 20)) for _ in range(4)]
         rows.append((d, "\n".join([*lines, "short one", "x", ""])))
-    got, want = removed(D.line_report(spark.createDataFrame(rows, "doc_id long, text string"))), brute_worded(rows)
+    got, want = removed(D.line_report(spark.createDataFrame(rows, "doc_id long, text string"))), numbers(brute(rows))
     assert len(want) > 200 and len(got ^ want) <= 0.01 * len(want)
     assert not any(i == 6 for _, i in got)  # blank lines stay
     few = [(r.doc_id, r.text) for r in awkward(spark).collect()]
-    assert removed(D.line_report(awkward(spark))) == brute_worded(few)
+    assert removed(D.line_report(awkward(spark))) == numbers(brute(few))
 
 
 def test_empty_table(spark):
     assert D.line_report(empty(spark)).count() == 0 and D.without_repeats(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_rows_that_share_a_doc_id(spark, turn):
+    rows = [
+        (1, "first line of the two texts here\nsecond line is unique to this very text"),
+        (1, "a different opening of the other\nfirst line of the two texts here"),
+        (2, "second line is unique to this very text\nand this is the end of it all"),
+        (2, "and this is the end of it all"),
+        (2, "and this is the end of it all"),
+    ][::turn]
+    gone = brute(rows)
+    assert len(gone) == 3
+    want = sorted("\n".join(x for i, x in enumerate(t.split("\n")) if (d, t, i) not in gone) for d, t in rows)
+    got = D.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), drop_empty=False)
+    assert sorted(r.text for r in got.collect()) == want
+    assert sum("second line is unique" in t for t in want) == 1
+
+
+def test_lists_in_pieces_and_very_long_lines(spark, monkeypatch):
+    monkeypatch.setattr(D, "PACK", 8)
+    monkeypatch.setattr(linkage, "HELD", 64)
+    rng = random.Random(3)
+    body, long_body = sentence(rng, 60), sentence(rng, 2500)
+    assert len(long_body) > D.LONG
+    rows = [(i, f"{body} {i:03d}\n{sentence(rng, 8)}") for i in range(60)]
+    rows += [(100 + i, f"{long_body} {i:03d}") for i in range(5)]
+    got = removed(D.line_report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == numbers(brute(rows)) and len(got) == 63
+
+
+def test_block_lists_hold_all_keys(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "PACK", 4)
+    monkeypatch.setattr(linkage, "HELD", 16)
+    rng = random.Random(6)
+    rows = sorted({(rng.choice((7, 8, 9, 7, 7, rng.randrange(200))), rng.randrange(1000)) for _ in range(400)})
+    keys = np.array([k for k, _ in rows], np.int64)
+    nodes = np.array([n for _, n in rows], np.int64)
+    blocks = []
+    for a in range(0, len(rows), 37):
+        made = linkage.dealt(keys[a : a + 37], nodes[a : a + 37], 3)
+        blocks += zip(made["part"].tolist(), made["keys"], made["nodes"])
+    found = linkage.block_lists(spark.createDataFrame(blocks, linkage.BLOCKS)).collect()
+    by_key = {k: frozenset(n for key, n in rows if key == k) for k, _ in rows}
+    merged = {}
+    for r in found:
+        assert len(r.nodes) <= 4
+        merged.setdefault(r.list_id, []).extend(r.nodes)
+    assert {frozenset(n) for n in merged.values()} == {s for s in by_key.values() if len(s) > 1}
+
+
+def test_groups_within_a_piece():
+    rng = random.Random(2)
+    base = [sentence(rng, 20) for _ in range(4)]
+    lines = [x[: len(x) - rng.randrange(14)] for x in base for _ in range(8)]
+    rng.shuffle(lines)
+    assert [a.tolist() for a in D.code_sets(lines)] == [D.code_set(x).tolist() for x in lines]
+    groups = D.groups_of(D.code_sets(lines))
+    assert sorted(i for g in groups for i in g) == list(range(len(lines)))
+    group_of = {i: n for n, g in enumerate(groups) for i in g}
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines):
+            assert not D.jaccard_reaches(x, y) or group_of[i] == group_of[j]
+    for g in groups:  # connected: each but the first has a similar one
+        seen, rest = {g[0]}, set(g[1:])
+        while rest:
+            new = {j for j in rest if any(D.jaccard_reaches(lines[i], lines[j]) for i in seen)}
+            assert new
+            seen, rest = seen | new, rest - new
+
+
+def test_normal_lines():
+    text = " A  b\tC\n\n Σας ΟΔΟΣ\nİx\u00a0y\u2003z \nplain line"
+    assert D.normal_lines(text) == [D.normal(x) for x in text.split("\n")]
+    plain = "Two  words\nΑΣ\nΣΑΣ b\n x \ny"
+    assert D.normal_lines(plain) == [D.normal(x) for x in plain.split("\n")]

@@ -46,7 +46,7 @@ def test_line_stage(stages):
     gone = lines.brute(rows)
     want = {}
     for doc_id, text in rows:
-        kept = [x for i, x in enumerate(text.split("\n")) if (doc_id, i) not in gone]
+        kept = [x for i, x in enumerate(text.split("\n")) if (doc_id, text, i) not in gone]
         if any(x.strip() for x in kept):
             want[doc_id] = "\n".join(kept)
     got = {r.doc_id: r.text for r in after.collect()}

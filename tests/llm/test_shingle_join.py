@@ -140,7 +140,29 @@ def test_one_of_each(spark):
     rows = wider(awkward(spark))
     kept = J.one_of_each(rows)
     assert kept.columns == rows.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "6", "8", "9", "10", "11", "None"])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "8", "9", "10", "11", "None"])
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_rows_that_share_a_doc_id(spark, turn):
+    rng = random.Random(5)
+    a, b, c = (" ".join(words(rng, 40)) for _ in range(3))
+    rows = [(5, b), (5, a), (9, a + " x"), (11, b + " y"), (20, c), (20, c), (21, c + " z"), (22, ""), (22, "")][::turn]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = J.join_components(docs).collect()
+    got = {(r.doc_id, r.component_id) for r in found}
+    assert got == {(5, 5), (9, 5), (11, 5), (20, 20), (21, 20), (22, 22)} and len(found) == len(rows)
+    # Texts that aren't alike all stay, though they share an id; equal rows don't.
+    assert sorted(J.one_of_each(docs).collect()) == sorted([(5, a), (5, b), (20, c), (22, "")])
+
+
+def test_links_of_all_rows_of_an_id_count(spark):
+    rng = random.Random(6)
+    a, b = (" ".join(words(rng, 40)) for _ in range(2))
+    rows = [(3, a), (7, a + " x"), (7, b), (8, b + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in J.join_components(docs).collect()} == {3}
+    assert {r.doc_id for r in J.one_of_each(docs).collect()} == {3, 7}
 
 
 def test_empty_table(spark):
