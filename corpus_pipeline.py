@@ -3,6 +3,13 @@
 Quality rules reject documents; line dedup removes repeated lines; of each group of
 near-duplicates one document stays; the rest is put in the order of a mix of sources;
 and what remains is encoded and decoded.
+
+Cases: an empty table gives empty tables at each stage. A null or empty text fails the
+quality rules, as does any without ten words. A row with a null doc_id keeps its lines
+and is no near-duplicate of any. Rows that share a doc_id are documents of their own
+where their texts differ; of rows equal in both, whose lines are changed alike, one
+stays. Further columns, whatever their names, are carried to the last stage but one; a
+very long text is read whole.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkweave.llm import byte_pair_codec, line_dedup, quality_rules, shingle_join, source_mixing
-from sparkweave.llm.frames import saved
+from sparkweave.llm.frames import drop_saved, saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each reading what the one before wrote."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    """The stages over ``documents``, each reading what the one before wrote, which then goes."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop_saved(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
