@@ -58,12 +58,12 @@ def S22_prediction_file(spark: SparkSession, d: str) -> DataFrame:
     return readers.predictions(spark, path).select("qid", "answer", F.inline("sp"))
 
 
-@query("SELECT doc_id, upper(trim(text)) AS sample FROM documents WHERE n_chars > 100 AND lang = 'en' AND length(trim(text)) > 0")
+@query("SELECT doc_id, lower(trim(text)) AS sample FROM documents WHERE n_chars > 100 AND lang = 'en' AND length(trim(text)) > 0")
 def P13_hooks(spark: SparkSession, d: str) -> DataFrame:
     """A filter and a preprocessing step; what it makes null goes."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang", F.col("text").alias("sample"))
     trimmed = F.trim(F.col("sample"))
-    out = training.prepared(docs, lambda r: (r["n_chars"] > 100) & (r["lang"] == "en"), lambda r: F.when(F.length(trimmed) > 0, F.upper(trimmed)))
+    out = training.prepared(docs, lambda r: (r["n_chars"] > 100) & (r["lang"] == "en"), lambda r: F.when(F.length(trimmed) > 0, F.lower(trimmed)))
     return out.select("doc_id", "sample")
 
 
