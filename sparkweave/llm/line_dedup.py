@@ -389,7 +389,7 @@ def linked_lines(lines: DataFrame) -> DataFrame:
         return comps
     left = saved(members.join(more, "list_id", "left_semi").distinct())
     texts = saved(text_of(saved(left.select("node").distinct())))
-    return connect_lists(saved(left.join(_traits(texts), "node")), comps, BOUND, _verifier(texts))
+    return connect_lists(saved(left.join(_traits(texts), "node")), comps, BOUND, _verifier(texts), quick_rounds=2)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -96,6 +96,8 @@ class _Lists:
             keep = np.ones(len(keys), bool)
             for a, b in zip(cuts, cuts[1:]):
                 size = self.pack - 1  # room for the first node
+                if b - a > size:
+                    nodes[a:b] = self.mixed(int(keys[a]), nodes[a:b])
                 for at in range(a, b - size, size):
                     self.piece(int(keys[a]), nodes[at : at + size])
                     keep[at : at + size] = False
@@ -110,6 +112,16 @@ class _Lists:
         keys, nodes = keys[new], nodes[new]
         return keys, nodes, [*np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist(), len(keys)]
 
+    def mixed(self, key: int, nodes: np.ndarray) -> np.ndarray:
+        """The nodes of a long list in an order of its key's own.
+
+        Similar nodes share many keys, and so meet others in the pieces of each: were
+        all lists cut in the order of the nodes, the same would meet in all of them.
+        """
+        with np.errstate(over="ignore"):
+            code = (nodes.view(np.uint64) ^ np.uint64(key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+        return nodes[np.argsort(code ^ (code >> np.uint64(32)), kind="stable")]
+
     def piece(self, key: int, nodes: np.ndarray) -> None:
         before, anchor = self.sent.get(key, (0, nodes[0]))
         self.rows.append((_signed((self.part << 32) + key), before, np.r_[anchor, nodes[nodes != anchor]] if before else nodes))
@@ -124,6 +136,7 @@ class _Lists:
                 a, b = cuts[i], cuts[i + 1]
                 key = int(keys[a])
                 if key in self.sent or b - a > self.pack:
+                    nodes[a:b] = self.mixed(key, nodes[a:b])
                     for at in range(a, b, self.pack - 1):
                         self.piece(key, nodes[at : min(b, at + self.pack - 1)])
                     continue
@@ -284,10 +297,11 @@ def linked_components(packed: DataFrame, traits: DataFrame, bound: int, verify:
     return connect_lists(lists, components(verify(tried)), bound, verify, tried)
 
 
-def connect_lists(lists: DataFrame, comps: DataFrame, bound: int, verify: Verify, tried: DataFrame | None = None) -> DataFrame:
+def connect_lists(lists: DataFrame, comps: DataFrame, bound: int, verify: Verify, tried: DataFrame | None = None, quick_rounds: int | None = None) -> DataFrame:
     """``comps`` with all links within the lists (list_id, node, n, bits) that don't lie within one of them; saved.
 
-    ``tried``: pairs (a, b) that were compared. Rounds go on until no two nodes of a
+    ``tried``: pairs (a, b) that were compared. ``quick_rounds``: rounds, less one, with
+    one pair for each node, before those that compare some nodes with all. Rounds go on until no two nodes of a
     list are left neither compared nor connected.
     """
     done, turn, quick = None, 1, True
@@ -298,7 +312,7 @@ def connect_lists(lists: DataFrame, comps: DataFrame, bound: int, verify: Verify
         if left.isEmpty():
             return comps
         lists = left.drop("comp")  # a list that is connected stays so
-        quick = quick and turn < QUICK_ROUNDS
+        quick = quick and turn < (QUICK_ROUNDS if quick_rounds is None else quick_rounds)
         if quick:
             pairs = _one_for_each(left, turn, bound)
         else:
