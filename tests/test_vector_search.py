@@ -47,6 +47,7 @@ def test_rounded_as_spark(spark):
     "name, searches",
     [
         ("J21_two_hop_retrieval", 2),
+        ("J22_two_hop_wide", 2),
     ],
 )
 def test_pairs_are_no_rows(spark, name, searches):
