@@ -47,6 +47,7 @@ def test_rounded_as_spark(spark):
     "name, searches",
     [
         ("J21_two_hop_retrieval", 2),
+        ("J23_two_hop_older", 2),
         ("A17_pair_stats_at_k", 2),
         ("V07_attention_reformulate", 1),
         ("J22_two_hop_wide", 2),
