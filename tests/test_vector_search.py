@@ -47,6 +47,7 @@ def test_rounded_as_spark(spark):
     "name, searches",
     [
         ("J21_two_hop_retrieval", 2),
+        ("J20_hop2_paths", 2),
         ("J26_mixed_hops", 3),
         ("J23_two_hop_older", 2),
         ("A17_pair_stats_at_k", 2),
