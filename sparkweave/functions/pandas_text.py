@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import struct
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -35,17 +39,55 @@ def strip_accents(texts: pd.Series) -> pd.Series:
     return texts.map(plain, na_action="ignore")
 
 
-@F.pandas_udf(SPANS)
-def token_spans(texts: pd.Series) -> pd.Series:
-    """Tokens with the text up to the next token, and their offsets, ends exclusive."""
+#: Characters whose tokens are Python objects at a time.
+SLICE = 1 << 20
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, number) of about ``SLICE`` characters, or of one longer text."""
+    first = held = 0
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+        if held + n > SLICE and i > first:
+            yield first, i - first
+            first, held = i, 0
+        held += n
+    if len(texts) > first:
+        yield first, len(texts) - first
 
-    def of(text: str) -> list[tuple[str, str, int, int]]:
+
+def _spans(texts: pa.Array) -> pa.Array:
+    """Arrays of tokens, made of flat columns."""
+    words, spaces, starts, ends, offsets = [], [], [], [], [0]
+    for text in texts.to_pylist():
+        text = text or ""
         spans = [m.span() for m in _TOKEN.finditer(text)]
-        nexts = [*(a for a, _ in spans[1:]), None]
+        words += [text[a:b] for a, b in spans]
         # The last token takes no space after it.
-        return [(text[a:b], text[a : b if n is None else n], a, b) for (a, b), n in zip(spans, nexts)]
+        spaces += [text[a:n] for (a, _), (n, _) in zip(spans, spans[1:])] + [text[a:b] for a, b in spans[-1:]]
+        starts += [a for a, _ in spans]
+        ends += [b for _, b in spans]
+        offsets.append(len(words))
+    columns = [pa.array(words, pa.string()), pa.array(spaces, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["text", "space", "start", "end"]))
+
+
+@F.arrow_udf(SPANS)
+def token_spans(texts: pa.Array) -> pa.Array:
+    """Tokens with the text up to the next token, and their offsets, ends exclusive."""
+    return pa.concat_arrays([_spans(texts.slice(a, n)) for a, n in _slices(texts)] or [_spans(texts)])
+
+
+def with_token_spans(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``text`` replaced by its ``token_spans`` as ``name``, in batches that are small however long the texts are."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, n in _slices(batch[text]):
+                part = batch.slice(a, n)
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in keys), _spans(part[text])], [*keys, name])
 
-    return texts.fillna("").map(of)
+    keys = [c for c in df.columns if c != text]
+    return df.mapInArrow(each, StructType([*(df.schema[c] for c in keys), StructField(name, SPANS)]))
 
 
 def murmur3_32(raw: bytes, seed: int = 0) -> int:

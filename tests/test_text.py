@@ -4,6 +4,7 @@ import hashlib
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,17 @@ def test_murmur3():
     assert P.murmur3_32(b"hello, world") == 0x149BBB7F
 
 
+def test_token_spans_in_small_batches(spark, monkeypatch):
+    """A batch of rows goes back in pieces of bounded text, whatever the texts' length."""
+    monkeypatch.setattr(P, "SLICE", 8)
+    texts = pa.array(["ab, c", None, "", "a longer text than a slice", "x", "y z"])
+    assert list(P._slices(texts)) == [(0, 3), (3, 1), (4, 2)]
+    frame = spark.createDataFrame(list(enumerate(texts.to_pylist())), "i int, t string").coalesce(1)
+    whole = frame.select("i", P.token_spans(F.col("t")).alias("s")).collect()
+    assert sorted(P.with_token_spans(frame, "t", "s").collect()) == sorted(whole)
+    assert [len(r.s) for r in sorted(whole)] == [3, 0, 0, 6, 1, 2]
+
+
 def test_token_spans(spark):
     spans = one(spark, P.token_spans(F.col("t")), t="ab, c")
     assert [(s.text, s.space, s.start, s.end) for s in spans] == [("ab", "ab", 0, 2), (",", ", ", 2, 3), ("c", "c", 4, 5)]
