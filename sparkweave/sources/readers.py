@@ -104,10 +104,27 @@ def legacy_encode(column: Column) -> Column:
     return F.base64(F.to_json(column).cast("binary"))
 
 
+def _by_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, answer) and (qid, sp) of an object with a line for each entry; a fact list is what starts with a bracket."""
+    line = F.regexp_replace("value", "^, ", "")
+    name = r'^"(?:[^"\\]|\\.)*+": '
+    entries = spark.read.text(path).select(line.alias("value")).where(F.col("value").rlike(name))
+    facts = F.col("value").rlike(name + r"\[")
+    of = lambda kind: F.explode(F.from_json(F.concat(F.lit("{"), F.col("value"), F.lit("}")), f"map<string,{kind}>"))
+    return entries.where(~facts).select(of("string").alias("qid", "answer")), entries.where(facts).select(of("array<array<string>>").alias("qid", "sp"))
+
+
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, answer, sp) of a file with one object of answers and one of facts, each fact [title, sentence]."""
-    one = whole_json(spark, path, "answer map<string,string>, sp map<string,array<array<string>>>")
-    answers = one.select(F.explode("answer").alias("qid", "answer"))
+    """(qid, answer, sp) of a file with one object of answers and one of facts, each fact [title, sentence].
+
+    What ``write_predictions`` wrote is read by lines, in many tasks; any other file as one value.
+    """
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_entries")
+    if marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        answers, listed = _by_lines(spark, path)
+    else:
+        one = whole_json(spark, path, "answer map<string,string>, sp map<string,array<array<string>>>")
+        answers, listed = one.select(F.explode("answer").alias("qid", "answer")), one.select(F.explode("sp").alias("qid", "sp"))
     fact = lambda f: F.struct(F.get(f, 0).alias("title"), F.get(f, 1).cast("int").alias("sent_id"))
-    facts = one.select(F.explode("sp").alias("qid", "sp")).select("qid", F.transform("sp", fact).alias("sp"))
+    facts = listed.select("qid", F.transform("sp", fact).alias("sp"))
     return answers.join(facts, "qid", "full")

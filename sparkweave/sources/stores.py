@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 class DuplicateKeys(ValueError):
@@ -119,8 +120,9 @@ def write_results(rows: DataFrame, path: str) -> None:
 def write_predictions(rows: DataFrame, path: str) -> None:
     """One object ``{"answer": {qid: answer}, "sp": {qid: [[title, sentence], ...]}}`` from rows (qid, answer, sp).
 
-    The format is one object, so one task writes it; its rows are a question set's, and
-    made to text before they meet there.
+    The format is one object, so one task writes it, but entry by entry: each is a line
+    of its own, made before it gets there, and no more than a sort is held. The empty file
+    ``_entries`` says so to the reader, which then need not read the object whole.
     """
     quoted = lambda c: F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"})
     text = lambda c: F.regexp_extract(quoted(c), r'(?s)^\{"x":(.*)\}$', 1)
@@ -128,10 +130,15 @@ def write_predictions(rows: DataFrame, path: str) -> None:
     name = F.concat(text(F.col("qid").cast("string")), F.lit(": "))
     facts = F.concat(F.lit("["), F.array_join(F.transform("sp", fact), ", "), F.lit("]"))
     one = rows.select(F.concat(name, text(F.col("answer"))).alias("answer"), F.when(F.col("sp").isNotNull(), F.concat(name, facts)).alias("sp"))
-    both = one.agg(F.array_sort(F.collect_list("answer")).alias("answer"), F.array_sort(F.collect_list("sp")).alias("sp"))
-    part = lambda c: F.concat(F.lit("{"), F.array_join(c, ", "), F.lit("}"))
-    whole = F.concat(F.lit('{"answer": '), part("answer"), F.lit(', "sp": '), part("sp"), F.lit("}"))
-    both.select(whole.alias("value")).coalesce(1).write.text(path)
+    entry = F.explode(F.array(*[F.struct(F.lit(i).alias("section"), F.col(c).alias("value")) for i, c in ((1, "answer"), (3, "sp"))]))
+    entries = one.select(entry.alias("e")).select("e.*").where("value is not null")
+    spark = rows.sparkSession
+    edges = spark.createDataFrame([(0, '{"answer": {'), (2, '}, "sp": {'), (4, "}}")], "section int, value string")
+    before = F.lag("section").over(W.orderBy("section", "value"))
+    comma = F.when(before == F.col("section"), F.lit(", ")).otherwise(F.lit(""))
+    entries.unionByName(edges).select(F.concat(comma, F.col("value")).alias("value")).write.text(path)
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_entries")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker, True).close()
 
 
 def write_grid(rows: DataFrame, path: str) -> None:

@@ -77,6 +77,20 @@ def test_encoding_store(spark, tmp_path):
     assert [r.title for r in store.missing(spark.createDataFrame([("A",), ("C",)], "title string")).collect()] == ["C"]
 
 
+def test_predictions_entry_by_entry(spark, tmp_path):
+    """Each entry is a line, so no task holds the whole object; odd keys and answers that look like facts come back."""
+    kind = "qid string, answer string, sp array<struct<title:string,sent_id:int>>"
+    rows = [('q"1": [', "[[", [('a": [', 0)]), ("back\\", "null", []), ("n", None, [("T", 3), ("", 4)]), (", x", "a\r\n\u2028b", None)]
+    for name, some in (("some", rows), ("none", [])):
+        path = tmp_path / name
+        stores.write_predictions(spark.createDataFrame(some, kind), str(path))
+        (file,) = path.glob("part-*")
+        assert len(file.read_bytes().splitlines()) == 3 + sum(1 + (sp is not None) for _, _, sp in some)
+        assert json.loads(file.read_text())["answer"] == {q: a for q, a, _ in some}
+        found = readers.predictions(spark, str(path))
+        assert {r.qid: (r.answer, r.sp and [tuple(f) for f in r.sp]) for r in found.collect()} == {q: (a, sp) for q, a, sp in some}
+
+
 def test_predictions_and_grid(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"answer": {"q1": "x"}, "sp": {"q1": [["T", 1]]}}))
     row = readers.predictions(spark, str(tmp_path / "p.json")).first()
