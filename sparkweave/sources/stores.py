@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from ..storage import delete, own_folder
 
 
 class DuplicateKeys(ValueError):
@@ -120,9 +123,9 @@ def write_results(rows: DataFrame, path: str) -> None:
 def write_predictions(rows: DataFrame, path: str) -> None:
     """One object ``{"answer": {qid: answer}, "sp": {qid: [[title, sentence], ...]}}`` from rows (qid, answer, sp).
 
-    The format is one object, so one task writes it, but entry by entry: each is a line
-    of its own, made before it gets there, and no more than a sort is held. The empty file
-    ``_entries`` says so to the reader, which then need not read the object whole.
+    The format is one object in one file, but all tasks make it: each entry is a line of
+    its own, and the tasks' files are joined as bytes. The empty file ``_entries`` says so
+    to the reader, which then need not read the object whole.
     """
     quoted = lambda c: F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"})
     text = lambda c: F.regexp_extract(quoted(c), r'(?s)^\{"x":(.*)\}$', 1)
@@ -130,15 +133,37 @@ def write_predictions(rows: DataFrame, path: str) -> None:
     name = F.concat(text(F.col("qid").cast("string")), F.lit(": "))
     facts = F.concat(F.lit("["), F.array_join(F.transform("sp", fact), ", "), F.lit("]"))
     one = rows.select(F.concat(name, text(F.col("answer"))).alias("answer"), F.when(F.col("sp").isNotNull(), F.concat(name, facts)).alias("sp"))
-    entry = F.explode(F.array(*[F.struct(F.lit(i).alias("section"), F.col(c).alias("value")) for i, c in ((1, "answer"), (3, "sp"))]))
-    entries = one.select(entry.alias("e")).select("e.*").where("value is not null")
     spark = rows.sparkSession
-    edges = spark.createDataFrame([(0, '{"answer": {'), (2, '}, "sp": {'), (4, "}}")], "section int, value string")
-    before = F.lag("section").over(W.orderBy("section", "value"))
-    comma = F.when(before == F.col("section"), F.lit(", ")).otherwise(F.lit(""))
-    entries.unionByName(edges).select(F.concat(comma, F.col("value")).alias("value")).write.text(path)
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_entries")
-    marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker, True).close()
+    entry = F.explode(F.array(*[F.struct(F.lit(c).alias("section"), F.col(c).alias("value")) for c in ("answer", "sp")]))
+    entries = one.select(entry.alias("e")).select("e.*").where("value is not null")
+    parts = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    dealt = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "value").sortWithinPartitions("section", "value")
+    dealt.select("section", F.concat(F.lit(", "), "value").alias("value")).write.partitionBy("section").text(parts)
+    _join_files(spark, parts, path.rstrip("/"))
+    delete(spark, parts)
+
+
+def _join_files(spark: SparkSession, parts: str, path: str) -> None:
+    """One file of the lines of both sections; the comma before the first line of each is left out."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    at = lambda name: hadoop.fs.Path(name)
+    source, target = at(parts).getFileSystem(conf), at(path).getFileSystem(conf)
+    if target.exists(at(path)):
+        raise FileExistsError(path)
+    out = target.create(at(f"{path}/part-00000.txt"), False)
+    for name, edge in (("answer", '{"answer": {\n'), ("sp", '}, "sp": {\n')):
+        out.write(bytearray(edge.encode()))
+        folder = at(f"{parts}/section={name}")
+        files = sorted((f.getPath().getName(), f.getLen()) for f in (source.listStatus(folder) if source.exists(folder) else []))
+        for i, file in enumerate(f for f, size in files if f.startswith("part-") and size):
+            read = source.open(at(f"{parts}/section={name}/{file}"))
+            if not i:
+                read.seek(2)
+            hadoop.io.IOUtils.copyBytes(read, out, 1 << 20, False)
+            read.close()
+    out.write(bytearray(b"}}\n"))
+    out.close()
+    target.create(at(f"{path}/_entries"), True).close()
 
 
 def write_grid(rows: DataFrame, path: str) -> None:
