@@ -149,3 +149,88 @@ def first_line_products(buckets: int, n: int, dropped: np.ndarray):
         return pa.table({"id": terms.ids.take(pa.array(code)), "i": pa.array(number + 1, pa.int64()), "product": pa.array(product, pa.float64())})
 
     return cell
+
+
+def log_weights(terms: Terms, df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """ln(1 + tf) * idf; of terms of weight above 0 that the corpus has."""
+    idf = np.where(df > 0, np.log(np.maximum((n - df + 0.5) / (df + 0.5), 1.0)), 0.0)
+    at = np.flatnonzero(idf[terms.term] > 0)
+    return at, np.log1p(terms.tf[at]) * idf[terms.term[at]]
+
+
+def pack(buckets: int, n: int, weigh, dropped: np.ndarray):
+    """A function of a block of questions and its answers: one row with all their weighted terms."""
+
+    def one(table: pa.Table, answers: pa.Table) -> pa.Table:
+        terms = Terms(table, dropped)
+        at, weight = weigh(terms, terms.frequencies(answers, buckets), n)
+        at, weight = at[order := np.argsort(terms.term[at], kind="stable")], weight[order]
+        code, _ = terms.owner(terms.unit[at])
+        own, place = np.unique(code, return_inverse=True)
+        qids = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), terms.ids.take(pa.array(own)))
+        bytes_ = lambda x: pa.array([x.tobytes()], pa.binary())
+        columns = [pa.array([-1], pa.int32()), qids, bytes_(place.astype(np.int64)), bytes_(terms.vocab[terms.term[at]]), bytes_(weight)]
+        return pa.table(columns, names=["bucket", "qids", "places", "keys", "weights"])
+
+    return one
+
+
+def _runs(cost: np.ndarray):
+    """Bounds of runs of about PRODUCTS in cost, of one unit at least."""
+    run = np.cumsum(cost) // PRODUCTS
+    return [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(cost)] if len(cost) else [0]
+
+
+def best(buckets: int, n: int, k: int, weigh, far: bool, dropped: np.ndarray, digits: int = 6):
+    """A function of a block and of its answers and the packed questions: of each question the k best units that share a term.
+
+    The best have the smallest rounded 1 - product if ``far``, else the largest rounded product; ties go to the smaller unit.
+    """
+
+    def cut(unit: np.ndarray, q: np.ndarray, x: np.ndarray):
+        value = rounded(1 - x, digits) if far else -rounded(x, digits)
+        order = np.lexsort((unit, value, q))
+        order = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < k]
+        return unit[order], q[order], x[order]
+
+    def asked(terms: Terms, at: np.ndarray, weight: np.ndarray, nq: int, places: np.ndarray, keys: np.ndarray, weights: np.ndarray):
+        known, start, count = np.unique(keys, return_index=True, return_counts=True)  # keys come sorted
+        place = np.minimum(np.searchsorted(known, terms.vocab), max(0, len(known) - 1))
+        held = known[place] == terms.vocab if len(known) else np.zeros(len(terms.vocab), bool)
+        met = held[terms.term[at]]
+        unit, term, weight = terms.unit[at[met]], place[terms.term[at[met]]], weight[met]
+        units, first = np.unique(unit, return_index=True)
+        ends = np.append(first, len(unit))[1:]
+        share = np.concatenate([[0], np.cumsum(count[term])])
+        bounds = _runs(share[ends] - share[first] + nq)
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        least = np.zeros(nq)
+        for a, b in zip(bounds, bounds[1:]):
+            own = slice(first[a], ends[b - 1])
+            times = count[term[own]]
+            each = np.repeat(np.arange(len(times)), times)
+            at_q = np.repeat(start[term[own]], times) + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+            row = np.searchsorted(units[a:b], unit[own])[each]
+            x = np.bincount(row * nq + places[at_q], weight[own][each] * weights[at_q], minlength=(b - a) * nq).reshape(b - a, nq)
+            if b - a > k:
+                least = np.maximum(least, np.partition(x, b - a - k, axis=0)[b - a - k])
+            # Rounding moves a product by half a digit, another order of adding by far less.
+            i, j = np.nonzero((x > 0) & (x >= least - 2 * 10.0**-digits - 1e-9 * least))
+            found = cut(*map(np.concatenate, zip(found, (units[a + i], j, x[i, j]))))
+        return found
+
+    def cell(table: pa.Table, right: pa.Table) -> pa.Table:
+        terms = Terms(table, dropped)
+        at, weight = weigh(terms, terms.frequencies(right, buckets), n)
+        parts = []
+        for row in np.flatnonzero(np.asarray(right["bucket"]) == -1) if table.num_rows else []:
+            qids = right["qids"][int(row)].values
+            of = lambda c, kind: np.frombuffer(right[c][int(row)].as_py(), kind)
+            unit, q, x = asked(terms, at, weight, len(qids), of("places", np.int64), of("keys", np.uint64), of("weights", np.float64))
+            code, number = terms.owner(unit)
+            columns = [qids.take(pa.array(q)), terms.ids.take(pa.array(code)), pa.array(number + 1, pa.int64()), pa.array(x, pa.float64())]
+            parts.append(pa.table(columns, names=["qid", "id", "i", "product"]))
+        none = [pa.nulls(0, kind) for kind in (right["qids"].type.value_type, terms.ids.type, pa.int64(), pa.float64())]
+        return pa.concat_tables([pa.table(none, names=["qid", "id", "i", "product"]), *parts])
+
+    return cell

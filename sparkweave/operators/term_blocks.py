@@ -72,3 +72,37 @@ def first_line_distances(corpus: DataFrame, key: str = "doc_id", text: str = "te
     kind = f"id {corpus.schema[key].dataType.simpleString()}, i long, product double"
     met = own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(A.first_line_products(buckets, lines, dropped), kind)
     return met.select(F.col("id").alias(key), "i", (F.round(1 - F.col("product"), 6) + 0.0).alias("distance"))  # -0.0 is made 0.0
+
+
+def _best(questions: DataFrame, corpus: DataFrame, k: int, weigh, by_line: bool, qid: str, key: str, text: str) -> DataFrame:
+    """(qid, id, i, product): of each question and block the k best lines, or texts, which hold the k best of all.
+
+    Questions ask for frequencies as blocks below 0 do; then all of them go to every block, packed.
+    """
+    blocks, texts, lines = _size(corpus, text)
+    n, spark = lines if by_line else texts, corpus.sparkSession
+    buckets, dropped = -(-blocks // SHARE), _dropped(spark)
+    own = _dealt(corpus, key, text, _hashed(key, blocks), by_line)
+    asked = _dealt(questions, qid, text, -1 - _hashed(qid, _size(questions, text)[0]), by_line=False)
+    ask = A.ask(buckets, dropped)
+    answers = _answers(own.groupBy("block").applyInArrow(ask, ASKS).unionByName(asked.groupBy("block").applyInArrow(ask, ASKS)))
+    qtype, idtype = (f.schema[c].dataType.simpleString() for f, c in ((questions, qid), (corpus, key)))
+    kind = f"bucket int, qids array<{qtype}>, places binary, keys binary, weights binary"
+    packs = asked.groupBy("block").cogroup(answers.where("block < 0").groupBy("block")).applyInArrow(A.pack(buckets, n, weigh, dropped), kind)
+    packs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = answers.where("block >= 0").unionByName(packs, allowMissingColumns=True)
+    cell = A.best(buckets, n, k, weigh, by_line, dropped)
+    met = own.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(cell, f"qid {qtype}, id {idtype}, i long, product double")
+    return met.withColumnsRenamed({"qid": qid, "id": key})
+
+
+def nearest_lines(questions: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(qid, key, i, distance): cosine distances with the idf of lines, the k smallest of each question among them."""
+    met = _best(questions, corpus, k, A.smooth_weights, True, qid, key, text)
+    return met.select(qid, key, "i", (F.round(1 - F.col("product"), 6) + 0.0).alias("distance"))
+
+
+def best_texts(questions: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(qid, key, score): scores of ``tfidf.scores``, the k best of each question among them."""
+    met = _best(questions, corpus, k, A.log_weights, False, qid, key, text)
+    return met.select(qid, key, F.round("product", 6).alias("score"))

@@ -1,7 +1,7 @@
 """Weights of all terms of all texts by blocks: results are those of postings as rows, which are none here."""
 
-import duckdb
 import pytest
+from pyspark.sql.window import Window as W
 
 from sparkweave import plans, registry  # noqa: F401
 from sparkweave.operators import term_blocks as B
@@ -36,7 +36,25 @@ def test_distances_are_those_of_postings(spark, chars):
     assert sorted(map(tuple, B.first_line_distances(corpus).collect())) == sorted(map(tuple, by_rows(corpus).collect()))
 
 
-@pytest.mark.parametrize("name", ["J09_within_document_rank", "J10_document_distractors", "J12_align_paragraph"])
+@pytest.mark.parametrize("name", ["J09_within_document_rank", "J10_document_distractors", "J12_align_paragraph", "J16_global_paragraph_rank"])
 def test_postings_are_no_rows(spark, name):
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "term" not in plan.replace("term_blocks", "")
+
+
+ASKED = [(1, "red fox"), (2, "same id\nblue bird"), (3, "haus name line"), (4, "of the"), (5, None), (6, "unknown words"), (7, "fox red red fox sleeps")]
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_best_lines_and_texts_are_those_of_postings(spark, chars, k):
+    corpus = spark.createDataFrame([t for t in TEXTS if t[0] is not None], "doc_id long, text string")
+    asked = spark.createDataFrame(ASKED, "qid long, text string")
+    lines = corpus.selectExpr("doc_id", "posexplode(split(coalesce(text, ''), '\n')) as (at, text)").selectExpr("doc_id", "at + 1L as i", "text")
+    index = tfidf.postings(lines, ["doc_id", "i"])
+    rated = tfidf.smooth_idf(index, tfidf.count_documents(lines))
+    unit = tfidf.unit_vectors(index, ["doc_id", "i"], rated)
+    near = tfidf.cosine_distance(tfidf.unit_vectors(tfidf.postings(asked, "qid"), "qid", rated), unit, "qid", ["doc_id", "i"])
+    ranked = lambda f, *order: sorted(map(tuple, f.withColumn("r", B.F.row_number().over(W.partitionBy("qid").orderBy(*order))).where(f"r <= {k}").collect()))
+    assert ranked(B.nearest_lines(asked, corpus, k), "distance", "doc_id", "i") == ranked(near, "distance", "doc_id", "i")
+    scored = tfidf.scores(tfidf.postings(asked, "qid"), tfidf.postings(corpus), corpus)
+    assert ranked(B.best_texts(asked, corpus, k), B.F.desc("score"), "doc_id") == ranked(scored, B.F.desc("score"), "doc_id")
