@@ -124,6 +124,13 @@ def answer(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "bucket": table["bucket"], "dfs": pa.array(dfs, pa.binary())})
 
 
+def answer_questions(held: pa.Table, asked: pa.Table) -> pa.Table:
+    """A bucket's answers to the questions among its asks, which come by themselves."""
+    if not asked.num_rows:
+        return pa.table([pa.nulls(0, kind) for kind in (pa.int32(), pa.int32(), pa.binary())], names=["block", "bucket", "dfs"])
+    return answer(pa.concat_tables([asked, held])).slice(0, asked.num_rows)
+
+
 def smooth_weights(terms: Terms, df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """tf * idf with the smooth idf, scaled to length 1 in each unit; of terms that the corpus has."""
     at = np.flatnonzero(df[terms.term] > 0)
@@ -185,15 +192,18 @@ def best(buckets: int, n: int, k: int, weigh, far: bool, dropped: np.ndarray, di
     """A function of a block and of its answers and the packed questions: of each question the k best units that share a term.
 
     The best have the smallest rounded 1 - product if ``far``, else the largest rounded product; ties go to the smaller unit.
+    Rows with a ``wanted`` id and question ask for the product of the id's first unit; it comes besides, flagged.
     """
 
+    names = ["qid", "id", "i", "product", "wanted"]
+
     def cut(unit: np.ndarray, q: np.ndarray, x: np.ndarray):
         value = rounded(1 - x, digits) if far else -rounded(x, digits)
         order = np.lexsort((unit, value, q))
         order = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < k]
         return unit[order], q[order], x[order]
 
-    def asked(terms: Terms, at: np.ndarray, weight: np.ndarray, nq: int, places: np.ndarray, keys: np.ndarray, weights: np.ndarray):
+    def asked(terms: Terms, at: np.ndarray, weight: np.ndarray, nq: int, places: np.ndarray, keys: np.ndarray, weights: np.ndarray, wanted):
         known, start, count = np.unique(keys, return_index=True, return_counts=True)  # keys come sorted
         place = np.minimum(np.searchsorted(known, terms.vocab), max(0, len(known) - 1))
         held = known[place] == terms.vocab if len(known) else np.zeros(len(terms.vocab), bool)
@@ -204,7 +214,7 @@ def best(buckets: int, n: int, k: int, weigh, far: bool, dropped: np.ndarray, di
         share = np.concatenate([[0], np.cumsum(count[term])])
         bounds = _runs(share[ends] - share[first] + nq)
         found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        least = np.zeros(nq)
+        least, besides = np.zeros(nq), [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]]
         for a, b in zip(bounds, bounds[1:]):
             own = slice(first[a], ends[b - 1])
             times = count[term[own]]
@@ -212,12 +222,23 @@ def best(buckets: int, n: int, k: int, weigh, far: bool, dropped: np.ndarray, di
             at_q = np.repeat(start[term[own]], times) + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
             row = np.searchsorted(units[a:b], unit[own])[each]
             x = np.bincount(row * nq + places[at_q], weight[own][each] * weights[at_q], minlength=(b - a) * nq).reshape(b - a, nq)
+            here = np.isin(wanted[0], units[a:b])
+            i, j = np.searchsorted(units[a:b], wanted[0][here]), wanted[1][here]
+            besides.append([wanted[0][here][x[i, j] > 0], j[x[i, j] > 0], x[i, j][x[i, j] > 0]])
             if b - a > k:
                 least = np.maximum(least, np.partition(x, b - a - k, axis=0)[b - a - k])
             # Rounding moves a product by half a digit, another order of adding by far less.
             i, j = np.nonzero((x > 0) & (x >= least - 2 * 10.0**-digits - 1e-9 * least))
             found = cut(*map(np.concatenate, zip(found, (units[a + i], j, x[i, j]))))
-        return found
+        return found, [np.concatenate(c) for c in zip(*besides)]
+
+    def wants(terms: Terms, right: pa.Table, qids: pa.Array):
+        """Units and places of questions that are wanted."""
+        rows = right.filter(pc.equal(right["bucket"], -2))
+        code = pc.fill_null(pc.index_in(rows["wid"], value_set=terms.ids), -1).to_numpy().astype(np.int64)
+        place = pc.fill_null(pc.index_in(rows["wqid"], value_set=qids), -1).to_numpy().astype(np.int64)
+        both = (code > 0) & (place >= 0)
+        return terms.base[code[both]], place[both]
 
     def cell(table: pa.Table, right: pa.Table) -> pa.Table:
         terms = Terms(table, dropped)
@@ -226,11 +247,12 @@ def best(buckets: int, n: int, k: int, weigh, far: bool, dropped: np.ndarray, di
         for row in np.flatnonzero(np.asarray(right["bucket"]) == -1) if table.num_rows else []:
             qids = right["qids"][int(row)].values
             of = lambda c, kind: np.frombuffer(right[c][int(row)].as_py(), kind)
-            unit, q, x = asked(terms, at, weight, len(qids), of("places", np.int64), of("keys", np.uint64), of("weights", np.float64))
-            code, number = terms.owner(unit)
-            columns = [qids.take(pa.array(q)), terms.ids.take(pa.array(code)), pa.array(number + 1, pa.int64()), pa.array(x, pa.float64())]
-            parts.append(pa.table(columns, names=["qid", "id", "i", "product"]))
-        none = [pa.nulls(0, kind) for kind in (right["qids"].type.value_type, terms.ids.type, pa.int64(), pa.float64())]
-        return pa.concat_tables([pa.table(none, names=["qid", "id", "i", "product"]), *parts])
+            lists = of("places", np.int64), of("keys", np.uint64), of("weights", np.float64)
+            for flag, (unit, q, x) in zip((False, True), asked(terms, at, weight, len(qids), *lists, wants(terms, right, qids))):
+                code, number = terms.owner(unit)
+                columns = [qids.take(pa.array(q)), terms.ids.take(pa.array(code)), pa.array(number + 1, pa.int64()), pa.array(x, pa.float64())]
+                parts.append(pa.table([*columns, pa.array(np.full(len(q), flag))], names=names))
+        none = [pa.nulls(0, kind) for kind in (right["qids"].type.value_type, terms.ids.type, pa.int64(), pa.float64(), pa.bool_())]
+        return pa.concat_tables([pa.table(none, names=names), *parts])
 
     return cell

@@ -74,35 +74,59 @@ def first_line_distances(corpus: DataFrame, key: str = "doc_id", text: str = "te
     return met.select(F.col("id").alias(key), "i", (F.round(1 - F.col("product"), 6) + 0.0).alias("distance"))  # -0.0 is made 0.0
 
 
-def _best(questions: DataFrame, corpus: DataFrame, k: int, weigh, by_line: bool, qid: str, key: str, text: str) -> DataFrame:
-    """(qid, id, i, product): of each question and block the k best lines, or texts, which hold the k best of all.
+class Index:
+    """A corpus dealt out in blocks, for several searches: its texts and its asks travel once in a plan.
 
-    Questions ask for frequencies as blocks below 0 do; then all of them go to every block, packed.
+    ``corpus`` is read while the plan is built, for its size. Units are lines or texts.
     """
-    blocks, texts, lines = _size(corpus, text)
-    n, spark = lines if by_line else texts, corpus.sparkSession
-    buckets, dropped = -(-blocks // SHARE), _dropped(spark)
-    own = _dealt(corpus, key, text, _hashed(key, blocks), by_line)
-    asked = _dealt(questions, qid, text, -1 - _hashed(qid, _size(questions, text)[0]), by_line=False)
-    ask = A.ask(buckets, dropped)
-    answers = _answers(own.groupBy("block").applyInArrow(ask, ASKS).unionByName(asked.groupBy("block").applyInArrow(ask, ASKS)))
-    qtype, idtype = (f.schema[c].dataType.simpleString() for f, c in ((questions, qid), (corpus, key)))
-    kind = f"bucket int, qids array<{qtype}>, places binary, keys binary, weights binary"
-    packs = asked.groupBy("block").cogroup(answers.where("block < 0").groupBy("block")).applyInArrow(A.pack(buckets, n, weigh, dropped), kind)
-    packs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = answers.where("block >= 0").unionByName(packs, allowMissingColumns=True)
-    cell = A.best(buckets, n, k, weigh, by_line, dropped)
-    met = own.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(cell, f"qid {qtype}, id {idtype}, i long, product double")
-    return met.withColumnsRenamed({"qid": qid, "id": key})
-
-
-def nearest_lines(questions: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(qid, key, i, distance): cosine distances with the idf of lines, the k smallest of each question among them."""
-    met = _best(questions, corpus, k, A.smooth_weights, True, qid, key, text)
-    return met.select(qid, key, "i", (F.round(1 - F.col("product"), 6) + 0.0).alias("distance"))
-
-
-def best_texts(questions: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(qid, key, score): scores of ``tfidf.scores``, the k best of each question among them."""
-    met = _best(questions, corpus, k, A.log_weights, False, qid, key, text)
-    return met.select(qid, key, F.round("product", 6).alias("score"))
+
+    def __init__(self, corpus: DataFrame, by_line: bool, key: str = "doc_id", text: str = "text"):
+        self.blocks, texts, lines = _size(corpus, text)
+        self.n, self.by_line, self.key = lines if by_line else texts, by_line, key
+        self.buckets, self.dropped = -(-self.blocks // SHARE), _dropped(corpus.sparkSession)
+        self.kind = corpus.schema[key].dataType.simpleString()
+        self.own = _dealt(corpus, key, text, _hashed(key, self.blocks), by_line)
+        self.asks = self.asked(self.own)
+        self.answers = _answers(self.asks)
+
+    def asked(self, parts: DataFrame) -> DataFrame:
+        return parts.groupBy("block").applyInArrow(A.ask(self.buckets, self.dropped), ASKS)
+
+    def best(self, questions: DataFrame, k: int, qid: str = "qid", text: str = "text", wanted: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+        """(qid, key, i, product, wanted): of each question and block the k best units, which hold the k best of all.
+
+        Questions ask for frequencies as blocks below 0; then all of them go to every block, packed.
+        ``wanted``: pairs (qid, key) whose product is given besides, if not 0.
+        ``parts``: blocks of questions; without it they are read for their size while the plan is built.
+        """
+        weigh = A.smooth_weights if self.by_line else A.log_weights
+        asked = _dealt(questions, qid, text, -1 - _hashed(qid, parts or _size(questions, text)[0]), by_line=False)
+        told = self.asks.groupBy("bucket").cogroup(self.asked(asked).groupBy("bucket")).applyInArrow(A.answer_questions, ANSWERS)
+        qkind = questions.schema[qid].dataType.simpleString()
+        packed = A.pack(self.buckets, self.n, weigh, self.dropped)
+        kind = f"bucket int, qids array<{qkind}>, places binary, keys binary, weights binary"
+        packs = asked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(packed, kind)
+        packs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))))
+        right = self.answers.unionByName(packs, allowMissingColumns=True)
+        none = F.lit(None)
+        if wanted is None:
+            right = right.withColumns({"wid": none.cast(self.kind), "wqid": none.cast(qkind)})
+        else:
+            at = _hashed(self.key, self.blocks).cast("int").alias("block")
+            pairs = wanted.select(at, F.lit(-2).alias("bucket"), F.col(self.key).alias("wid"), F.col(qid).alias("wqid"))
+            right = right.unionByName(pairs, allowMissingColumns=True)
+        cell = A.best(self.buckets, self.n, k, weigh, self.by_line, self.dropped)
+        kind = f"qid {qkind}, id {self.kind}, i long, product double, wanted boolean"
+        met = self.own.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(cell, kind)
+        return met.withColumnsRenamed({"qid": qid, "id": self.key})
+
+
+def nearest_lines(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, i, distance): cosine distances with the idf of lines, the k smallest of each question among them."""
+    met = Index(corpus, by_line=True).best(questions, k)
+    return met.select("qid", "doc_id", "i", (F.round(1 - F.col("product"), 6) + 0.0).alias("distance"))
+
+
+def best_texts(questions: DataFrame, index: Index, k: int, wanted: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """(qid, doc_id, score, wanted): scores of ``tfidf.scores``, the k best of each question among those not flagged as wanted."""
+    return index.best(questions, k, wanted=wanted, parts=parts).select("qid", "doc_id", F.round("product", 6).alias("score"), "wanted")

@@ -57,4 +57,8 @@ def test_best_lines_and_texts_are_those_of_postings(spark, chars, k):
     ranked = lambda f, *order: sorted(map(tuple, f.withColumn("r", B.F.row_number().over(W.partitionBy("qid").orderBy(*order))).where(f"r <= {k}").collect()))
     assert ranked(B.nearest_lines(asked, corpus, k), "distance", "doc_id", "i") == ranked(near, "distance", "doc_id", "i")
     scored = tfidf.scores(tfidf.postings(asked, "qid"), tfidf.postings(corpus), corpus)
-    assert ranked(B.best_texts(asked, corpus, k), B.F.desc("score"), "doc_id") == ranked(scored, B.F.desc("score"), "doc_id")
+    wanted = spark.createDataFrame([(1, 1), (1, 8), (2, 2), (3, 7), (4, 1)], "qid long, doc_id long")
+    found = B.best_texts(asked, B.Index(corpus, by_line=False), k, wanted)
+    assert ranked(found.where("not wanted").drop("wanted"), B.F.desc("score"), "doc_id") == ranked(scored, B.F.desc("score"), "doc_id")
+    given = sorted(map(tuple, found.where("wanted").drop("wanted").collect()))
+    assert given == sorted(map(tuple, scored.join(wanted, ["qid", "doc_id"], "left_semi").collect()))
