@@ -71,19 +71,29 @@ def _chunks(order: np.ndarray, codes: np.ndarray, most: int):
     yield order[start:], bounds
 
 
-def best(left: list[str], right: list[str], k: int, tie: list[str], digits: int):
+def _firsts(group: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """Which rows are the first of their code in their group, for the n codes that come first there; groups are runs."""
+    new = np.zeros(len(group), bool)
+    new[np.unique(group * (codes.max(initial=0) + 2) + codes + 1, return_index=True)[1]] = True
+    count, start = np.cumsum(new), np.searchsorted(group, group)
+    return new & (count - count[start] < n)  # a group's first row is a new one
+
+
+def best(left: list[str], right: list[str], k: int, tie: list[str], digits: int, firsts: tuple[str, int] | None = None):
     """A function of two tables: of each qid the k best pairs by rounded inner product, ties to the smaller ``tie``.
 
     Products of blocks find who can be among the k best; these are added up anew in
     order, as the column function does, so the result doesn't depend on the blocks.
+    ``firsts``: (column of ``right``, n): vectors of the first n values' first rows come besides.
     """
 
     def cell(asked: pa.Table, held: pa.Table) -> pa.Table:
         if not asked.num_rows or not held.num_rows:
             none = np.zeros(0, np.int64)
-            return _picked(asked, held, none, none, pa.array([], pa.float64()))
+            return _picked(asked, held, none, none, pa.array([], pa.float64()), none > 0)
         q, q_kind, v, v_kind = _sides(asked, held)
         n, codes = len(v), _codes(asked["qid"])
+        groups = _codes(held[firsts[0]]) if firsts else None
         ties = [(_codes(asked[t])[:, None], None) if t in left else (None, _codes(held[t])) for t in tie]
         parts = []
         for rows, bounds in _chunks(np.argsort(codes, kind="stable"), codes, max(1, SCORES // n)):
@@ -109,13 +119,18 @@ def best(left: list[str], right: list[str], k: int, tie: list[str], digits: int)
             order = np.lexsort((*keys[::-1], -np.where(nan | null, 0, x), ~nan, null, group))
             place = np.arange(len(order)) - np.searchsorted(group[order], group[order])
             order = order[place < k]
-            parts.append((i[order], j[order], x[order], null[order]))
-        i, j, x, null = map(np.concatenate, zip(*parts))
-        return _picked(asked, held, i, j, pa.array(x, mask=null))
+            first = _firsts(group[order], groups[j[order]], firsts[1]) if firsts else null[order]
+            parts.append((i[order], j[order], x[order], null[order], first))
+        i, j, x, null, first = map(np.concatenate, zip(*parts))
+        return _picked(asked, held, i, j, pa.array(x, mask=null), first)
 
-    def _picked(asked: pa.Table, held: pa.Table, i: np.ndarray, j: np.ndarray, score: pa.Array) -> pa.Table:
+    def _picked(asked: pa.Table, held: pa.Table, i: np.ndarray, j: np.ndarray, score: pa.Array, first: np.ndarray) -> pa.Table:
         columns = [asked[c].take(pa.array(i)) for c in left] + [held[c].take(pa.array(j)) for c in right]
-        return pa.table([*columns, score], names=[*left, *right, "score"])
+        if not firsts:
+            return pa.table([*columns, score], names=[*left, *right, "score"])
+        v = held["v"].take(pa.array(j, mask=~first)).combine_chunks()
+        v = v if isinstance(v, pa.Array) else pa.concat_arrays(v.chunks)
+        return pa.table([*columns, score, pa.StructArray.from_arrays([v], names=["v"], mask=pa.array(~first))], names=[*left, *right, "score", "at"])
 
     return cell
 

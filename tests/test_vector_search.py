@@ -67,3 +67,43 @@ def test_a_vector_is_sent_once_for_thousands_of_questions(spark):
     cells = O._cells(asked, held, asked.select("qid", "title"), 1)
     assert cells._gd1._df.count() == 8000
     assert cells._gd2._df.count() == 10000
+
+
+@pytest.mark.parametrize("k1", [1, 2, 5])
+def test_two_hops_are_those_of_all_pairs(spark, small_blocks, k1):
+    """Paragraphs lie in two titles and several blocks; the first search gives their vectors too."""
+    questions, candidates, held = sides(spark)
+    by_rows = lambda asked: O.inner_products(asked.join(held, "title"))
+    first = O.best_paragraphs(by_rows(candidates.join(questions, "qid")), ["qid"], ["paragraph"], ["sid"], k1, 3)
+    cut = O.top_k(by_rows(candidates.join(questions, "qid")), ["qid"], 3 * k1, ["sid"])
+    at = cut.join(first.select("qid", "paragraph", "first_rank"), ["qid", "paragraph"]).where("rank = first_rank")
+    paths = at.select("qid", O.F.col("paragraph").alias("p1"), O.V.reformulate(O.F.col("q"), O.F.col("v")).alias("q"))
+    second = by_rows(candidates.join(paths, "qid")).withColumnRenamed("paragraph", "p2")
+    want = O.best_paragraphs(second, ["qid"], ["p1", "p2"], ["p1", "sid"], 7, 3).select("qid", "p1", "p2", "score", "rank")
+    rows = lambda f: sorted(map(str, f.collect()))
+    assert rows(O.two_hops(questions, candidates, candidates, held, k1, 7, 3)) == rows(want)
+    other = candidates.where("title < 3")  # another frame
+    mixed = O.two_hops(questions, candidates, other, held, k1, 7, 3, mixed=True)
+    assert rows(mixed.where("hop = 2").select(want.columns)) == rows(want)
+    assert rows(mixed.where("hop = 1").select("qid", "p1", "rank")) == rows(first.selectExpr("qid", "paragraph as p1", "rank"))
+
+
+@pytest.mark.parametrize("name", ["A17_pair_stats_at_k", "J20_hop2_paths", "J21_two_hop_retrieval", "J22_two_hop_wide", "J23_two_hop_older", "J26_mixed_hops"])
+def test_vectors_travel_once(spark, name):
+    """Not for each search, nor for the sizes of titles, nor to be fetched for paths."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    own = [line for line in plan if "Exchange hashpartitioning(title#" in line and "_qb#" in line and "Reused" not in line]
+    assert len(own) == 3  # questions, paths and sentences
+    assert sum("FileScan" in line and "embedding#" in line for line in plan) == 2  # by questions and by sentences
+
+
+def test_titles_that_are_null_or_on_one_side_have_no_pairs(spark, small_blocks):
+    asked = spark.createDataFrame([(1, 1, [1.0]), (2, None, [1.0]), (3, 3, [1.0])], "qid long, title long, q array<double>")
+    held = spark.createDataFrame([(1, 1, [1.0]), (2, None, [1.0]), (4, 4, [1.0])], "sid long, title long, v array<double>")
+    assert [tuple(r) for r in O.search(asked, held, asked, 3, ["sid"]).collect()] == [(1, 1, 1.0)]
