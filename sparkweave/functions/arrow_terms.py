@@ -2,7 +2,7 @@
 
 A text is a list of lines, a line a list of its words' keys. Its terms are its words and the pairs of
 neighbours that the filter both keeps; ``dropped`` are the keys of words that it doesn't, sorted. Numbers
-of one kind travel as bytes.
+of one kind travel as bytes, those of asks and answers packed.
 """
 
 from __future__ import annotations
@@ -16,6 +16,36 @@ from .arrow_vectors import rounded
 
 #: Products that are held at once.
 PRODUCTS = 1 << 21
+#: Low bytes of the steps between sorted keys, which are as good as random and are not compressed.
+RANDOM = 5
+
+
+def packed(x: np.ndarray, raw: int = 0) -> bytes:
+    """64-bit numbers by bytes of one weight, of which the lowest ``raw`` are as they are, the others compressed, none above the largest number's."""
+    x = x.astype("<u8")
+    width = max(raw, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = x.view(np.uint8).reshape(-1, 8).T
+    high = planes[raw:width].tobytes()
+    return np.array([len(x), raw, width], "<u4").tobytes() + planes[:raw].tobytes() + (pa.compress(high, "zstd", asbytes=True) if high else b"")
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, raw, width = np.frombuffer(data, "<u4", 3).tolist()
+    planes = np.zeros((8, n), np.uint8)
+    planes[:raw] = np.frombuffer(data, np.uint8, raw * n, 12).reshape(raw, n)
+    if n and width > raw:
+        high = pa.decompress(data[12 + raw * n :], (width - raw) * n, "zstd", asbytes=True)
+        planes[raw:width] = np.frombuffer(high, np.uint8).reshape(width - raw, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, by the steps between them."""
+    return packed(np.diff(keys, prepend=np.uint64(0)), RANDOM)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -76,19 +106,17 @@ class Terms:
         return code, unit - self.base[code]
 
     def dealt(self, buckets: int):
-        """Bucket by bucket, which terms it has."""
-        own = self.vocab % np.uint64(buckets)
-        order = np.argsort(own, kind="stable")
-        bounds = np.searchsorted(own[order], np.arange(buckets + 1).astype(np.uint64))
-        return order, bounds
+        """Bounds of the buckets, which are ranges of keys, so that steps between a bucket's keys are small."""
+        own = (self.vocab >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        return np.searchsorted(own, np.arange(buckets + 1).astype(np.uint64))
 
     def frequencies(self, answers: pa.Table, buckets: int) -> np.ndarray:
         """The answers to what ``ask`` asked, in the order of ``vocab``."""
-        order, bounds = self.dealt(buckets)
+        bounds = self.dealt(buckets)
         df = np.zeros(len(self.vocab), np.int64)
         for b, found in zip(answers["bucket"].to_pylist(), answers["dfs"]):
             if b >= 0:
-                df[order[bounds[b] : bounds[b + 1]]] = np.frombuffer(found.as_py(), np.int64)
+                df[bounds[b] : bounds[b + 1]] = unpacked(found.as_py())
         return df
 
 
@@ -101,12 +129,12 @@ def ask(buckets: int, dropped: np.ndarray):
     def one(table: pa.Table) -> pa.Table:
         terms, block = Terms(table, dropped), table["block"][0].as_py()
         counts = np.bincount(terms.term, minlength=len(terms.vocab)) * (block >= 0)
-        order, bounds = terms.dealt(buckets)
-        parts = [(b, order[x:y]) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x]
+        bounds = terms.dealt(buckets)
+        parts = [(b, slice(x, y)) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x]
         return pa.table({
             "block": pa.array([block] * len(parts), pa.int32()), "bucket": pa.array([b for b, _ in parts], pa.int32()),
-            "keys": pa.array([terms.vocab[p].tobytes() for _, p in parts], pa.binary()),
-            "counts": pa.array([counts[p].astype(np.int64).tobytes() for _, p in parts], pa.binary()),
+            "keys": pa.array([packed_keys(terms.vocab[p]) for _, p in parts], pa.binary()),
+            "counts": pa.array([packed(counts[p]) for _, p in parts], pa.binary()),
         })
 
     return one
@@ -114,13 +142,13 @@ def ask(buckets: int, dropped: np.ndarray):
 
 def answer(table: pa.Table) -> pa.Table:
     """Of a bucket's asks: in how many units of all blocks each of the keys is."""
-    keys = [np.frombuffer(k.as_py(), np.uint64) for k in table["keys"]]
-    counts = np.concatenate([np.frombuffer(c.as_py(), np.int64) for c in table["counts"]])
+    keys = [unpacked_keys(k.as_py()) for k in table["keys"]]
+    counts = np.concatenate([unpacked(c.as_py()).astype(np.int64) for c in table["counts"]])
     known, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(known), np.int64)
     np.add.at(total, at, counts)
     ends = np.cumsum([len(k) for k in keys])
-    dfs = [total[at[end - len(k) : end]].tobytes() for k, end in zip(keys, ends)]
+    dfs = [packed(total[at[end - len(k) : end]]) for k, end in zip(keys, ends)]
     return pa.table({"block": table["block"], "bucket": table["bucket"], "dfs": pa.array(dfs, pa.binary())})
 
 

@@ -2,8 +2,8 @@
 
 Postings of a whole corpus are many times its size. Here the texts are dealt out in
 blocks once; a block asks for the document frequencies of its distinct terms, by 64-bit
-keys of which many stand in a row, and gets back numbers in the same order. Two terms
-share a key with odds of 2^-64.
+keys of which many stand in a row, and gets back numbers in the same order. Sorted keys
+travel as the steps between them. Two terms share a key with odds of 2^-64.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from ..functions import arrow_terms as A
 from ..functions import text as T
 
 #: Characters of a block on average, and blocks for each bucket of keys.
-CHARS, SHARE = 1 << 22, 4
+CHARS, SHARE = 1 << 23, 4
 ASKS, ANSWERS = "block int, bucket int, keys binary, counts binary", "block int, bucket int, dfs binary"
 
 

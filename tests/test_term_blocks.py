@@ -1,9 +1,12 @@
 """Weights of all terms of all texts by blocks: results are those of postings as rows, which are none here."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql.window import Window as W
 
 from sparkweave import plans, registry  # noqa: F401
+from sparkweave.functions import arrow_terms as A
 from sparkweave.operators import term_blocks as B
 from sparkweave.operators import tfidf
 
@@ -62,3 +65,24 @@ def test_best_lines_and_texts_are_those_of_postings(spark, chars, k):
     assert ranked(found.where("not wanted").drop("wanted"), B.F.desc("score"), "doc_id") == ranked(scored, B.F.desc("score"), "doc_id")
     given = sorted(map(tuple, found.where("wanted").drop("wanted").collect()))
     assert given == sorted(map(tuple, scored.join(wanted, ["qid", "doc_id"], "left_semi").collect()))
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [255, 256, 0], [1 << 63, 5, (1 << 64) - 1], list(range(70000))])
+@pytest.mark.parametrize("raw", [0, 5])
+def test_packed_numbers_come_back(numbers, raw):
+    x = np.array(numbers, np.uint64)
+    assert A.unpacked(A.packed(x, raw)).tolist() == numbers
+    keys = np.sort(x)
+    assert A.unpacked_keys(A.packed_keys(keys)).tolist() == keys.tolist()
+
+
+def test_asked_keys_and_counts_are_packed():
+    """Less than 7 bytes for a key and its count, which took 16; the answers are those of the block itself."""
+    words = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 100_000)
+    table = pa.table({"block": pa.array([0], pa.int32()), "id": [7], "words": [[words.tolist()]]})
+    terms, asked = A.Terms(table, np.zeros(1, np.int64)), A.ask(3, np.zeros(1, np.int64))(table)
+    assert asked["bucket"].to_pylist() == [0, 1, 2]
+    sizes = [len(x) for c in ("keys", "counts") for x in asked[c].to_pylist()]
+    assert sum(sizes) < 7 * len(terms.vocab)
+    told = pa.concat_tables([A.answer(asked.slice(b, 1)) for b in (2, 0, 1)])
+    assert terms.frequencies(told, 3).tolist() == [1] * len(terms.vocab)
