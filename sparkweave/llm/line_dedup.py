@@ -16,7 +16,8 @@ Keys are 64-bit hashes: two different lines share one with odds of 2^-64.
 
 All texts are read and normalised once, and of equal lines in a batch one is written
 and signed. The keys of its bands are dealt out in blocks, many to a row, and lists of the lines that share one
-are formed from the blocks, in pieces of at most PACK lines. Pieces are verified within
+are formed from the blocks, in pieces of at most PACK lines. Lines that meet are held against each other by sketches
+first, whose parity bits prove most of them apart; only the texts of the others travel. Pieces are verified within
 one task each; only what the pieces of a list leave unconnected is compared in rounds.
 
 Cases: a null or empty text has no lines to remove; a null doc_id keeps all its lines;
@@ -37,9 +38,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .frames import Scratch, map_batches, map_stream, saved
-from .linkage import BLOCKS, block_lists, components, connect_lists, dealt, n_parts, only_ids, parity_bits
+from .linkage import BLOCKS, BROADCAST_IDS, block_lists, components, connect_lists, dealt, n_parts, only_ids, parity_bits
 
 #: Characters of a shingle; the bound in hundredths.
 CHARS, BOUND = 5, 80
@@ -49,8 +51,8 @@ BINS, BANDS, ROWS, STRIDE = 128, 14, 5, 25
 CHUNK, CHUNK_LINES = 1 << 17, 512
 #: Lines whose bands are dealt into blocks at a time; characters of a line that lists are held in memory with.
 DEALT_LINES, LONG = 1 << 14, 1 << 12
-#: Lines of a piece of a list.
-PACK = 512
+#: Lines of a piece of a list; bits of a line's sketch; pairs of sketches that are compared at a time.
+PACK, SKETCH, PAIRS = 512, 512, 1 << 16
 #: White space other than a space or the end of a line.
 ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
 #: Above any value of a bin.
@@ -259,25 +261,106 @@ def code_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): components among the nodes of each head (head, node), as stars; (a, null) for each line over LONG
-    characters, which isn't compared."""
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, SKETCH / 64) parity bits of the low bits of the codes: sets whose sketches differ in d places differ by d codes or more."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    at = np.concatenate([np.zeros(0, np.uint64), *sets]) & np.uint64(SKETCH - 1)
+    at = at.astype(np.int64) + np.repeat(np.arange(len(sets)) * SKETCH, sizes)
+    odd = np.bincount(at, minlength=len(sets) * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.uint64).reshape(len(sets), SKETCH // 64)
+
+
+def may_meet(group: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which rows have another one of their group, groups being runs, that sizes ``n`` and sketches don't prove less than similar."""
+    kept = np.zeros(len(group), bool)
+    if not len(group):
+        return kept
+    rows = np.arange(len(group))
+    more = np.searchsorted(group, group, side="right") - rows - 1
+    run = np.cumsum(more) // PAIRS
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(group)]
+    for a, b in zip(cuts, cuts[1:]):
+        i = np.repeat(rows[a:b], more[a:b])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more[a:b]) - more[a:b], more[a:b])
+        open_ = ~(kept[i] & kept[j]) & (100 * np.minimum(n[i], n[j]) >= BOUND * np.maximum(n[i], n[j]))
+        i, j = i[open_], j[open_]
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        near = differ * (100 + BOUND) <= (n[i] + n[j]) * (100 - BOUND)
+        kept[i[near]] = kept[j[near]] = True
+    return kept
+
+
+def _sketched(lines: DataFrame) -> DataFrame:
+    """node, n, bits: size and sketch of the shingles of these lines; n is 0 for a line over LONG characters, which has none."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict[str, list]:
+            texts = batch.column("text").to_pylist()
+            short = np.fromiter((len(t) <= LONG for t in texts), bool, len(texts))
+            sets = code_sets([t for t in texts if len(t) <= LONG])
+            n, bits = np.zeros(len(texts), np.int32), np.full(len(texts), None)
+            n[short], bits[short] = list(map(len, sets)), [row.tobytes() for row in sketches(sets)]
+            return {"node": batch.column("node"), "n": n, "bits": bits}
+
+        return work
+
+    return map_batches(lines, make, "node long, n int, bits binary")
+
+
+def _under_heads(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of nodes by each head of theirs, sorted by head and node; equal ones may be there several times."""
+    few = members.count() <= BROADCAST_IDS
+    met = rows.join(F.broadcast(members), "node") if few else rows.dropDuplicates(["node"]).join(members, "node")
+    return met.repartition("head").sortWithinPartitions("head", "node")
+
+
+def _fresh(head: np.ndarray, node: np.ndarray, before: tuple[int, int] | None = None) -> np.ndarray:
+    """Which of the sorted rows aren't as the one before."""
+    fresh = np.r_[True, (head[1:] != head[:-1]) | (node[1:] != node[:-1])][: len(head)]
+    fresh[:1] &= before is None or len(head) == 0 or (head[0], node[0]) != before
+    return fresh
+
+
+def _meeting(members: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Of the rows (head, node) those whose line may be similar to another one of the head; saved. Lines over LONG characters are left out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SKETCH // 64), np.uint64)]
+        for batch in batches:
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+            held = list(map(np.concatenate, zip(held, [*(batch.column(c).to_numpy() for c in ("head", "node", "n")), bits])))
+            end = np.searchsorted(held[0], held[0][-1])  # the last group may go on
+            if end:
+                yield near(*(x[:end] for x in held))
+                held = [x[end:] for x in held]
+        yield near(*held)
+
+    def near(head: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.ndarray) -> dict[str, list]:
+        fresh = _fresh(head, node)
+        head, node, n, bits = head[fresh], node[fresh], n[fresh], bits[fresh]
+        kept = may_meet(head, n, bits)
+        return {"head": head[kept], "node": node[kept]}
+
+    return saved(map_stream(_under_heads(members, sketched.where("n > 0")), work, "head long, node long"))
+
+
+def _links(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b): components among the nodes of each head (head, node), as stars."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        head, nodes, sets = None, [], []
+        head, nodes, sets, before = None, [], [], None
 
         def links() -> list[tuple[int, int]]:
             groups = [[nodes[i] for i in group] for group in groups_of(sets)]
             return [(least, node) for group in groups for least in [min(group)] for node in group if node != least]
 
         for batch in batches:
-            heads, own = batch.column("head").to_numpy(), batch.column("node").to_numpy()
-            lines = batch.column("text").to_pylist()
-            found = [(node, None) for node, t in zip(own.tolist(), lines) if len(t) > LONG]
-            short = np.fromiter((len(t) <= LONG for t in lines), bool, len(lines))
-            heads, own, lines = heads[short], own[short], [t for t in lines if len(t) <= LONG]
-            held = code_sets(lines)
-            starts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]]).tolist() if len(heads) else []
+            heads, own, found = batch.column("head").to_numpy(), batch.column("node").to_numpy(), []
+            fresh = _fresh(heads, own, before)
+            before = heads[-1], own[-1]
+            heads, own = heads[fresh], own[fresh]
+            held = code_sets(batch.column("text").filter(pa.array(fresh)).to_pylist())
+            starts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]][: len(heads)]).tolist()
             for a, b in zip(starts, [*starts[1:], len(heads)]):
                 if heads[a] != head:
                     found += links()
@@ -288,9 +371,7 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
         found = links()
         yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
 
-    met = members.join(texts, "node").select("head", "node", "text")
-    met = met.repartition("head").sortWithinPartitions("head", "node")
-    return map_stream(met, make, "a long, b long")
+    return map_stream(_under_heads(members, lines), make, "a long, b long")
 
 
 def _traits(texts: DataFrame) -> DataFrame:
@@ -336,9 +417,9 @@ def _headed(packed: DataFrame) -> DataFrame:
     later = F.col("first_rank") > 0
     nodes = F.when(later, F.slice("nodes", 2, F.greatest(F.lit(0), F.size("nodes") - 1))).otherwise(F.col("nodes"))
     members = packed.select("list_id", "first_rank", F.when(later, F.get("nodes", 0)).alias("anchor"), F.explode(nodes).alias("node"))
-    ranks = members.groupBy("node").agg((-F.count("*")).alias("rank"))
     ranked = F.collect_list(F.struct("rank", "node")).alias("ranked")
-    pieces = members.join(ranks, "node").groupBy("list_id", "first_rank").agg(ranked, F.max("anchor").alias("anchor"))
+    members = members.withColumn("rank", -F.count("*").over(W.partitionBy("node")))  # a node is in BANDS lists at most
+    pieces = members.groupBy("list_id", "first_rank").agg(ranked, F.max("anchor").alias("anchor"))
     return saved(pieces.select("list_id", "first_rank", "anchor", F.array_min("ranked").alias("head"), F.transform("ranked", lambda r: r["node"]).alias("nodes")))
 
 
@@ -372,18 +453,18 @@ def linked_lines(lines: DataFrame) -> DataFrame:
     own = saved(own.select("head", "node"))
     heads = own.select("head", F.col("head").alias("node"))
     anchors = pieces.where("anchor is not null").select(F.col("head.node").alias("head"), F.col("anchor").alias("node"))
-    links = saved(_links(own.unionByName(heads).unionByName(anchors).distinct(), text_of(own.select("node"))))
-    comps = components(links.where("b is not null"))
+    sketched = saved(_sketched(only_ids(named, own.select("node"), "node")))
+    linked = lambda members: _links(_meeting(saved(members.distinct()), sketched), named)
+    comps = components(linked(own.unionByName(heads).unionByName(anchors)))
     rest = saved(pieces.join(_unfinished(pieces, own, comps), ["list_id", "first_rank"], "left_semi"))
     if not rest.isEmpty():
-        members = saved(rest.select(F.col("head.node").alias("head"), F.explode(_all_nodes()).alias("node")).distinct())
-        more = saved(_links(members, text_of(members.select("node").distinct())))
+        more = linked(rest.select(F.col("head.node").alias("head"), F.explode(_all_nodes()).alias("node")))
         stars = comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
-        comps = components(stars.unionByName(more.where("b is not null")))
+        comps = components(stars.unionByName(more))
     # Lists in several pieces, or with very long lines, may have more links.
-    long_lines = saved(links.where("b is null").select(F.col("a").alias("node")).distinct())
+    long_lines = saved(sketched.where("n = 0").select("node").distinct())
     members = packed.select("list_id", F.explode("nodes").alias("node"))
-    more = packed.where("first_rank > 0").select("list_id").unionByName(members.join(long_lines, "node", "left_semi").select("list_id"))
+    more = packed.where("first_rank > 0").select("list_id").unionByName(only_ids(members, long_lines, "node").select("list_id"))
     more = saved(more.distinct())
     if more.isEmpty():
         return comps

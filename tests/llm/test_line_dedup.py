@@ -233,3 +233,44 @@ def test_normal_lines():
     assert D.normal_lines(text) == [D.normal(x) for x in text.split("\n")]
     plain = "Two  words\nΑΣ\nΣΑΣ b\n x \ny"
     assert D.normal_lines(plain) == [D.normal(x) for x in plain.split("\n")]
+
+
+def altered(rng, line, share):
+    """The line with about so many of its words replaced."""
+    return " ".join(sentence(rng, 1) if rng.random() < share else w for w in line.split())
+
+
+def test_sketches_prove_only_dissimilar_lines_apart():
+    rng = random.Random(7)
+    lines = [x for n in (3, 4, 12, 40, 90) for base in [sentence(rng, n)] for x in (base, *(altered(rng, base, s) for s in (0.02, 0.05, 0.1, 0.2, 0.4)), sentence(rng, n))]
+    sets = D.code_sets(lines)
+    group = np.repeat(np.arange(len(lines) // 7), 7)
+    n, bits = np.array(list(map(len, sets))), D.sketches(sets)
+    kept = D.may_meet(group, n, bits)
+    alike = [any(j != i and group[j] == group[i] and D.similar(sets[i], sets[j]) for j in range(len(lines))) for i in range(len(lines))]
+    assert kept[alike].all() and sum(alike) > 8
+    assert not kept[[k for k in range(6, len(lines), 7)]].any()  # lines of other words
+    chunks = D.PAIRS
+    try:
+        D.PAIRS = 3
+        assert (D.may_meet(group, n, bits) == kept).all()
+    finally:
+        D.PAIRS = chunks
+
+
+@pytest.mark.parametrize("few", [D.BROADCAST_IDS, 0])
+def test_texts_of_lines_that_only_share_a_band_do_not_travel(spark, monkeypatch, few):
+    """Lines of similarity 0.5 to 0.75 share bands; only those with a similar one are compared by their texts."""
+    rng = random.Random(11)
+    base = sentence(rng, 60)
+    far = [altered(rng, base, 0.12) for _ in range(60)]
+    near = [far[0] + " end", far[1] + " end"]
+    rows = [(i, line) for i, line in enumerate([*far, *near, far[2], "x" * 5, "ab " * (D.LONG // 2)])]
+    sent, under = [], D._under_heads
+    monkeypatch.setattr(D, "BROADCAST_IDS", few)
+    monkeypatch.setattr(D, "_under_heads", lambda members, lines: (sent.append((lines.columns, members.count())), under(members, lines))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, i) for r in D.line_report(docs).collect() for i in r.removed}
+    assert got == numbers(brute(rows))
+    sketched, texts = (sum(n for columns, n in sent if ("text" in columns) == own) for own in (False, True))
+    assert 0 < texts < sketched / 2
