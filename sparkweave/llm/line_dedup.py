@@ -49,6 +49,8 @@ CHARS, BOUND = 5, 80
 BINS, BANDS, ROWS, STRIDE = 128, 14, 5, 25
 #: Characters and lines that are hashed at a time: a line, however short, takes BINS numbers.
 CHUNK, CHUNK_LINES = 1 << 17, 512
+#: Steps in which empty bins are filled together; bins that look at all others at once after these.
+STEPS, LATE = 12, 1 << 13
 #: Lines whose bands are dealt into blocks at a time; characters of a line that lists are held in memory with.
 DEALT_LINES, LONG = 1 << 14, 1 << 12
 #: Lines of a piece of a list; bits of a line's sketch; pairs of sketches that are compared at a time.
@@ -113,13 +115,16 @@ def signatures(lines: list[str]) -> np.ndarray:
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     ends = np.cumsum(sizes + 1)
     owner = np.repeat(np.arange(0, len(lines) * BINS, BINS), sizes + 1)[: len(codes)]
-    value = ((codes >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    value = codes >> np.uint64(20)
+    value &= np.uint64(0xFFFFFFFF)
+    value = value.view(np.int64)
     # Runs that reach over a line's end don't count.
     for k in range(1, CHARS + 1):
         over = ends - k
         value[over[(over < len(value)) & (over >= 0)]] = NONE
     table = np.full(len(lines) * BINS, NONE, np.int64)
-    np.minimum.at(table, owner + (codes >> np.uint64(64 - 7)).astype(np.int64), value)
+    owner += (codes >> np.uint64(64 - 7)).view(np.int64)
+    np.minimum.at(table, owner, value)
     table[table == NONE] = -1
     table = table.reshape(len(lines), BINS)
     # Only the bins that bands read are filled; a line without a run keeps -1.
@@ -127,13 +132,18 @@ def signatures(lines: list[str]) -> np.ndarray:
     some = (table >= 0).any(axis=1)[row]
     row, col = row[some], col[some]
     out = table.copy()
-    for step in range(1, BINS):
+    for step in range(1, STEPS):
         if not len(row):
             break
         found = table[row, PROBES[col, step]]
         hit = found >= 0
         out[row[hit], col[hit]] = found[hit]
         row, col = row[~hit], col[~hit]
+    # What is left, of lines with few filled bins, looks at all other bins at once.
+    for at in range(0, len(row), LATE):
+        r, c = row[at : at + LATE], col[at : at + LATE]
+        found = table[r[:, None], PROBES[c, STEPS:]]
+        out[r, c] = found[np.arange(len(r)), (found >= 0).argmax(axis=1)]
     return out
 
 
@@ -252,15 +262,47 @@ def code_sets(texts: list[str]) -> list[np.ndarray]:
         while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
             size += len(texts[end])
             end += 1
-        codes, start = shingle_codes("\n".join(texts[at:end])), 0
+        codes, sides, start = shingle_codes("\n".join(texts[at:end])), [], 0
         for text in texts[at:end]:
-            own = np.sort(codes[start : start + len(text) - CHARS + 1])
-            out.append(own[np.r_[True, own[1:] != own[:-1]]])
+            sides.append((start, start + len(text) - CHARS + 1))
+            codes[start : sides[-1][1]].sort()
             start += len(text) + 1
+        new = np.r_[True, codes[1:] != codes[:-1]]
+        new[[a for a, _ in sides]] = True
+        out += [codes[a:b][new[a:b]] for a, b in sides]
         at = end
     return out
 
 
+def sketches_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and sketches of the sets of lines that each have a shingle; the sets aren't made one by one.
+
+    Beside a line's number, 55 bits of a code are sorted: of a line of LONG characters
+    two shingles are taken for one with odds of 2^-32.
+    """
+    sizes, bits, at = [np.zeros(0, np.int64)], [np.zeros((0, SKETCH // 64), np.uint64)], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and end - at < CHUNK_LINES and (end == at or size + len(texts[end]) <= CHUNK):
+            size += len(texts[end])
+            end += 1
+        codes, n = shingle_codes("\n".join(texts[at:end])), end - at
+        lengths = np.fromiter(map(len, texts[at:end]), np.int64, n)
+        # Runs that reach over a line's end don't count.
+        real = np.ones(len(codes) + CHARS, bool)
+        real[(np.cumsum(lengths + 1)[:, None] - np.arange(1, CHARS + 1)).ravel()] = False
+        owner = np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(55), lengths - CHARS + 1)
+        codes = owner | (codes[real[: len(codes)]] & np.uint64((1 << 55) - 1))
+        codes.sort()
+        codes = codes[np.r_[True, codes[1:] != codes[:-1]]]
+        row = (codes >> np.uint64(55)).view(np.int64)
+        sizes.append(np.bincount(row, minlength=n))
+        odd = np.bincount(row * SKETCH + (codes & np.uint64(SKETCH - 1)).view(np.int64), minlength=n * SKETCH).astype(np.uint8) & 1
+        bits.append(np.packbits(odd).view(np.uint64).reshape(n, SKETCH // 64))
+        at = end
+    return np.concatenate(sizes), np.concatenate(bits)
+
+
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, SKETCH / 64) parity bits of the low bits of the codes: sets whose sketches differ in d places differ by d codes or more."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -297,9 +339,9 @@ def _sketched(lines: DataFrame) -> DataFrame:
         def work(batch: pa.RecordBatch) -> dict[str, list]:
             texts = batch.column("text").to_pylist()
             short = np.fromiter((len(t) <= LONG for t in texts), bool, len(texts))
-            sets = code_sets([t for t in texts if len(t) <= LONG])
             n, bits = np.zeros(len(texts), np.int32), np.full(len(texts), None)
-            n[short], bits[short] = list(map(len, sets)), [row.tobytes() for row in sketches(sets)]
+            n[short], found = sketches_of([t for t in texts if len(t) <= LONG])
+            bits[short] = [row.tobytes() for row in found]
             return {"node": batch.column("node"), "n": n, "bits": bits}
 
         return work
@@ -479,15 +521,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     ``row`` is a hash of the text: rows that share a doc_id are told apart by it.
     """
     with Scratch(docs.sparkSession) as scratch:
-        occurrences = saved(_occurrences(docs.select("doc_id", "text")), codec="zstd")
+        occurrences = saved(_occurrences(docs.select("doc_id", "text")))
         first = F.min(F.struct("doc_id", "row", "line")).alias("first")
         firsts = saved(occurrences.where("n > 0").groupBy("key").agg(first, F.sum("n").alias("n")))
         found = linked_lines(occurrences.where("n > 0").select("key", "text")).withColumnRenamed("node", "key")
-        owned = firsts.join(found, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        stays = owned.join(found.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("first").alias("stays"))
         # Only lines that occur twice or have a link can go.
-        where = owned.where(F.col("n") > 1).unionByName(owned.where("n = 1").join(found.select("key"), "key", "left_semi"))
-        where = where.join(stays, "comp", "left").select("key", "first", F.coalesce("stays", "first").alias("stays"))
+        owned = saved(firsts.join(found, "key", "left").where("n > 1 or comp is not null").select("key", "first", "comp"))
+        stays = owned.where("comp is not null").groupBy("comp").agg(F.min("first").alias("stays"))
+        where = owned.join(stays, "comp", "left").select("key", "first", F.coalesce("stays", "first").alias("stays"))
         judged = occurrences.select("doc_id", "row", "line", "key").join(where, "key").withColumn("here", F.struct("doc_id", "row", "line"))
         gone = judged.where(F.col("here") != F.col("stays"))
         exact = F.col("here") != F.col("first")

@@ -258,6 +258,37 @@ def test_sketches_prove_only_dissimilar_lines_apart():
         D.PAIRS = chunks
 
 
+def test_sketches_without_sets(monkeypatch):
+    """Sizes and sketches as from the sets of the lines, though no set is made."""
+    rng = random.Random(13)
+    lines = [sentence(rng, n) for n in (1, 2, 3, 12, 40, 200) for _ in range(30)] + ["aaaaa", "a" * 40, "ab " * 99, "春天的风从南方吹过", "x" * D.LONG]
+    rng.shuffle(lines)
+    lines = [x for x in lines if len(x) >= D.CHARS]
+    sets = D.code_sets(lines)
+    want = list(map(len, sets)), D.sketches(sets).tolist()
+    made = []
+    monkeypatch.setattr(D, "code_sets", lambda texts: made.append(texts))
+    for chunk, rows in ((D.CHUNK, D.CHUNK_LINES), (64, 512), (1 << 17, 7)):
+        monkeypatch.setattr(D, "CHUNK", chunk)
+        monkeypatch.setattr(D, "CHUNK_LINES", rows)
+        n, bits = D.sketches_of(lines)
+        assert (n.tolist(), bits.tolist()) == want
+    assert not made and [len(x) for x in D.sketches_of([])] == [0, 0]
+
+
+def test_empty_bins_filled_at_once(monkeypatch):
+    """However many steps are taken together before, a bin gets the value of the first of its probes that is filled."""
+    rng = random.Random(17)
+    lines = ["abcde", "abcdef", *(sentence(rng, n) for n in (1, 2, 3, 5, 9, 30) for _ in range(9)), "abc"]
+    table = []
+    for steps, late in ((D.BINS, 1), (D.STEPS, D.LATE), (1, 3), (2, 1 << 20)):
+        monkeypatch.setattr(D, "STEPS", steps)
+        monkeypatch.setattr(D, "LATE", late)
+        table.append(D.signatures(lines)[:, : D.STRIDE * (D.ROWS - 1) + D.BANDS])
+    assert all((t == table[0]).all() for t in table)
+    assert [(row >= 0).all() for row in table[0]] == [(row >= 0).any() for row in table[0]] == [len(x) >= D.CHARS for x in lines]
+
+
 @pytest.mark.parametrize("few", [D.BROADCAST_IDS, 0])
 def test_texts_of_lines_that_only_share_a_band_do_not_travel(spark, monkeypatch, few):
     """Lines of similarity 0.5 to 0.75 share bands; only those with a similar one are compared by their texts."""
